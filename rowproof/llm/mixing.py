@@ -33,6 +33,12 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def _draw(seed: int, id_col: str):
+    """Uniform in [0, 1): the first 52 bits of the MD5 of "seed:id"."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """``sizes`` (source, source_size), one row per source -> with target and rate.
     The windows run over sources, never over documents."""
@@ -62,8 +68,7 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, weigh
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
     targets = broadcast_if_small(targets.withColumnRenamed("source", "of_source"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
-    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor("rate") + F.when(_draw(seed, "doc_id") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return sized.join(targets, F.col("source").eqNullSafe(F.col("of_source")), "left").select(
         "doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce(copies, F.lit(0)).cast("long").alias("copies")
     )
@@ -74,12 +79,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, weights=WEIGH
     sizes = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     targets = cut(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
     rates = broadcast_if_small(targets.select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
+    copies = F.floor("__rate") + F.when(_draw(seed, id_col) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
     taken = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col("__source")), "left")
     return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.coalesce(copies, F.lit(0)).cast("int")))).select(*docs.columns)
 
 
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+r AS (SELECT *, 3.0::DOUBLE * source_size / weight AS ratio FROM w),
+l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - 3.0::DOUBLE * coalesce(sum(source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM r WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * min_by(level, ratio) FILTER (level <= ratio) OVER ()) AS target FROM l),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM t)
+SELECT d.doc_id, d.size, c.source_size, c.target,
+  (d.size * (floor(rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / {1 << 52}::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+"""
+
+
 def op10_mixing(spark, sf_dir):
     plan = mixing_plan(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

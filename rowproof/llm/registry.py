@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing
 
 
 def queries():
     return {
+        "op4_bpe": bpe.op4_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
@@ -15,4 +16,5 @@ def queries():
 def oracle_sql():
     return {
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op10_mixing": mixing.ORACLE_SQL,
     }
