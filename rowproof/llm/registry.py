@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, pii
 
 
 def queries():
     return {
+        "op1_pii": pii.op1_pii,
         "op4_bpe": bpe.op4_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_mixing": mixing.op10_mixing,
