@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii
+from . import bpe, exact_dedup, mixing, pii, repeats
 
 
 def queries():
     return {
         "op1_pii": pii.op1_pii,
         "op4_bpe": bpe.op4_bpe,
+        "op5_repeats": repeats.op5_repeats,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
