@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, pii, repeats
+from . import bpe, exact_dedup, mixing, near_dedup, pii, quality, repeats
 
 
 def queries():
     return {
         "op1_pii": pii.op1_pii,
+        "op2_quality": quality.op2_quality,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op5_repeats": repeats.op5_repeats,
