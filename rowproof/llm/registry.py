@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, pii, quality, repeats
+from . import bpe, exact_dedup, mixing, near_dedup, neighbours, pii, quality, repeats
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_bpe": bpe.op4_bpe,
         "op5_repeats": repeats.op5_repeats,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_neighbours": neighbours.op9_neighbours,
         "op10_mixing": mixing.op10_mixing,
     }
 
