@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, neighbours, pii, quality, repeats, urls
+from . import bpe, exact_dedup, lm_scores, mixing, near_dedup, neighbours, pii, quality, repeats, urls
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op5_repeats": repeats.op5_repeats,
+        "op6_lm_scores": lm_scores.op6_lm_scores,
         "op7_urls": urls.op7_urls,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_neighbours": neighbours.op9_neighbours,
