@@ -2,14 +2,143 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from rowproof.functions import normalize as N
+from rowproof.functions import similarity as S
+from rowproof.functions.dates import fmt_date, parse_date_any
+from rowproof.operators import reconcile as R
+from rowproof.operators import report as A
+from rowproof.operators.compare import FIELDS, Settings, compare_field
+
+from .fixtures import view, with_views
+
+STRICT = Settings(strict=True)
+
+
+def _records(make):
+    return lambda spark, sf: make(view(spark, sf, "records"))
+
+
+def _results(make, settings):
+    return lambda spark, sf: make(R.reconcile(view(spark, sf, "records"), view(spark, sf, "sheet"), settings))
+
+
+def _flat(results):
+    return results.select("rec_seq", "row_no", "paired_by", "verdict", "closest", "note", *[F.col(f"{f}.status").alias(f"{f}_status") for f in FIELDS])
+
+
+def _paired(spark, sf):
+    """Each record beside its own sheet row."""
+    rows = view(spark, sf, "base_sheet").select("reg", *[F.col(f).alias(f"s_{f}") for f in FIELDS])
+    return view(spark, sf, "records").join(rows, "reg")
+
+
+def _compared(field, settings=STRICT):
+    def run(spark, sf):
+        found = compare_field(field, F.col(field), F.col(f"s_{field}"), settings)
+        return _paired(spark, sf).select("rec_seq", found.alias("f")).select("rec_seq", "f.status", "f.score", "f.note", "f.doc", "f.sheet")
+
+    return run
+
+
+def _unmatched(spark, sf):
+    sheet = view(spark, sf, "sheet")
+    return R.unmatched_rows(R.reconcile(view(spark, sf, "records"), sheet, STRICT), sheet)
+
+
+def _closest(spark, sf):
+    records, sheet = view(spark, sf, "records"), view(spark, sf, "sheet")
+    keys = sheet.select(N.norm_key(F.col("reg")).alias("key"))
+    missing = records.select(N.norm_key(F.col("reg")).alias("key")).where("key != ''").join(keys, "key", "left_anti")
+    return R.closest_keys(missing, keys)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return _results(A.verdict_summary, STRICT)(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {
+        "norm_key": _records(lambda d: d.select("rec_seq", N.norm_key(F.concat(F.lit(" "), F.col("reg"), F.lit(".0 "))).alias("plain"), N.norm_key(F.concat(F.lit("2.5"), F.col("rec_seq").cast("string"), F.lit("E+11"))).alias("sci"))),
+        "norm_digits": _records(lambda d: d.select("rec_seq", N.norm_digits(F.col("abc")).alias("digits"))),
+        "clean_name": _records(lambda d: d.select("rec_seq", N.clean_name(F.col("name")).alias("name"), N.clean_name(F.concat(F.lit("Shri "), F.col("father"))).alias("father"))),
+        "parse_date_any": _records(lambda d: d.select("rec_seq", parse_date_any(F.col("dob")).cast("string").alias("day"), fmt_date(parse_date_any(F.col("dob"))).alias("shown"))),
+        "edit_distance": lambda spark, sf: _paired(spark, sf).select("rec_seq", F.levenshtein(N.clean_name(F.col("name")), N.clean_name(F.col("s_name"))).alias("distance")),
+        "strict_similarity": lambda spark, sf: _paired(spark, sf).select("rec_seq", S.strict_similarity(F.col("name"), F.col("s_name")).alias("s")).select("rec_seq", "s.score", "s.note"),
+        "name_similarity": lambda spark, sf: _paired(spark, sf).select("rec_seq", S.name_similarity(F.col("name"), F.col("s_name")).alias("s")).select("rec_seq", "s.score", "s.note"),
+        "indel_ratio": lambda spark, sf: _paired(spark, sf).select("rec_seq", F.bround(S.indel_ratio(F.col("name"), F.col("s_name")), 6).alias("ratio")),
+        "token_sort_ratio": lambda spark, sf: _paired(spark, sf).select("rec_seq", F.bround(S.token_sort_ratio(F.col("name"), F.col("s_name")), 6).alias("ratio")),
+        "parse_cell": lambda spark, sf: view(spark, sf, "checks").select("row_no", F.posexplode(N.parse_cell(F.col("expected"))).alias("nth", "c")).select("row_no", "nth", "c.label", "c.field", "c.value"),
+        **{f"compare_field_{f}": _compared(f) for f in ("name", "dob", "abc")},
+        "key_index": lambda spark, sf: R.key_index(view(spark, sf, "sheet"), N.norm_key(F.col("reg"))).select("key", F.col("first.row_no").alias("row_no"), F.array_join(F.transform("rows", lambda r: r.cast("string")), ",").alias("rows")),
+        "pair_by_key": lambda spark, sf: R.pair(view(spark, sf, "records"), view(spark, sf, "sheet")).select("rec_seq", "paired_by", F.col("row.row_no").alias("row_no")),
+        "closest_key": _closest,
+        "reconcile_strict": _results(_flat, STRICT),
+        "reconcile_normal": _results(_flat, Settings()),
+        "unmatched_rows": _unmatched,
+        "verdict_summary": _results(A.verdict_summary, STRICT),
+        "field_status_counts": _results(A.field_status_counts, STRICT),
+        "tally": _results(A.tally, STRICT),
+        "needs_attention": _results(A.needs_attention, STRICT),
+    }
+
+
+_ASCII = "upper(strip_accents({c}))"
+_TITLES = "|".join(N.TITLES)
+
+
+def _sql_clean(c):
+    """Titles and what is no letter go; for the Latin names of the derived views."""
+    spaced = f"regexp_replace(' ' || replace(regexp_replace({_ASCII.format(c=c)}, '[^A-Z]+', ' ', 'g'), ' ', '  ') || ' ', ' ({_TITLES}) ', ' ', 'g')"
+    return f"trim(regexp_replace({spaced}, ' +', ' ', 'g'))"
+
+
+def _sql_day(c):
+    return f"coalesce(try_strptime({c}, '%d-%m-%Y'), try_strptime({c}, '%d/%m/%Y'), try_strptime({c}, '%m-%d-%Y'), try_strptime({c}, '%Y-%m-%d'))::DATE"
 
 
 def oracle_sql():
-    return {}
+    own = "records r JOIN base_sheet s ON r.reg = s.reg"
+    x, y = _sql_clean("r.name"), _sql_clean("s.name")
+    words = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+    same = "CASE WHEN r.name = s.name THEN 'Exact' ELSE 'Same apart from case, spacing or punctuation' END"
+    score = f"CASE WHEN {x} = {y} THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END"
+    note = f"CASE WHEN {x} = {y} THEN {same} WHEN replace({x}, ' ', '') = replace({y}, ' ', '') THEN 'Strict: words are split differently' WHEN {words(x)} = {words(y)} THEN 'Strict: same words, different order' ELSE 'Strict: text differs' END"
+    p, e = _sql_day("r.dob"), _sql_day("s.dob")
+    verdict_sql = f"""
+      SELECT r.rec_seq, coalesce(k.row_no, a.row_no) AS row_no, r.reg AS key,
+        CASE WHEN {_sql_clean("r.name")} = {_sql_clean("coalesce(k.name, a.name)")} THEN 'Match' ELSE 'Mismatch' END AS name_s,
+        CASE WHEN r.father IS NULL THEN 'Missing' WHEN {_sql_clean("r.father")} = {_sql_clean("coalesce(k.father, a.father)")} THEN 'Match' ELSE 'Mismatch' END AS father_s,
+        CASE WHEN {_sql_clean("r.mother")} = {_sql_clean("coalesce(k.mother, a.mother)")} THEN 'Match' ELSE 'Mismatch' END AS mother_s,
+        CASE WHEN {p} IS NULL THEN 'Mismatch' WHEN {p} = {_sql_day("coalesce(k.dob, a.dob)")} THEN 'Match'
+          WHEN year({p}) = year({_sql_day("coalesce(k.dob, a.dob)")}) AND month({p}) = day({_sql_day("coalesce(k.dob, a.dob)")}) AND day({p}) = month({_sql_day("coalesce(k.dob, a.dob)")}) THEN 'Review' ELSE 'Mismatch' END AS dob_s,
+        CASE WHEN r.abc IS NULL THEN 'Not compared' WHEN r.abc = coalesce(k.abc, a.abc) THEN 'Match' ELSE 'Mismatch' END AS abc_s
+      FROM records r LEFT JOIN base_sheet k ON r.reg = k.reg LEFT JOIN base_sheet a ON r.reg IS NULL AND r.abc = a.abc"""
+    verdicts = f"""SELECT *, CASE WHEN row_no IS NULL THEN CASE WHEN key IS NULL THEN 'No reg. no. in PDF' ELSE 'Not in Excel' END
+        WHEN 'Mismatch' IN (name_s, father_s, mother_s, dob_s, abc_s) THEN 'Mismatch'
+        WHEN 'Review' IN (name_s, father_s, mother_s, dob_s, abc_s) OR 'Missing' IN (name_s, father_s, mother_s, dob_s, abc_s) THEN 'Needs review' ELSE 'Verified' END AS verdict FROM ({verdict_sql})"""
+    names = "(VALUES (0, 'Verified'), (1, 'Verified (minor differences)'), (2, 'Needs review'), (3, 'Mismatch'), (4, 'Not in Excel'), (5, 'No reg. no. in PDF')) v(position, verdict)"
+    fields = " UNION ALL ".join(f"SELECT '{f}' AS field, rec_seq, row_no, {f}_s AS status FROM w" for f in FIELDS)
+    sql = {
+        "norm_key": "SELECT rec_seq, coalesce(reg, '') AS plain, CASE WHEN TRUE THEN rpad('25' || rec_seq, 12, '0') END AS sci FROM (SELECT rec_seq, CASE WHEN reg IS NULL THEN NULL WHEN reg LIKE '%X' THEN reg || '0' ELSE reg END AS reg FROM records)",
+        "norm_digits": "SELECT rec_seq, coalesce(abc, '') AS digits FROM records",
+        "clean_name": f"SELECT rec_seq, {_sql_clean('name')} AS name, coalesce({_sql_clean('father')}, '') AS father FROM records",
+        "parse_date_any": f"SELECT rec_seq, CAST({_sql_day('dob')} AS STRING) AS day, strftime({_sql_day('dob')}, '%d-%m-%Y') AS shown FROM records",
+        "edit_distance": f"SELECT r.rec_seq, levenshtein({x}, {y})::INT AS distance FROM {own}",
+        "strict_similarity": f"SELECT r.rec_seq, {score} AS score, {note} AS note FROM {own}",
+        "compare_field_name": f"SELECT r.rec_seq, CASE WHEN {x} = {y} THEN 'Match' ELSE 'Mismatch' END AS status, {score} AS score, {note} AS note, r.name AS doc, s.name AS sheet FROM {own}",
+        "compare_field_abc": f"SELECT r.rec_seq, CASE WHEN r.abc = s.abc THEN 'Match' ELSE 'Mismatch' END AS status, CASE WHEN r.abc = s.abc THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN r.abc = s.abc THEN 'Same ABC ID' ELSE 'Different ABC ID' END AS note, r.abc AS doc, s.abc AS sheet FROM {own}",
+        "compare_field_dob": f"""SELECT rec_seq, CASE WHEN p = e THEN 'Match' WHEN sw THEN 'Review' ELSE 'Mismatch' END AS status, CASE WHEN p = e THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
+          CASE WHEN p = e THEN 'Same date' WHEN sw THEN 'Day and month look swapped' WHEN p IS NULL THEN 'Could not read one of the dates' ELSE 'Different dates' END AS note, coalesce(strftime(p, '%d-%m-%Y'), dob) AS doc, strftime(e, '%d-%m-%Y') AS sheet
+          FROM (SELECT r.rec_seq, r.dob, {p} AS p, {e} AS e, year({p}) = year({e}) AND month({p}) = day({e}) AND day({p}) = month({e}) AS sw FROM {own})""",
+        "key_index": "SELECT reg AS key, min(row_no) AS row_no, CASE WHEN count(*) > 1 THEN string_agg(CAST(row_no AS STRING), ',' ORDER BY row_no) END AS rows FROM sheet GROUP BY reg",
+        "pair_by_key": "SELECT r.rec_seq, CASE WHEN k.cid IS NOT NULL THEN 'reg' WHEN a.cid IS NOT NULL THEN 'abc' END AS paired_by, coalesce(k.row_no, a.row_no) AS row_no FROM records r LEFT JOIN base_sheet k ON r.reg = k.reg LEFT JOIN base_sheet a ON r.reg IS NULL AND r.abc = a.abc",
+        "closest_key": "SELECT m.reg AS key, min(s.reg) AS closest FROM (SELECT DISTINCT reg FROM records WHERE reg LIKE '%X') m JOIN base_sheet s ON substr(s.reg, 1, 11) = substr(m.reg, 1, 11) OR levenshtein(s.reg, m.reg) <= 1 WHERE levenshtein(s.reg, m.reg) <= 1 GROUP BY m.reg",
+        "unmatched_rows": "SELECT row_no, reg, name FROM sheet WHERE row_no NOT IN (SELECT coalesce(k.row_no, a.row_no) FROM records r LEFT JOIN base_sheet k ON r.reg = k.reg LEFT JOIN base_sheet a ON r.reg IS NULL AND r.abc = a.abc WHERE coalesce(k.row_no, a.row_no) IS NOT NULL)",
+        "verdict_summary": f"SELECT v.position, v.verdict, count(w.rec_seq) AS n, count(w.rec_seq) / (sum(count(w.rec_seq)) OVER ())::DOUBLE AS share FROM {names} LEFT JOIN ({verdicts}) w ON v.verdict = w.verdict GROUP BY v.position, v.verdict",
+        "tally": f"SELECT count(*) AS records, count(*) FILTER (verdict LIKE 'Verified%') AS verified, count(*) FILTER (verdict = 'Needs review') AS review, count(*) FILTER (verdict = 'Mismatch') AS mismatch, count(*) FILTER (verdict LIKE 'No%') AS notfound FROM ({verdicts})",
+        "field_status_counts": f"SELECT field, count(*) FILTER (status = 'Match') AS n_match, 0::BIGINT AS n_close, count(*) FILTER (status = 'Review') AS n_review, count(*) FILTER (status = 'Missing') AS n_missing, count(*) FILTER (status = 'Mismatch') AS n_mismatch FROM (SELECT field, CASE WHEN row_no IS NULL THEN 'Not compared' ELSE status END AS status FROM (WITH w AS ({verdicts}) {fields})) GROUP BY field",
+        "needs_attention": f"WITH w AS ({verdicts}) SELECT rec_seq, 'Registration no.' AS field, verdict AS status FROM w WHERE row_no IS NULL UNION ALL SELECT rec_seq, field, status FROM ({fields}) WHERE row_no IS NOT NULL AND status IN ('Review', 'Mismatch', 'Missing')",
+    }
+    return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()}
