@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .store import cut
 
 SAMPLE, PROBES, RECALL = 20_000, 200, 0.98
-FAN, LEAF_ROWS, MOST_LEAVES, BLOCK = 8, 400, 4096, 4096
+FAN, LEAF_ROWS, MOST_LEAVES, BLOCK = 8, 400, 4096, 1024
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -177,8 +177,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
 
     def walk(frames):
         for frame in frames:
-            out = [(int(q), v, leaf) for q, v in zip(frame["vec_id"], frame["v"], strict=True) for leaf, _ in zip(held.value.visits(np.asarray(v, float)), range(most), strict=False)]
-            yield pd.DataFrame(out, columns=["vec_id", "v", "leaf"])
+            for i in range(0, len(frame), 32):  # a query is repeated once a visit, so few at a time
+                part = frame.iloc[i : i + 32]
+                out = [(int(q), v, leaf) for q, v in zip(part["vec_id"], part["v"], strict=True) for leaf, _ in zip(held.value.visits(np.asarray(v, float)), range(most), strict=False)]
+                yield pd.DataFrame(out, columns=["vec_id", "v", "leaf"])
 
     asked = cut(queries.select("vec_id", "v").mapInPandas(walk, "vec_id long, v array<double>, leaf int"))
     parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
