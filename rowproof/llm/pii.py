@@ -137,8 +137,8 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("loose", apart)
 
 
-def _vote(yes, no=F.lit(False)):
-    return F.when(yes, 1).when(no, -1).otherwise(0)
+def _vote(yes, no=None):
+    return (F.when(yes, 1) if no is None else F.when(yes, 1).when(no, -1)).otherwise(0)
 
 
 def _by_kind(span, per_kind: dict):
