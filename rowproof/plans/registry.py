@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowproof.functions import normalize as N
 from rowproof.functions import similarity as S
 from rowproof.functions.dates import fmt_date, parse_date_any
+from rowproof.operators import checks as K
 from rowproof.operators import reconcile as R
 from rowproof.operators import report as A
 from rowproof.operators.compare import FIELDS, Settings, compare_field
@@ -54,6 +55,15 @@ def _closest(spark, sf):
     return R.closest_keys(missing, keys)
 
 
+def _checked(make):
+    return lambda spark, sf: make(K.run_checks(view(spark, sf, "checks"), view(spark, sf, "records"), STRICT))
+
+
+def _comparison(spark, sf):
+    records = view(spark, sf, "records")
+    return A.comparison_table(R.reconcile(records, view(spark, sf, "sheet"), STRICT), records)
+
+
 def flagship(spark, sf_dir):
     return _results(A.verdict_summary, STRICT)(spark, sf_dir)
 
@@ -81,6 +91,13 @@ def queries():
         "field_status_counts": _results(A.field_status_counts, STRICT),
         "tally": _results(A.tally, STRICT),
         "needs_attention": _results(A.needs_attention, STRICT),
+        "comparison_table": _comparison,
+        "unmatched_table": lambda spark, sf: A.unmatched_table(_unmatched(spark, sf)),
+        "build_checks": lambda spark, sf: K.build_checks(view(spark, sf, "checks")).select("row_no", "nth", "kind", "field", "expected", "claimed"),
+        "run_checks": _checked(lambda d: d.select("row_no", "nth", "status")),
+        "check_counts": _checked(A.check_counts),
+        "check_results": _checked(A.check_results),
+        "check_needs_attention": _checked(lambda d: A.check_needs_attention(d).select("row_no", "nth", "status")),
     }
 
 
@@ -120,6 +137,22 @@ def oracle_sql():
         WHEN 'Review' IN (name_s, father_s, mother_s, dob_s, abc_s) OR 'Missing' IN (name_s, father_s, mother_s, dob_s, abc_s) THEN 'Needs review' ELSE 'Verified' END AS verdict FROM ({verdict_sql})"""
     names = "(VALUES (0, 'Verified'), (1, 'Verified (minor differences)'), (2, 'Needs review'), (3, 'Mismatch'), (4, 'Not in Excel'), (5, 'No reg. no. in PDF')) v(position, verdict)"
     fields = " UNION ALL ".join(f"SELECT '{f}' AS field, rec_seq, row_no, {f}_s AS status FROM w" for f in FIELDS)
+    part = "split_part(expected, ':', 2)"
+    one, two = "split_part(expected, chr(10), 1)", "split_part(expected, chr(10), 2)"
+    built = f"""SELECT row_no, nth, enroll, abc, CASE WHEN m = 2 THEN 'marks' WHEN m = 3 THEN 'unsupported' WHEN m = 5 OR expected = '' THEN 'empty' ELSE 'field' END AS kind,
+        CASE WHEN m = 0 AND nth = 0 THEN 'name' WHEN m = 0 THEN 'dob' WHEN m = 1 AND expected <> '' THEN 'father' WHEN m = 4 THEN 'mother' WHEN m = 5 THEN 'father' END AS field,
+        trim(CASE WHEN m = 0 AND nth = 0 THEN split_part({one}, ':', 2) WHEN m = 0 THEN split_part({two}, ':', 2) WHEN m >= 3 THEN {part} ELSE expected END) AS expected, trim(CASE WHEN m = 4 THEN split_part(claimed, ':', 2) ELSE '' END) AS claimed
+      FROM (SELECT *, (row_no - 2) % 6 AS m FROM checks) c JOIN (VALUES (0), (1)) v(nth) ON nth = 0 OR m = 0 WHERE enroll <> '' OR expected <> ''"""
+    first = lambda key: f"SELECT {key}, min(rec_seq) AS rec_seq, arg_min(name, rec_seq) AS name, arg_min(father, rec_seq) AS father, arg_min(mother, rec_seq) AS mother, arg_min(dob, rec_seq) AS dob FROM records WHERE {key} IS NOT NULL GROUP BY {key}"
+    x2, e2 = _sql_day("pdf"), _sql_day("expected")
+    digits = lambda c: f"regexp_replace({c}, '[^0-9]', '', 'g')"
+    judged = f"""SELECT row_no, nth, CASE WHEN kind = 'marks' THEN 'Marks row (not checked)' WHEN kind <> 'field' THEN 'Not checked' WHEN seq IS NULL THEN 'PDF not found' WHEN pdf IS NULL THEN 'Field not in PDF'
+        WHEN field = 'dob' THEN CASE WHEN {x2} IS NULL OR {e2} IS NULL THEN CASE WHEN {digits("pdf")} = {digits("expected")} THEN 'Correct' ELSE 'Mismatch' END WHEN {x2} = {e2} THEN 'Correct'
+          WHEN year({x2}) = year({e2}) AND month({x2}) = day({e2}) AND day({x2}) = month({e2}) THEN 'Needs review' ELSE 'Mismatch' END
+        WHEN {_sql_clean("pdf")} = {_sql_clean("expected")} THEN 'Correct' WHEN claimed <> '' AND {_sql_clean("pdf")} = {_sql_clean("claimed")} THEN 'Still wrong (same as old value)' ELSE 'Mismatch' END AS status
+      FROM (SELECT b.*, coalesce(k.rec_seq, a.rec_seq) AS seq, CASE field {" ".join(f"WHEN '{f}' THEN CASE WHEN k.rec_seq IS NOT NULL THEN k.{f} ELSE a.{f} END" for f in ("name", "father", "mother", "dob"))} END AS pdf
+        FROM ({built}) b LEFT JOIN ({first("reg")}) k ON b.enroll = k.reg LEFT JOIN ({first("abc")}) a ON b.abc = a.abc)"""
+    statuses = ", ".join("({}, '{}')".format(*x) for x in enumerate(K.CHECK_STATUSES))
     sql = {
         "norm_key": "SELECT rec_seq, coalesce(reg, '') AS plain, CASE WHEN TRUE THEN rpad('25' || rec_seq, 12, '0') END AS sci FROM (SELECT rec_seq, CASE WHEN reg IS NULL THEN NULL WHEN reg LIKE '%X' THEN reg || '0' ELSE reg END AS reg FROM records)",
         "norm_digits": "SELECT rec_seq, coalesce(abc, '') AS digits FROM records",
@@ -141,4 +174,11 @@ def oracle_sql():
         "field_status_counts": f"SELECT field, count(*) FILTER (status = 'Match') AS n_match, 0::BIGINT AS n_close, count(*) FILTER (status = 'Review') AS n_review, count(*) FILTER (status = 'Missing') AS n_missing, count(*) FILTER (status = 'Mismatch') AS n_mismatch FROM (SELECT field, CASE WHEN row_no IS NULL THEN 'Not compared' ELSE status END AS status FROM (WITH w AS ({verdicts}) {fields})) GROUP BY field",
         "needs_attention": f"WITH w AS ({verdicts}) SELECT rec_seq, 'Registration no.' AS field, verdict AS status FROM w WHERE row_no IS NULL UNION ALL SELECT rec_seq, field, status FROM ({fields}) WHERE row_no IS NOT NULL AND status IN ('Review', 'Mismatch', 'Missing')",
     }
-    return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()}
+    checks = {
+        "build_checks": f"SELECT row_no, nth, kind, field, expected, claimed FROM ({built})",
+        "run_checks": judged,
+        "check_counts": f"SELECT v.position, v.status, count(j.row_no) AS n, count(j.row_no) / (sum(count(j.row_no)) OVER ())::DOUBLE AS share FROM (VALUES {statuses}) v(position, status) LEFT JOIN ({judged}) j ON v.status = j.status GROUP BY v.position, v.status",
+        "check_needs_attention": f"SELECT * FROM ({judged}) WHERE status IN {K.PROBLEMS}",
+    }
+    sql["unmatched_table"] = f"SELECT *, 'No PDF supplied for this row' AS note FROM ({sql['unmatched_rows']})"
+    return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()} | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "checks")) for k, v in checks.items()}
