@@ -71,6 +71,21 @@ def label_field(c):
     )
 
 
+def clean_value(field: str, c):
+    """What a document prints as a field's value, cut to the part that is the value."""
+    t = strip(c)
+    forms = {
+        "reg": r"[A-Za-z0-9/\-]{4,}",
+        "dob": rf"\p{{Nd}}{{1,4}}[\-/.{SPACE}][\p{{L}}\p{{N}}_]{{1,9}}[\-/.{SPACE},]*\p{{Nd}}{{2,4}}",
+        "abc": rf"\p{{Nd}}[\p{{Nd}}{SPACE}\-]{{6,}}\p{{Nd}}",
+    }
+    if field not in forms:
+        return F.regexp_replace(t, r"\A[ .,:;]+|[ .,:;]+\z", "")
+    part = F.regexp_extract(t, f"({forms[field]})", 1)
+    part_shown = F.regexp_replace(part, r"\P{Nd}", "") if field == "abc" else part
+    return F.when(part != "", part_shown).otherwise(t)
+
+
 def parse_cell(c):
     """Lines of a cell as array<struct<label, field, value>>; blank lines are left out."""
     line_form = rf"\A[{SPACE}]*([^:：\n]{{2,60}}?)[{SPACE}]*[:：][{SPACE}]*([^\n]*?)[{SPACE}]*\z"

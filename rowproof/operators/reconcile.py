@@ -47,7 +47,7 @@ def pair(records: DataFrame, sheet: DataFrame) -> DataFrame:
 
 
 def reconcile(records: DataFrame, sheet: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """One row per record: rec_seq, row_no, paired_by, verdict, closest, note, and a struct
+    """One row per record: rec_seq, row_no, paired_by, verdict, closest, note, sheet_reg, and a struct
     (status, score, note, doc, sheet) per field."""
     found = pair(records, sheet)
     hit = F.col("row").isNotNull()
@@ -60,9 +60,9 @@ def reconcile(records: DataFrame, sheet: DataFrame, settings: Settings = Setting
     found = found.withColumns({f: compare_field(f, F.col(f), F.col(f"row.{f}"), settings, known.get(f)) for f in FIELDS})
     found = found.withColumns({f: F.when(hit, F.col(f)).otherwise(skipped(F.col(f"{f}.doc"))) for f in FIELDS})
     verdict = F.when(hit, overall(F.array(*[F.col(f"{f}.status") for f in FIELDS]))).when(F.col("key") == "", "No reg. no. in PDF").otherwise("Not in Excel")
-    several = F.when(hit & F.col("rows").isNotNull(), F.concat(F.lit("appears in Excel at "), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("row "), r.cast("string"))), ", "), F.lit("; first used")))
-    note = F.concat_ws("; ", F.when(F.col("paired_by") == "abc", "paired by ABC ID"), several)
-    return found.join(near, "key", "left").select("rec_seq", F.col("row.row_no").alias("row_no"), "paired_by", verdict.alias("verdict"), F.when(~hit, F.col("closest")).alias("closest"), note.alias("note"), *FIELDS)
+    several = F.when(hit & F.col("rows").isNotNull(), F.concat(F.when(F.col("paired_by") == "abc", "ABC ID").otherwise("Reg. no."), F.lit(" appears in Excel at "), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("row "), r.cast("string"))), ", "), F.lit("; first used")))
+    note = F.concat_ws("; ", F.when(F.col("paired_by") == "abc", "No reg. no. in the PDF; paired by ABC ID"), several)
+    return found.join(near, "key", "left").select("rec_seq", F.col("row.row_no").alias("row_no"), "paired_by", verdict.alias("verdict"), F.when(~hit, F.col("closest")).alias("closest"), note.alias("note"), F.col("row.reg").alias("sheet_reg"), *FIELDS)
 
 
 def unmatched_rows(results: DataFrame, sheet: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rowproof.functions import normalize as N
@@ -11,6 +13,8 @@ from rowproof.operators import checks as K
 from rowproof.operators import reconcile as R
 from rowproof.operators import report as A
 from rowproof.operators.compare import FIELDS, Settings, compare_field
+from rowproof.sources import history as H
+from rowproof.sources import sheets as C
 
 from .fixtures import view, with_views
 
@@ -64,6 +68,22 @@ def _comparison(spark, sf):
     return A.comparison_table(R.reconcile(records, view(spark, sf, "sheet"), STRICT), records)
 
 
+def _cells(spark, sf):
+    """A book per nation with a sheet per market segment; a customer's values in its row."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").cast("string").alias("source"), F.col("c_mktsegment").alias("sheet"), F.length("c_mktsegment").alias("sheet_order"), F.col("c_custkey").cast("int").alias("row_no"), "c_name", "c_mktsegment")
+    return rows.select("source", "sheet", "sheet_order", "row_no", F.posexplode(F.array(F.when(F.col("row_no") % 7 != 0, F.col("c_name")).otherwise(""), F.when(F.col("row_no") % 7 != 0, F.col("c_mktsegment")), F.lit(" "))).alias("col_no", "value"))
+
+
+def _history(spark, sf):
+    """Verdicts of a run that was saved in the shared folder and loaded again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/history-{uuid.uuid4().hex}"
+    records, sheet = view(spark, sf, "records"), view(spark, sf, "sheet")
+    results = R.reconcile(records, sheet, STRICT)
+    H.save_run(folder, 1, {"mapping": {f: f for f in FIELDS}}, results, records, R.unmatched_rows(results, sheet))
+    return H.load_run(spark, folder, 1)[1].select("rec_seq", "pdf_reg", "verdict", F.col("name.status").alias("name_status"))
+
+
 def flagship(spark, sf_dir):
     return _results(A.verdict_summary, STRICT)(spark, sf_dir)
 
@@ -93,6 +113,11 @@ def queries():
         "needs_attention": _results(A.needs_attention, STRICT),
         "comparison_table": _comparison,
         "unmatched_table": lambda spark, sf: A.unmatched_table(_unmatched(spark, sf)),
+        "trim_grid": lambda spark, sf: C.trim_grid(_cells(spark, sf)).select("source", "sheet", "row_no", "col_no", "value"),
+        "pick_sheet": lambda spark, sf: C.pick_sheet(_cells(spark, sf)).select("source", "sheet", "row_no").distinct(),
+        "data_rows": lambda spark, sf: C.data_rows(_cells(spark, sf), 40).select("source", "row_no").distinct(),
+        "wide_rows": lambda spark, sf: C.wide_rows(_cells(spark, sf), {"name": 0, "segment": 1}),
+        "history_round_trip": _history,
         "build_checks": lambda spark, sf: K.build_checks(view(spark, sf, "checks")).select("row_no", "nth", "kind", "field", "expected", "claimed"),
         "run_checks": _checked(lambda d: d.select("row_no", "nth", "status")),
         "check_counts": _checked(A.check_counts),
@@ -180,5 +205,13 @@ def oracle_sql():
         "check_counts": f"SELECT v.position, v.status, count(j.row_no) AS n, count(j.row_no) / (sum(count(j.row_no)) OVER ())::DOUBLE AS share FROM (VALUES {statuses}) v(position, status) LEFT JOIN ({judged}) j ON v.status = j.status GROUP BY v.position, v.status",
         "check_needs_attention": f"SELECT * FROM ({judged}) WHERE status IN {K.PROBLEMS}",
     }
+    last = "SELECT c_nationkey, c_mktsegment, max(c_custkey) AS last_row FROM customer WHERE c_custkey % 7 <> 0 GROUP BY ALL"
+    grids = {
+        "trim_grid": f"SELECT c.c_nationkey::VARCHAR AS source, c.c_mktsegment AS sheet, c_custkey::INT AS row_no, n AS col_no, CASE WHEN c_custkey % 7 <> 0 THEN CASE n WHEN 0 THEN c_name ELSE c.c_mktsegment END WHEN n = 0 THEN '' END AS value FROM customer c JOIN ({last}) l ON c.c_nationkey = l.c_nationkey AND c.c_mktsegment = l.c_mktsegment AND c_custkey <= last_row JOIN (VALUES (0), (1)) v(n) ON TRUE",
+        "pick_sheet": "SELECT c_nationkey::VARCHAR AS source, c_mktsegment AS sheet, c_custkey::INT AS row_no FROM customer JOIN (SELECT c_nationkey, arg_max(c_mktsegment, c_custkey) AS c_mktsegment FROM customer GROUP BY c_nationkey) USING (c_nationkey, c_mktsegment)",
+        "data_rows": "SELECT c_nationkey::VARCHAR AS source, c_custkey::INT AS row_no FROM customer WHERE c_custkey > 40 AND c_custkey % 7 <> 0",
+        "wide_rows": "SELECT c_nationkey::VARCHAR AS source, c_mktsegment AS sheet, c_custkey::INT AS row_no, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE '' END AS name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment ELSE '' END AS segment FROM customer",
+    }
+    sql["history_round_trip"] = f"SELECT rec_seq, coalesce(key, '') AS pdf_reg, verdict, CASE WHEN row_no IS NOT NULL THEN name_s END AS name_status FROM ({verdicts})"
     sql["unmatched_table"] = f"SELECT *, 'No PDF supplied for this row' AS note FROM ({sql['unmatched_rows']})"
-    return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()} | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "checks")) for k, v in checks.items()}
+    return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()} | grids | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "checks")) for k, v in checks.items()}

@@ -19,6 +19,14 @@ def test_names(spark):
     assert all(r.got == r.want for r in got)
 
 
+def test_clean_value(spark):
+    rows = [("reg", " no. 25/16-12 x", "25/16-12"), ("reg", "n/a", "n/a"), ("dob", "on 03 Feb, 2001.", "03 Feb, 2001"), ("dob", "x", "x"), ("abc", "ID 1234-5678 90", "1234567890"), ("abc", "12-3", "12-3"), ("name", " : Asha Rao., ", "Asha Rao"), ("name", None, "")]
+    frame = spark.createDataFrame(rows, "field string, v string, want string")
+    for field in ("reg", "dob", "abc", "name"):
+        got = frame.where(F.col("field") == field).select(N.clean_value(field, F.col("v")).alias("got"), "want").collect()
+        assert all(r.got == r.want for r in got), got
+
+
 def test_dates(spark):
     rows = [("2001-02-03", "2001-02-03"), ("03/02/2001", "2001-02-03"), ("02-13-2001", "2001-02-13"), ("3rd Feb 2001", "2001-02-03"), ("Feb 3, 01", "2001-02-03"), ("1.1.31", "1931-01-01"), ("1.1.30", "2030-01-01"), ("31-02-2001", None), ("10000", None), ("36526", "2000-01-01"), ("x", None)]
     got = spark.createDataFrame(rows, "v string, want string").select(parse_date_any(F.col("v")).cast("string").alias("got"), "want", "v").collect()
