@@ -6,10 +6,14 @@ has the largest inner product first, and visits leaves in that order. How many i
 calibrated: for ``PROBES`` queries the true neighbours are found by brute force in blocks,
 and visits are widened until ``RECALL`` of them lie in the visited leaves.
 
-Leaves are split into blocks of bounded size by the hash of vec_id, and a leaf's queries
-likewise; one task compares one block of rows with one block of queries. Each block gives at
-most k rows a query, and the best k of those are the result. Equal scores are computed by
-the same sum for all rows, so ties go to the smaller vec_id wherever the rows lie.
+Leaves lie in the order of the tree and rows are dealt along that order into bins of about
+``BIN`` rows; a large leaf simply covers several bins. A query goes once to each bin that
+holds part of a leaf it visits, with the list of these leaves, and queries are dealt into
+blocks of about ``BLOCK`` a bin. One task multiplies one block by one bin, looks only at
+visited leaves, and gives at most k rows a query; the best k of those are the result. Equal
+scores are computed by the same sum for all rows, so ties go to the smaller vec_id wherever
+the rows lie. How much of the table a query must visit depends on the vectors: where they
+form no clusters, ``RECALL`` asks for most leaves.
 
 Defined cases: vectors that are null, zero, of another length than most, or with a null or
 non-finite component take no part; with fewer than k candidates all are returned; rows that
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import cut
 
 SAMPLE, PROBES, RECALL = 20_000, 200, 0.98
-FAN, LEAF_ROWS, MOST_LEAVES, BLOCK = 8, 400, 4096, 1024
+FAN, LEAF_ROWS, MOST_LEAVES, BLOCK, BIN = 8, 400, 4096, 1024, 4096
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -79,6 +83,17 @@ class KMeansTree:
             todo += [(ids[j], at[near == j]) for j in range(len(ids))]
         return out
 
+    def leaves(self) -> list[int]:
+        """All leaves from left to right."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            if node in self.children:
+                todo += reversed(self.children[node][0])
+            else:
+                out.append(node)
+        return out
+
     def visits(self, q: np.ndarray):
         """Leaves in the order in which a best-bin-first walk reaches them."""
         queue = [(0.0, 0)]
@@ -102,21 +117,43 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("v") == (common["d"] if common else -1))
 
 
-def _best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of a block for each query; the fast product only preselects."""
-    rough = q @ v.T
+def _first_of_equal(vid: np.ndarray, v: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Positions, by vec_id, without rows that have k + 1 equal vectors of smaller ids in their
+    group: at most one of these is the query itself, so k of them always come first."""
+    order = np.argsort(vid, kind="stable")
+    data = np.column_stack([v[order], group[order]])
+    same = np.unique(np.ascontiguousarray(data).view(f"V{data.shape[1] * 8}").ravel(), return_inverse=True)[1]
+    by = np.argsort(same, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(same[by]) != 0])
+    nth = np.empty(len(by), np.int64)
+    nth[by] = np.arange(len(by)) - np.repeat(begin, np.diff(np.r_[begin, len(by)]))
+    return order[nth <= k]
+
+
+def _best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, seen: np.ndarray | None = None, group: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best rows of a bin for each query; ``seen`` (query, group) says which groups of
+    rows it looks at. The fast product only preselects."""
     out = []
-    for i in range(len(qid)):
-        s = np.where(vid == qid[i], -np.inf, rough[i])
-        if len(s) > k:
-            least = np.partition(s, len(s) - k)[len(s) - k]
-            at = np.flatnonzero(s >= least - 1e-9 * (1 + abs(least))) if np.isfinite(least) else np.flatnonzero(np.isfinite(s))
-        else:
-            at = np.flatnonzero(np.isfinite(s))
-        exact = np.einsum("d,nd->n", q[i], v[at])
-        order = np.lexsort((vid[at], -exact))[:k]
-        out.append(pd.DataFrame({"query_id": qid[i], "vec_id": vid[at][order], "score": exact[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    if len(vid):
+        group = np.zeros(len(vid), np.int64) if group is None else group
+        keep = _first_of_equal(vid, v, group, k)
+        vid, v, group = vid[keep], v[keep], group[keep]
+    for i in range(0, len(qid) if len(vid) else 0, 128):
+        own, rows = qid[i : i + 128], q[i : i + 128]
+        rough = rows @ v.T
+        if seen is not None:
+            rough[~seen[i : i + 128][:, group]] = -np.inf
+        rough[own[:, None] == vid[None, :]] = -np.inf
+        least = np.partition(rough, len(vid) - k, axis=1)[:, len(vid) - k] if len(vid) > k else np.full(len(own), -np.inf)
+        some = np.where(np.isfinite(least), least, 0.0)
+        a, b = np.nonzero((rough > -np.inf) & (rough >= np.where(np.isfinite(least), least - 1e-9 * (1 + abs(some)), -np.inf)[:, None]))
+        exact = np.concatenate([np.einsum("nd,nd->n", rows[a[j : j + BIN]], v[b[j : j + BIN]]) for j in range(0, len(a), BIN)]) if len(a) else np.zeros(0)
+        order = np.lexsort((vid[b], -exact, a))
+        a, b, exact = a[order], b[order], exact[order]
+        begin = np.searchsorted(a, a)
+        top = np.arange(len(a)) - begin < k
+        out.append(pd.DataFrame({"query_id": own[a[top]], "vec_id": vid[b[top]], "score": exact[top]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
 
 RESULT = "query_id long, vec_id long, score double"
@@ -146,8 +183,8 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 def calibrate(tree: KMeansTree, rows: DataFrame, probes: list, k: int, recall: float) -> int:
     """Leaf visits after which ``recall`` of the probes' true neighbours have been seen."""
-    true = brute_force(rows, probes, k).select("query_id", "vec_id")
-    where = true.join(rows.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
+    true = brute_force(rows, probes, k).select("query_id", "vec_id")  # at most k a probe
+    where = rows.select("vec_id", "leaf").join(F.broadcast(true), "vec_id").select("query_id", "vec_id", "leaf").distinct().collect()
     nth = {q: {leaf: n for n, leaf in enumerate(tree.visits(np.array(v, float)), 1)} for q, v in probes}
     needed = sorted(nth[r["query_id"]][r["leaf"]] for r in where)
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
@@ -170,31 +207,47 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
                 part = frame.iloc[i : i + BLOCK]
                 yield part.assign(leaf=held.value.leaf_of(_matrix(part["v"])))
 
-    rows = cut(good.mapInPandas(place, "vec_id long, v array<double>, leaf int"))
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    probes = [(r["vec_id"], r["v"]) for r in queries.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(PROBES).select("vec_id", "v").collect()]
+    # u is written with the rows, so it is the same whenever they are read
+    rows = cut(good.mapInPandas(place, "vec_id long, v array<double>, leaf int").withColumn("u", F.rand(9)))
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).select("vec_id", "v")
+    probes = [(r["vec_id"], r["v"]) for r in queries.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(PROBES).collect()]
     most = calibrate(tree, rows, probes, k, recall) if probes else 1
 
+    # one entry a leaf, at most about FAN * MOST_LEAVES of them: where it begins and ends, in bins
+    counts = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}
+    ends, width = np.cumsum([counts.get(x, 0) for x in tree.leaves()]), n / -(-n // BIN)
+    spans = {x: ((int(e) - counts[x]) / width, int(e) / width) for x, e in zip(tree.leaves(), ends, strict=True) if x in counts}
+    within = spark.createDataFrame([(x, *span) for x, span in spans.items()], "leaf int, low double, high double")
+    bin_of = lambda at, high: F.least(F.floor(at), F.ceil(high) - 1).cast("int")
+    dealt = rows.join(F.broadcast(within), "leaf").select(bin_of(F.col("low") + F.col("u") * (F.col("high") - F.col("low")), F.col("high")).alias("bin"), "leaf", "vec_id", "v")
+    spread = spark.sparkContext.broadcast({x: range(int(a), int(np.ceil(b))) for x, (a, b) in spans.items()})
+
     def walk(frames):
         for frame in frames:
-            for i in range(0, len(frame), 32):  # a query is repeated once a visit, so few at a time
-                part = frame.iloc[i : i + 32]
-                out = [(int(q), v, leaf) for q, v in zip(part["vec_id"], part["v"], strict=True) for leaf, _ in zip(held.value.visits(np.asarray(v, float)), range(most), strict=False)]
-                yield pd.DataFrame(out, columns=["vec_id", "v", "leaf"])
-
-    asked = cut(queries.select("vec_id", "v").mapInPandas(walk, "vec_id long, v array<double>, leaf int"))
-    parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    blocks = F.broadcast(cut(parts(rows, "rb").join(parts(asked, "qb"), "leaf")))  # one row per leaf: at most about FAN * MOST_LEAVES
-    cell = lambda df, own, other: df.join(blocks, "leaf").withColumn("x", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("leaf", F.col("x" if own == "rb" else "y").alias("r"), F.col("y" if own == "rb" else "x").alias("q"), "vec_id", "v")
+            for i in range(0, len(frame), 32):  # a query is repeated once a bin, so few at a time
+                out = []
+                for q, v in zip(frame["vec_id"].iloc[i : i + 32], frame["v"].iloc[i : i + 32], strict=True):
+                    by: dict[int, list[int]] = {}
+                    for leaf, _ in zip(held.value.visits(np.asarray(v, float)), range(most), strict=False):
+                        for x in spread.value.get(leaf, ()):
+                            by.setdefault(x, []).append(leaf)
+                    out += [(x, leaves, int(q), v) for x, leaves in by.items()]
+                yield pd.DataFrame(out, columns=["bin", "leaves", "vec_id", "v"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = cut(queries.repartition(tasks, "vec_id").mapInPandas(walk, "bin int, leaves array<int>, vec_id long, v array<double>"))
+    parts = asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qb"))
+    left = dealt.join(parts, "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "leaf", "vec_id", "v")
+    right = asked.join(parts, "bin").select("bin", F.pmod(F.xxhash64("vec_id"), F.col("qb")).cast("int").alias("q"), "leaves", "vec_id", "v")
 
     def compare(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(r) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        r, q = r.sort_values("vec_id"), q.sort_values("vec_id")
-        vid, v = r["vec_id"].to_numpy(), _matrix(r["v"])
-        return pd.concat([_best(q["vec_id"].to_numpy()[i : i + 256], _matrix(q["v"].iloc[i : i + 256]), vid, v, k) for i in range(0, len(q), 256)])
+            return _best(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), k)
+        names, group = np.unique(r["leaf"].to_numpy(), return_inverse=True)
+        seen = np.stack([np.isin(names, x) for x in q["leaves"]])
+        return _best(q["vec_id"].to_numpy(), _matrix(q["v"]), r["vec_id"].to_numpy(), _matrix(r["v"]), k, seen, group)
 
-    near = cell(rows, "rb", "qb").groupBy("leaf", "r", "q").cogroup(cell(asked, "qb", "rb").groupBy("leaf", "r", "q")).applyInPandas(compare, RESULT)
+    near = left.groupBy("bin", "q").cogroup(right.groupBy("bin", "q")).applyInPandas(compare, RESULT)
     return _top(near, k)
 
 
