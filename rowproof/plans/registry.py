@@ -10,6 +10,7 @@ from rowproof.functions import normalize as N
 from rowproof.functions import similarity as S
 from rowproof.functions.dates import fmt_date, parse_date_any
 from rowproof.operators import checks as K
+from rowproof.operators import columns as D
 from rowproof.operators import reconcile as R
 from rowproof.operators import report as A
 from rowproof.operators.compare import FIELDS, Settings, compare_field
@@ -87,6 +88,27 @@ def _cells(spark, sf):
     return rows.select("source", "sheet", "sheet_order", "row_no", F.posexplode(F.array(F.when(F.col("row_no") % 7 != 0, F.col("c_name")).otherwise(""), F.when(F.col("row_no") % 7 != 0, F.col("c_mktsegment")), F.lit(" "))).alias("col_no", "value"))
 
 
+GRID_TITLES = ("Registration No.", "ABC ID", "Student Name", "Father's Name", "Mother's Name", "Date of Birth")
+GRID_FIELDS = ("reg", "abc", "name", "father", "mother", "dob")
+
+
+def _grid(spark, sf):
+    """The derived sheet as the cells of 16 files, each with its header in row 1."""
+    rows = view(spark, sf, "sheet").withColumn("source", (F.col("cid") % 16).cast("string"))
+    cell = lambda value: F.posexplode(F.array(*value)).alias("col_no", "value")
+    body = rows.select("source", "row_no", cell([F.col(f) for f in GRID_FIELDS]))
+    head = rows.select("source").distinct().select("source", F.lit(1).alias("row_no"), cell([F.lit(t) for t in GRID_TITLES]))
+    return body.unionByName(head).withColumn("sheet", F.lit("S"))
+
+
+def _columns(make):
+    def run(spark, sf):
+        cells = _grid(spark, sf)
+        return make(cells, D.detect_header_row(cells), view(spark, sf, "records"))
+
+    return run
+
+
 def _history(spark, sf):
     """Verdicts of a run that was saved in the shared folder and loaded again."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -130,6 +152,10 @@ def queries():
         "pick_sheet": lambda spark, sf: C.pick_sheet(_cells(spark, sf)).select("source", "sheet", "row_no").distinct(),
         "data_rows": lambda spark, sf: C.data_rows(_cells(spark, sf), 40).select("source", "row_no").distinct(),
         "wide_rows": lambda spark, sf: C.wide_rows(_cells(spark, sf), {"name": 0, "segment": 1}),
+        "detect_header_row": _columns(lambda cells, headers, records: headers),
+        "profile_columns": _columns(lambda cells, headers, records: D.profile_columns(cells, headers).select("source", "col_no", "n", "id_like", "uniq", "date_like", "name_like")),
+        "key_overlap": _columns(lambda cells, headers, records: D.key_overlap(cells, headers, records).drop("sheet")),
+        "assign_columns": _columns(lambda cells, headers, records: D.assign_columns(D.column_scores(cells, headers, records)).select("source", "field", "col", "confidence")),
         "history_round_trip": _history,
         "build_checks": lambda spark, sf: K.build_checks(view(spark, sf, "checks")).select("row_no", "nth", "kind", "field", "expected", "claimed"),
         "run_checks": _checked(lambda d: d.select("row_no", "nth", "status")),
@@ -226,5 +252,15 @@ def oracle_sql():
         "wide_rows": "SELECT c_nationkey::VARCHAR AS source, c_mktsegment AS sheet, c_custkey::INT AS row_no, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE '' END AS name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment ELSE '' END AS segment FROM customer",
     }
     sql["history_round_trip"] = f"SELECT rec_seq, coalesce(key, '') AS pdf_reg, verdict, CASE WHEN row_no IS NOT NULL THEN name_s END AS name_status FROM ({verdicts})"
+    grid = " UNION ALL ".join(f"SELECT CAST(cid % 16 AS STRING) AS source, row_no, {i} AS col_no, {f} AS value FROM sheet" for i, f in enumerate(GRID_FIELDS))
+    sql |= {
+        "detect_header_row": "SELECT DISTINCT CAST(cid % 16 AS STRING) AS source, 'S' AS sheet, 1 AS header_row FROM sheet",
+        "profile_columns": f"""SELECT source, col_no, count(*) AS n, avg((regexp_matches(replace(value, ' ', ''), '[0-9]{{5,}}') AND NOT regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))::INT) AS id_like,
+          count(DISTINCT upper(regexp_replace(value, '[^A-Za-z0-9]', '', 'g'))) / count(*) AS uniq, avg(regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')::INT) AS date_like,
+          avg(regexp_full_match(value, '[A-Za-z][A-Za-z. ''-]{{2,}}')::INT) AS name_like FROM (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY row_no) AS nth FROM ({grid})) WHERE nth <= 400 GROUP BY source, col_no""",
+        "key_overlap": f"""SELECT g.source, g.col_no, (SELECT count(*) FROM records r WHERE r.reg IN (SELECT value FROM ({grid}) x WHERE x.source = g.source AND x.col_no = g.col_no)) AS reg_hits,
+          (SELECT count(*) FROM records r WHERE r.abc IN (SELECT value FROM ({grid}) x WHERE x.source = g.source AND x.col_no = g.col_no)) AS abc_hits FROM (SELECT DISTINCT source, col_no FROM ({grid})) g""",
+        "assign_columns": "SELECT DISTINCT CAST(cid % 16 AS STRING) AS source, v.field, v.col, CASE WHEN v.col IS NULL THEN 'none' ELSE 'high' END AS confidence FROM sheet, (VALUES ('reg', 0), ('abc', 1), ('name', 2), ('father', 3), ('mother', 4), ('dob', 5), ('name_last', NULL)) v(field, col)",
+    }
     sql["unmatched_table"] = f"SELECT *, 'No PDF supplied for this row' AS note FROM ({sql['unmatched_rows']})"
     return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()} | grids | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "checks")) for k, v in checks.items()}
