@@ -34,14 +34,27 @@ MEMO = 200_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-class ByteBpe:
-    """Encoder and decoder for one rank file (lines of base64 token and rank)."""
+class Vocabulary:
+    """Decoder for one rank file (lines of base64 token and rank); a few MB."""
 
     def __init__(self, rank_file: bytes, pattern: str):
+        self.token = {int(r): base64.b64decode(t) for t, r in (line.split() for line in rank_file.splitlines() if line)}
+
+    def decode(self, ids: bytes) -> bytes:
+        found = array("I", ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return b"".join(map(self.token.__getitem__, found))
+
+
+class ByteBpe(Vocabulary):
+    """Encoder and decoder for one rank file."""
+
+    def __init__(self, rank_file: bytes, pattern: str):
+        super().__init__(rank_file, pattern)
         # \s of the pattern is Unicode White_Space, without the separators U+001C to U+001F
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in rank_file.splitlines() if line)}
-        self.token = {r: t for t, r in self.ranks.items()}
+        self.ranks = {t: r for r, t in self.token.items()}
         self.longest = ahocorasick.Automaton()
         for t, r in self.ranks.items():
             self.longest.add_word(t.decode("latin-1"), (r, len(t)))
@@ -93,7 +106,7 @@ class ByteBpe:
     def adjacent(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= 4 * MEMO:
+            if len(self.fits) >= MEMO:
                 self.fits.clear()
             known = self.fits[left, right] = self._adjacent(left, right)
         return known
@@ -139,23 +152,15 @@ class ByteBpe:
             out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        found = array("I", ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        return b"".join(map(self.token.__getitem__, found))
-
 
-_BUILT: dict[tuple[int, str], ByteBpe] = {}
+_BUILT: dict[type, tuple[bytes, str, Vocabulary]] = {}
 
 
-def _bpe(rank_file: bytes, pattern: str) -> ByteBpe:
-    """One encoder per worker process, kept between tasks."""
-    key = (hash(rank_file), pattern)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = ByteBpe(rank_file, pattern)
-    return _BUILT[key]
+def _bpe(kind: type, rank_file: bytes, pattern: str):
+    """One encoder and one decoder at most per worker process, kept between tasks."""
+    if kind not in _BUILT or _BUILT[kind][:2] != (rank_file, pattern):
+        _BUILT[kind] = rank_file, pattern, kind(rank_file, pattern)
+    return _BUILT[kind][2]
 
 
 def _add_column(df: DataFrame, source: str, name: str, make) -> DataFrame:
@@ -180,14 +185,14 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text")
     with open(rank_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
     df = df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return _add_column(df, text_col, "ids", lambda: _bpe(ranks.value, pattern).encode)
+    return _add_column(df, text_col, "ids", lambda: _bpe(ByteBpe, ranks.value, pattern).encode)
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """``df`` with ``ids`` replaced by ``decoded`` (binary, the bytes of the text)."""
     with open(rank_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    return _add_column(df, "ids", "decoded", lambda: _bpe(ranks.value, pattern).decode)
+    return _add_column(df, "ids", "decoded", lambda: _bpe(Vocabulary, ranks.value, pattern).decode)
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
