@@ -5,9 +5,12 @@ Each document's set of word shingles gets a signature of 64 minwise tokens. In e
 coordinate, or two with probability 1/4 (5/4 = 1/similarity on average), by a hash of its
 path, and the document goes to the child named by its own minwise token there. Two documents
 of the wanted similarity stay together in about one child a level. A node of at most
-``SMALL`` documents is compared exhaustively; larger nodes branch on, up to ``DEEPEST``.
-What is still large there agrees on that many tokens; it is linked to the node's smallest
-document and compared in chunks.
+``SMALL`` documents is compared exhaustively. In larger nodes the pairs with the smallest
+document are confirmed at once; a node whose documents are then one component is done, the
+others branch on, up to ``DEEPEST``. What is still large and not one component there is
+compared whole, block by block: every pair between two components that the signatures allow
+is confirmed. Chunks of such nodes are compared before that, so that few components are left;
+the work is still quadratic in families that are alike but not near enough to be linked.
 
 Comparison inside a node estimates similarity from the signatures and proposes the edges of
 a maximum spanning forest and each member's three best partners, so proposals grow with a
@@ -36,7 +39,7 @@ from .words import hashed_batches, mix, run_sums
 
 SHINGLE, PERCENT = 5, 80
 COORDS, TREES = 64, 12
-START, STEP, DEEPEST, SMALL = 4, 2, 10, 48
+START, STEP, DEEPEST, SMALL, BLOCK = 4, 2, 10, 48, 2048
 LAST = (1 << 63) - 1  # stands for a null doc_id
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -125,12 +128,16 @@ def branch(rows: DataFrame, levels: int, roots: bool) -> DataFrame:
     return rows.mapInArrow(run, "node long, doc long")
 
 
+def _least(percent: int) -> float:
+    """Equal tokens that a pair of the wanted similarity has but for 4.5 standard deviations."""
+    return COORDS * percent / 100 - 4.5 * (COORDS * percent / 100 * (1 - percent / 100)) ** 0.5
+
+
 def _proposals(doc: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int):
     """Edges of one small node: spanning forest of the best estimates, and three partners each."""
     alike = (sig[:, None, :] == sig[None, :, :]).sum(2)
     low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    least = COORDS * percent / 100 - 4.5 * (COORDS * percent / 100 * (1 - percent / 100)) ** 0.5
-    can = (alike >= least) & (100 * low >= percent * high)
+    can = (alike >= _least(percent)) & (100 * low >= percent * high)
     np.fill_diagonal(can, False)
     if not can.any():
         return []
@@ -182,22 +189,46 @@ def compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("node", "doc", "n", "sig").mapInArrow(run, "a long, b long, alike int")
 
 
-def propose(reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b, alike) of ``reps`` (doc, n, sig)."""
+def _labelled(rows: DataFrame, merged: DataFrame | None, doc: str, name: str) -> DataFrame:
+    """``rows`` with the component of column ``doc``, itself where it has no link."""
+    if merged is None:
+        return rows.withColumn(name, F.col(doc))
+    of = merged.select(F.col("doc").alias(doc), F.col("component").alias("_component"))
+    return rows.join(of, doc, "left").withColumn(name, F.coalesce("_component", doc)).drop("_component")
+
+
+def _apart(pairs: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that run between two components."""
+    return _labelled(_labelled(pairs, merged, "a", "ca"), merged, "b", "cb").where("ca != cb").select("a", "b")
+
+
+def propose(reps: DataFrame, own: DataFrame, k: int, percent: int):
+    """(pairs, big, links, sets): distinct candidate pairs (a, b, alike) of ``reps`` (doc, n, sig);
+    what is still to be compared (node, doc, size), or None; the links (a, b) confirmed on the
+    way and the full sets of the documents of large nodes, or None."""
     rows, leaves, depth = cut(branch(reps.select("doc", "sig"), START, True)), [], START
-    stars = []
+    big = links = sets = merged = None
     while True:
         sizes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least")).where("size > 1"))
         leaves.append(rows.join(sizes.where(F.col("size") <= SMALL).select("node"), "node"))
         large = sizes.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        rows = rows.join(large, "node").select("node", "doc", "size", "least")
+        rows = cut(rows.join(large, "node").select("node", "doc", "size", "least"))
+        if sets is None:
+            sets = cut(full_sets(own.join(rows.select("doc").distinct(), "doc", "left_semi"), k))
+        stars = rows.where("doc != least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
+        found = cut(confirm(_apart(stars, merged), sets, percent))
+        links = found if links is None else links.unionByName(found)
+        merged = cut(connected(links))
+        mixed = _labelled(rows.select("node", "doc"), merged, "doc", "c").groupBy("node").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c != d")
+        rows = cut(rows.join(mixed.select("node"), "node", "left_semi"))
+        if rows.isEmpty():
+            break
         if depth >= DEEPEST:
-            stars.append(rows.where("doc != least").select(F.col("least").alias("a"), F.col("doc").alias("b"), F.lit(COORDS).alias("alike")))
+            big = rows.select("node", "doc", "size")
             chunk = F.pmod(F.xxhash64("doc"), F.ceil(2 * F.col("size") / SMALL))
-            apart = rows.select(F.xxhash64("node", chunk).alias("node"), "doc")
-            leaves.append(apart)  # about SMALL / 2 in each
+            leaves.append(rows.select(F.xxhash64("node", chunk).alias("node"), "doc"))  # about SMALL / 2 in each
             break
         rows = cut(branch(rows.select("node", "doc").join(reps, "doc").select("doc", "sig", "node"), STEP, False))
         depth += STEP
@@ -205,10 +236,49 @@ def propose(reps: DataFrame, percent: int) -> DataFrame:
     for x in leaves[1:]:
         small = small.unionByName(x)
     small = small.join(reps, "doc").repartition("node").sortWithinPartitions("node", "doc")
-    pairs = compare_nodes(small, percent)
-    for x in stars:
-        pairs = pairs.unionByName(x)
-    return cut(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    pairs = cut(compare_nodes(small, percent).groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    return pairs, big, links, sets
+
+
+def compare_blocks(big: DataFrame, reps: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of a node of ``big`` (node, doc, size) that runs between two components
+    and that sizes and signatures allow. A node is dealt into blocks of about ``BLOCK``, and
+    each block meets each other one once."""
+    mixed = _labelled(big, merged, "doc", "c")
+    mixed = mixed.join(mixed.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("node"), "node", "left_semi")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = mixed.withColumn("i", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("node", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("side"), "doc", "c")
+    rows = dealt.join(reps, "doc").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y")
+
+    def run(batches):
+        held, key = [], None
+
+        def done():
+            x, y = [r for r in held if not r[0]], [r for r in held if r[0]]
+            if key is None or not x or (key[1] != key[2] and not y):
+                return
+            y = y if key[1] != key[2] else x
+            (da, ca, na), (db, cb, nb) = (tuple(np.array([r[c] for r in part]) for c in (1, 2, 3)) for part in (x, y))
+            sa, sb = (np.frombuffer(b"".join(r[4] for r in part), np.uint16).reshape(-1, COORDS) for part in (x, y))
+            for i in range(len(da)):
+                can = (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
+                at = np.flatnonzero(can)
+                at = at[(sb[at] == sa[i]).sum(1) >= _least(percent)]
+                if key[1] == key[2]:
+                    at = at[at > i]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(db[at], da[i])), pa.array(np.maximum(db[at], da[i]))], names=["a", "b"])
+
+        for batch in batches:
+            for node, x, y, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if (node, x, y) != key:
+                    yield from done()
+                    held, key = [], (node, x, y)
+                held.append(row)
+        yield from done()
+
+    return rows.select("node", "x", "y", "side", "doc", "c", "n", "sig").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,9 +318,13 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     filled = sketch.where("n > 0")
     sig = F.min_by("sig", "doc")
     reps = cut(filled.groupBy("n", "sum").agg(F.min("doc").alias("doc"), sig.alias("sig")))
-    pairs = propose(reps.groupBy("doc").agg(F.max("n").alias("n"), F.max("sig").alias("sig")), percent)
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    sets = cut(full_sets(own.join(wanted, "doc", "left_semi"), k))
+    reps_of = reps.groupBy("doc").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
+    pairs, big, known, sets = propose(reps_of, own, k, percent)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    if sets is not None:  # those of large nodes are there
+        wanted = wanted.join(sets.select("doc").distinct(), "doc", "left_anti")
+    more = cut(full_sets(own.join(cut(wanted), "doc", "left_semi"), k))
+    sets = more if sets is None else sets.unionByName(more)
     # one or two proposals a document first: the best, and the smallest of the close ones
     each = pairs.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("doc")).withColumn("other", F.when(F.col("doc") == F.col("a"), F.col("b")).otherwise(F.col("a")))
     near = F.when(F.col("alike") >= 0.9 * COORDS, F.col("other"))
@@ -258,9 +332,12 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     first = picked.select("doc", F.explode(F.array_distinct(F.array("x", "y"))).alias("other")).where("other is not null")
     first = first.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
     links = cut(confirm(first, sets, percent))
+    if known is not None:
+        links = links.unionByName(known)
     merged = cut(connected(links))
-    of = lambda c: merged.select(F.col("doc").alias(c), F.col("component").alias(f"c{c}"))
-    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+    rest = _apart(pairs, merged)
+    if big is not None:
+        rest = cut(rest.unionByName(compare_blocks(big, reps_of, merged, percent)).distinct())
     rest = rest.join(first, ["a", "b"], "left_anti")
     links = links.unionByName(confirm(rest, sets, percent))
     found = cut(connected(links))

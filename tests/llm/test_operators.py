@@ -66,6 +66,19 @@ def test_near_groups(spark, texts, k):
     assert {tuple(r) for r in got} == {(i, len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
 
 
+def test_near_groups_of_a_large_family(spark, monkeypatch):
+    """Pairs at about 0.85 among 240 documents of one template, which are at 0.75 and stay apart.
+    Nodes stay large here as they do in families of many thousands at the depth in use."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "DEEPEST", near_dedup.START)
+    monkeypatch.setattr(near_dedup, "BLOCK", 50, raising=False)
+    template = " ".join(f"t{i}" for i in range(120))
+    tail = lambda i: [f"u{i}x{j}" for j in range(20)]
+    family = [" ".join([template, *(tail(i - 120)[:9] + tail(i)[9:] if 120 <= i < 160 else tail(i))]) for i in range(240)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(_docs(spark, family), k=2).collect()}
+    assert got == {i: i - 120 if 120 <= i < 160 else i for i in range(240)}
+
+
 def test_repeats(spark, texts):
     words = [re.findall(WORDS, t or "") for t in texts]
     first = {}
