@@ -12,12 +12,12 @@ compared whole, block by block: every pair between two components that the signa
 is confirmed. Chunks of such nodes are compared before that, so that few components are left;
 the work is still quadratic in families that are alike but not near enough to be linked.
 
-Comparison inside a node estimates similarity from the signatures and proposes the edges of
-a maximum spanning forest and each member's three best partners, so proposals grow with a
-node's members, not with their pairs. Proposed pairs are confirmed on full shingle sets:
-first one or two edges a document; then, once those have merged most groups, every proposal
-that still runs between two components. Equal sets are merged before all this, so exact
-copies cost one row each and are never paired.
+Comparison inside a node estimates similarity from the signatures and proposes every pair
+whose estimate is within 4.5 standard deviations of the wanted one, fewer than ``SMALL`` / 2
+a member. Proposed pairs are confirmed on full shingle sets: first one or two edges a
+document; then, once those have merged most groups, every proposal that still runs between
+two components. So no pair of a node is left untried unless its ends are already linked.
+Equal sets are merged before all this, so exact copies cost one row each and are never paired.
 
 Defined cases: a text with fewer words than a shingle is one shingle, its whole sequence; a
 text without words has the empty set and is linked with nothing; null texts count as empty;
@@ -134,31 +134,11 @@ def _least(percent: int) -> float:
 
 
 def _proposals(doc: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int):
-    """Edges of one small node: spanning forest of the best estimates, and three partners each."""
+    """(a, b, alike) of every pair of one small node that sizes and signatures allow."""
     alike = (sig[:, None, :] == sig[None, :, :]).sum(2)
     low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    can = (alike >= _least(percent)) & (100 * low >= percent * high)
-    np.fill_diagonal(can, False)
-    if not can.any():
-        return []
-    i, j = np.nonzero(np.triu(can))
-    order = np.argsort(-alike[i, j], kind="stable")
-    root, degree, out = list(range(len(doc))), [0] * len(doc), []
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        x, y = find(a), find(b)
-        if x != y or degree[a] < 3 or degree[b] < 3:
-            root[x] = y
-            degree[a] += 1
-            degree[b] += 1
-            out.append((min(doc[a], doc[b]), max(doc[a], doc[b]), int(alike[a, b])))
-    return out
+    i, j = np.nonzero(np.triu((alike >= _least(percent)) & (100 * low >= percent * high), 1))
+    return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), alike[i, j]
 
 
 def compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
@@ -170,10 +150,10 @@ def compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
         def done():
             if len(held) > 1:
                 docs = np.array([x[0] for x in held])
-                yield from _proposals(docs, np.array([x[1] for x in held]), np.frombuffer(b"".join(x[2] for x in held), np.uint16).reshape(-1, COORDS), percent)
+                yield _proposals(docs, np.array([x[1] for x in held]), np.frombuffer(b"".join(x[2] for x in held), np.uint16).reshape(-1, COORDS), percent)
 
         def packed(found):
-            a, b, alike = zip(*found, strict=True) if found else ((), (), ())
+            a, b, alike = (np.concatenate([x[c] for x in found]) if found else () for c in range(3))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.int32())], names=["a", "b", "alike"])
 
         for batch in batches:

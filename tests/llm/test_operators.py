@@ -79,6 +79,16 @@ def test_near_groups_of_a_large_family(spark, monkeypatch):
     assert got == {i: i - 120 if 120 <= i < 160 else i for i in range(240)}
 
 
+def test_near_proposals_are_all_pairs_of_a_node():
+    """One pair at a lower estimate among 46 siblings that estimate higher than they are."""
+    import numpy as np
+
+    sig = np.zeros((48, near_dedup.COORDS), np.uint16)
+    sig[47, :20] = 1  # agrees on 44 of 64 with each other document
+    a, b, _ = near_dedup._proposals(np.arange(48), np.full(48, 200), sig, 80)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, j) for i in range(48) for j in range(i + 1, 48)]
+
+
 def test_repeats(spark, texts):
     words = [re.findall(WORDS, t or "") for t in texts]
     first = {}
