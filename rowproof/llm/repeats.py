@@ -12,7 +12,8 @@ level as one aggregation, and only suffixes whose prefix is shared go deeper:
    row (8-word prefix, hash of all its words, doc_id, place); about one per 22 words.
 2. Level of whole segments. Equal segments share all their windows at once: the smallest
    doc_id keeps them, later ones are repeats. Only the first holder of a segment goes deeper,
-   and only if other segments share its 8-word prefix.
+   with every place where it has the segment, and only if other segments share its 8-word
+   prefix.
 3. Level of 50 words. The windows of those first holders, by hash: the smallest doc_id of
    each node, and the windows of other documents on that node.
 
@@ -114,11 +115,15 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """(doc, spans): first word and number of words of what is repeated; spans may overlap."""
     rows = cut(segment_rows(docs, window, prefix))
-    held = cut(rows.groupBy("prefix", "segment").agg(F.min(F.struct("doc", "first", "n")).alias("owner"), F.max("doc").alias("last")))
+    held = cut(rows.groupBy("prefix", "segment").agg(F.min(F.struct("doc", "first", "n")).alias("owner"), F.max("doc").alias("last"), F.max(F.struct(F.bitwise_not("doc"), "first")).getField("first").alias("again")))
     copied = held.where("last > owner.doc").select("prefix", "segment", F.col("owner.doc").alias("holder"))
     later = rows.join(copied, ["prefix", "segment"]).where("doc > holder").select("doc", "first", (F.col("n") + window - 1).alias("n"))
     mixed = held.groupBy("prefix").agg(F.count(F.lit(1)).alias("k"), F.min("owner.doc").alias("a"), F.max("owner.doc").alias("b")).where("k > 1 and a < b").select("prefix")
-    deeper = held.join(mixed, "prefix", "left_semi").select("owner.*").groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    open_ = cut(held.join(mixed, "prefix", "left_semi").select("prefix", "segment", "owner", "again"))
+    # the owner's other places of the same segment: its windows there are on the same nodes
+    twice = cut(open_.where("again != owner.first").select("prefix", "segment", F.col("owner.doc").alias("doc"), F.col("owner.first").alias("one")))
+    places = rows.join(twice, ["prefix", "segment", "doc"]).where("first != one").select("doc", "first", "n")
+    deeper = open_.select("owner.*").unionByName(places).groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     windows = cut(window_rows(docs.join(deeper, "doc"), window))
     nodes = windows.groupBy("node").agg(F.min("doc").alias("holder"), F.max("doc").alias("last")).where("last > holder").select("node", "holder")
     split = windows.join(nodes, "node").where("doc > holder").select("doc", "first", F.lit(window).alias("n"))

@@ -103,6 +103,27 @@ def test_repeats(spark, texts):
     assert {(r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text).decode()) for r in got} == want
 
 
+def test_repeats_twice_in_the_owner(spark):
+    """A document that repeats a passage shared with an earlier one loses it in every place."""
+    rng = random.Random(9)
+    run = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    out = []
+    for _ in range(6):
+        p, u, v = run(70), run(60), run(60)
+        out += [f"{run(55)} {p} {run(55)}", " ".join([u, p, v] * 3), f"{u} {p} {v}"]
+    words = [t.split(" ") for t in out]
+    first = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    want = {}
+    for i, w in enumerate(words):
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(50)}
+        want[i] = (len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    got = repeats.cut_repeats(_docs(spark, out)).collect()
+    assert {r.doc_id: (r.n_removed, bytes(r.kept_text).decode()) for r in got} == want
+
+
 def test_bpe_round_trip(spark):
     import tiktoken
 
