@@ -1,29 +1,34 @@
 """Near duplicates by a chosen-path set similarity join.
 
-Each document's set of word shingles gets a signature of 64 minwise tokens. In each of
-``TREES`` independent trees a document walks down from the root: a node chooses one
-coordinate, or two with probability 1/4 (5/4 = 1/similarity on average), by a hash of its
-path, and the document goes to the child named by its own minwise token there. Two documents
-of the wanted similarity stay together in about one child a level. A node of at most
-``SMALL`` documents is compared exhaustively. In larger nodes the pairs with the smallest
-document are confirmed at once; a node whose documents are then one component is done, the
-others branch on, up to ``DEEPEST``. What is still large and not one component there is
-compared whole, block by block: every pair between two components that the signatures allow
-is confirmed. Chunks of such nodes are compared before that, so that few components are left;
-the work is still quadratic in families that are alike but not near enough to be linked.
-
-Comparison inside a node estimates similarity from the signatures and proposes every pair
-whose estimate is within 4.5 standard deviations of the wanted one, fewer than ``SMALL`` / 2
-a member. Proposed pairs are confirmed on full shingle sets: first one or two edges a
-document; then, once those have merged most groups, every proposal that still runs between
-two components. So no pair of a node is left untried unless its ends are already linked.
-Equal sets are merged before all this, so exact copies cost one row each and are never paired.
+Each row's set of word shingles gets a signature of 64 minwise tokens. In each of ``TREES``
+independent trees a row walks down from the root: a node chooses one coordinate, or two with
+probability 1/4 (5/4 = 1/similarity on average), by a hash of its path, and the row goes to
+the child named by its own minwise token there. Two rows of the wanted similarity stay
+together in about one child a level. All rows walk ``START`` levels; a node of more than
+``SMALL`` rows then has its smallest row confirmed against all others, and walks on, ``STEP``
+levels at a time, unless that made it one component. A node whose rows mostly stay together
+on the way gains nothing from it, and is dealt into blocks instead, every two of which meet.
+
+The nodes at the end are compared exhaustively, in two passes. First each row proposes the
+row that it resembles most and the row that resembles most of the node, by the signatures;
+both are confirmed on full shingle sets. After that most nodes are one component. In those
+that are not, rows whose signatures allow a link into another component bring their full
+sets, and every such pair is tested: the intersection sizes of a node are one product of its
+row-by-shingle matrices. So no pair that a node holds and the signatures allow (within 4.5
+standard deviations of the wanted similarity) is left untried unless its ends are linked
+already, and a node gives a few rows a member, never its pairs.
+
+Rows of equal sets are one class from the start (equal size and two 64-bit sums of the set,
+mixed differently), so exact copies cost one row each and are never paired.
 
 Defined cases: a text with fewer words than a shingle is one shingle, its whole sequence; a
-text without words has the empty set and is linked with nothing; null texts count as empty;
-null ids share one component, named null, with rows of equal sets only if these have no id;
-rows that repeat an id are linked as their texts are; texts are read whole; an empty table
-gives an empty result.
+text without words has the empty set and is linked with nothing; null texts count as empty.
+Links join rows, whatever their ids: rows that repeat an id, or have none, are linked as their
+texts are. component_id is the smallest id of the component, null if no row of it has one; of
+each component one row is kept, that with the smallest id (rows without id come last; of rows
+that repeat the smallest id one stays). Texts are read whole; an empty table gives an empty
+result; other columns, whatever their names, are passed over by the report and kept by the
+filter.
 """
 
 from __future__ import annotations
@@ -34,18 +39,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .store import cut, documents
+from .store import cut, documents, free_name, numbered
 from .words import hashed_batches, mix, run_sums
 
 SHINGLE, PERCENT = 5, 80
 COORDS, TREES = 64, 12
-START, STEP, DEEPEST, SMALL, BLOCK = 4, 2, 10, 48, 2048
-LAST = (1 << 63) - 1  # stands for a null doc_id
+START, STEP, SMALL, BLOCK = 4, 2, 1024, 1024
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(11))
 _A = _rng.integers(0, 1 << 63, COORDS, dtype=_U) * _U(2) + _U(1)
 _B = _rng.integers(0, 1 << 63, COORDS, dtype=_U)
 _P = 0xC2B2AE3D27D4EB4F
+_OTHER = _U(0x9E3779B97F4A7C15)
+CLASS = ["n", "sum", "sum2"]
 
 
 def shingle_sets(h: np.ndarray, at: np.ndarray, k: int):
@@ -77,22 +83,25 @@ def _fixed(values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(values), [None, offsets, data])
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, n, sum, sig): set size, order-free 64-bit sum of the set, signature; sig is null
-    for the empty set."""
+def sketches(rows: DataFrame, k: int) -> DataFrame:
+    """(doc, n, sum, sum2, sig): set size, two order-free 64-bit sums of the set, signature; sig
+    is null for the empty set."""
+    names = ["doc", *CLASS, "sig"]
 
     def run(batches):
-        for rows, _, h, at, _, _ in hashed_batches(batches, lower=True):
+        for part, _, h, at, _, _ in hashed_batches(batches, lower=True):
             sets = list(shingle_sets(h, at, k))
             some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
             none = pa.array([i for i, s in enumerate(sets) if not len(s)], pa.int64())
             if len(some):
-                sums = np.array([mix(sets[i]).sum(dtype=_U) for i in some], _U)
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int64()), pa.array(sums.view(np.int64)), _fixed(_signatures([sets[i] for i in some]))], names=["doc", "n", "sum", "sig"])
+                size = pa.array([len(sets[i]) for i in some], pa.int64())
+                sums = [np.array([mix(sets[i] * odd).sum(dtype=_U) for i in some], _U) for odd in (_U(1), _OTHER)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), size, *[pa.array(s.view(np.int64)) for s in sums], _fixed(_signatures([sets[i] for i in some]))], names=names)
             if len(none):
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(none), pa.array([0] * len(none), pa.int64()), pa.array([0] * len(none), pa.int64()), pa.nulls(len(none), pa.binary())], names=["doc", "n", "sum", "sig"])
+                zero = pa.array(np.zeros(len(none), np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(none), zero, zero, zero, pa.nulls(len(none), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc long, n long, sum long, sig binary")
+    return rows.mapInArrow(run, "doc long, n long, sum long, sum2 long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -111,7 +120,7 @@ def descend(path: np.ndarray, row: np.ndarray, sig: np.ndarray, levels: int):
 
 
 def branch(rows: DataFrame, levels: int, roots: bool) -> DataFrame:
-    """(doc, sig[, node]) -> (node, doc), ``levels`` further down every path."""
+    """(doc, sig[, node]) -> (parent, node, doc), ``levels`` further down every path."""
 
     def run(batches):
         for batch in batches:
@@ -120,12 +129,16 @@ def branch(rows: DataFrame, levels: int, roots: bool) -> DataFrame:
                 sig = _matrix(part.column(1))
                 if roots:
                     path, row = mix(np.repeat(np.arange(1, TREES + 1, dtype=_U), len(part))), np.tile(np.arange(len(part)), TREES)
+                    above = None
                 else:
                     path, row = part.column(2).to_numpy().view(_U), np.arange(len(part))
+                    above = part.column(2)
                 path, row = descend(path, row, sig, levels)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), part.column(0).take(pa.array(row))], names=["node", "doc"])
+                at = pa.array(row)
+                parent = pa.nulls(len(row), pa.int64()) if above is None else above.take(at)
+                yield pa.RecordBatch.from_arrays([parent, pa.array(path.view(np.int64)), part.column(0).take(at)], names=["parent", "node", "doc"])
 
-    return rows.mapInArrow(run, "node long, doc long")
+    return rows.mapInArrow(run, "parent long, node long, doc long")
 
 
 def _least(percent: int) -> float:
@@ -133,43 +146,108 @@ def _least(percent: int) -> float:
     return COORDS * percent / 100 - 4.5 * (COORDS * percent / 100 * (1 - percent / 100)) ** 0.5
 
 
-def _proposals(doc: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int):
-    """(a, b, alike) of every pair of one small node that sizes and signatures allow."""
-    alike = (sig[:, None, :] == sig[None, :, :]).sum(2)
+def alike(sig: np.ndarray) -> np.ndarray:
+    """Equal tokens of every two rows of ``sig``, as uint8."""
+    out = np.zeros((len(sig), len(sig)), np.uint8)
+    for k in range(COORDS):
+        c = np.ascontiguousarray(sig[:, k])
+        out += c[:, None] == c[None, :]
+    return out
+
+
+def possible(n: np.ndarray, comp: np.ndarray, same: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a node sizes and signatures allow, between two components."""
     low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    i, j = np.nonzero(np.triu((alike >= _least(percent)) & (100 * low >= percent * high), 1))
-    return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), alike[i, j]
+    return (same >= _least(percent)) & (100 * low >= percent * high) & (comp[:, None] != comp[None, :])
+
+
+def _first_pass(node, rows, percent):
+    """Two proposals a row: the row it resembles most, and the one that resembles most rows."""
+    doc = np.array([x[0] for x in rows])
+    same = alike(np.frombuffer(b"".join(x[3] for x in rows), np.uint16).reshape(-1, COORDS))
+    can = possible(np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), same, percent)
+    some = np.flatnonzero(can.any(1))
+    if not len(some):
+        return None
+    weight = np.where(can, same, 0)
+    best, hub = weight[some].argmax(1), int(weight.sum(1, dtype=np.int64).argmax())
+    near = some[can[some, hub]]
+    a, b = np.r_[doc[some], doc[near]], np.r_[doc[best], np.full(len(near), doc[hub])]
+    return [np.full(len(a), node), np.minimum(a, b), np.maximum(a, b)]
+
+
+def _open_rows(node, rows, percent):
+    """The rows that a pair between two components may still link."""
+    same = alike(np.frombuffer(b"".join(x[3] for x in rows), np.uint16).reshape(-1, COORDS))
+    can = possible(np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), same, percent)
+    some = np.flatnonzero(can.any(1))
+    return [np.full(len(some), node), np.array([x[0] for x in rows])[some]] if len(some) else None
+
+
+def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections; shingles that only one set has are left out, the
+    others are columns of a 0/1 matrix, a few thousand of which are multiplied at a time."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, word, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[word] > 1
+    word, owner = shared[word[keep]], owner[keep]
+    order = np.argsort(word, kind="stable")
+    word, owner = word[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)  # exact up to 2^24 shingles
+    for low in range(0, int(word[-1]) + 1 if len(word) else 0, columns):
+        a, b = np.searchsorted(word, [low, low + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[a:b], word[a:b] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _confirmed(node, rows, percent):
+    """Every pair of a node between two components, tested on full sets; (row, smallest row
+    that it reaches over links) for the rows that a link joins."""
+    doc, n, comp = (np.array([x[c] for x in rows]) for c in range(3))
+    same = alike(np.frombuffer(b"".join(x[3] for x in rows), np.uint16).reshape(-1, COORDS))
+    both = intersections([np.frombuffer(x[4], _U) for x in rows])
+    link = possible(n, comp, same, percent) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    label = np.arange(len(doc))
+    while True:
+        least = np.minimum(label, np.where(link, label[None, :], len(doc)).min(1))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    moved = np.flatnonzero(label != np.arange(len(doc)))
+    return [doc[label[moved]], doc[moved]] if len(moved) else None
 
 
-def compare_nodes(rows: DataFrame, percent: int) -> DataFrame:
-    """(node, doc, n, sig), at most SMALL a node, in the order of nodes -> (a, b, alike)."""
+def by_node(rows: DataFrame, one, schema: str) -> DataFrame:
+    """``rows`` (node, doc, n, comp, sig[, items]), sorted by node, through ``one`` node by node."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         held, node = [], None
 
-        def done():
-            if len(held) > 1:
-                docs = np.array([x[0] for x in held])
-                yield _proposals(docs, np.array([x[1] for x in held]), np.frombuffer(b"".join(x[2] for x in held), np.uint16).reshape(-1, COORDS), percent)
-
         def packed(found):
-            a, b, alike = (np.concatenate([x[c] for x in found]) if found else () for c in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.int32())], names=["a", "b", "alike"])
+            cols = [np.concatenate([x[c] for x in found]) if found else np.zeros(0, np.int64) for c in range(len(names))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         for batch in batches:
             found = []
-            for at, doc, n, sig in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for at, *row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
                 if at != node:
-                    found += done()
+                    if len(held) > 1 and (made := one(node, held)) is not None:
+                        found.append(made)
                     held, node = [], at
-                held.append((doc, n, sig))
+                held.append(row)
             yield packed(found)
-        yield packed(list(done()))
+        yield packed([made] if len(held) > 1 and (made := one(node, held)) is not None else [])
 
-    return rows.select("node", "doc", "n", "sig").mapInArrow(run, "a long, b long, alike int")
+    return rows.mapInArrow(run, schema)
 
 
-def _labelled(rows: DataFrame, merged: DataFrame | None, doc: str, name: str) -> DataFrame:
+def labelled(rows: DataFrame, merged: DataFrame | None, doc: str = "doc", name: str = "comp") -> DataFrame:
     """``rows`` with the component of column ``doc``, itself where it has no link."""
     if merged is None:
         return rows.withColumn(name, F.col(doc))
@@ -177,88 +255,20 @@ def _labelled(rows: DataFrame, merged: DataFrame | None, doc: str, name: str) ->
     return rows.join(of, doc, "left").withColumn(name, F.coalesce("_component", doc)).drop("_component")
 
 
-def _apart(pairs: DataFrame, merged: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) that run between two components."""
-    return _labelled(_labelled(pairs, merged, "a", "ca"), merged, "b", "cb").where("ca != cb").select("a", "b")
+def mixed_nodes(rows: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """(node) of the nodes of ``rows`` (node, doc) that are not one component."""
+    return labelled(rows.select("node", "doc"), merged).groupBy("node").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("node")
 
 
-def propose(reps: DataFrame, own: DataFrame, k: int, percent: int):
-    """(pairs, big, links, sets): distinct candidate pairs (a, b, alike) of ``reps`` (doc, n, sig);
-    what is still to be compared (node, doc, size), or None; the links (a, b) confirmed on the
-    way and the full sets of the documents of large nodes, or None."""
-    rows, leaves, depth = cut(branch(reps.select("doc", "sig"), START, True)), [], START
-    big = links = sets = merged = None
-    while True:
-        sizes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least")).where("size > 1"))
-        leaves.append(rows.join(sizes.where(F.col("size") <= SMALL).select("node"), "node"))
-        large = sizes.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            break
-        rows = cut(rows.join(large, "node").select("node", "doc", "size", "least"))
-        if sets is None:
-            sets = cut(full_sets(own.join(rows.select("doc").distinct(), "doc", "left_semi"), k))
-        stars = rows.where("doc != least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-        found = cut(confirm(_apart(stars, merged), sets, percent))
-        links = found if links is None else links.unionByName(found)
-        merged = cut(connected(links))
-        mixed = _labelled(rows.select("node", "doc"), merged, "doc", "c").groupBy("node").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c != d")
-        rows = cut(rows.join(mixed.select("node"), "node", "left_semi"))
-        if rows.isEmpty():
-            break
-        if depth >= DEEPEST:
-            big = rows.select("node", "doc", "size")
-            chunk = F.pmod(F.xxhash64("doc"), F.ceil(2 * F.col("size") / SMALL))
-            leaves.append(rows.select(F.xxhash64("node", chunk).alias("node"), "doc"))  # about SMALL / 2 in each
-            break
-        rows = cut(branch(rows.select("node", "doc").join(reps, "doc").select("doc", "sig", "node"), STEP, False))
-        depth += STEP
-    small = leaves[0]
-    for x in leaves[1:]:
-        small = small.unionByName(x)
-    small = small.join(reps, "doc").repartition("node").sortWithinPartitions("node", "doc")
-    pairs = cut(compare_nodes(small, percent).groupBy("a", "b").agg(F.max("alike").alias("alike")))
-    return pairs, big, links, sets
-
-
-def compare_blocks(big: DataFrame, reps: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b) of a node of ``big`` (node, doc, size) that runs between two components
-    and that sizes and signatures allow. A node is dealt into blocks of about ``BLOCK``, and
-    each block meets each other one once."""
-    mixed = _labelled(big, merged, "doc", "c")
-    mixed = mixed.join(mixed.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("node"), "node", "left_semi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = mixed.withColumn("i", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("node", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("side"), "doc", "c")
-    rows = dealt.join(reps, "doc").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y")
+def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc, items): the shingle set as sorted little 64-bit integers."""
 
     def run(batches):
-        held, key = [], None
-
-        def done():
-            x, y = [r for r in held if not r[0]], [r for r in held if r[0]]
-            if key is None or not x or (key[1] != key[2] and not y):
-                return
-            y = y if key[1] != key[2] else x
-            (da, ca, na), (db, cb, nb) = (tuple(np.array([r[c] for r in part]) for c in (1, 2, 3)) for part in (x, y))
-            sa, sb = (np.frombuffer(b"".join(r[4] for r in part), np.uint16).reshape(-1, COORDS) for part in (x, y))
-            for i in range(len(da)):
-                can = (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
-                at = np.flatnonzero(can)
-                at = at[(sb[at] == sa[i]).sum(1) >= _least(percent)]
-                if key[1] == key[2]:
-                    at = at[at > i]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(db[at], da[i])), pa.array(np.maximum(db[at], da[i]))], names=["a", "b"])
-
-        for batch in batches:
-            for node, x, y, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-                if (node, x, y) != key:
-                    yield from done()
-                    held, key = [], (node, x, y)
-                held.append(row)
-        yield from done()
+        for rows, _, h, at, _, _ in hashed_batches(batches, lower=True):
+            items = pa.array([s.tobytes() for s in shingle_sets(h, at, k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), items], names=["doc", "items"])
 
-    return rows.select("node", "x", "y", "side", "doc", "c", "n", "sig").mapInArrow(run, "a long, b long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, items binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -280,56 +290,95 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, items): the shingle set as sorted little 64-bit integers."""
+def blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, doc, size) of nodes that are too large -> (node, doc) of nodes of about two
+    blocks each: every two blocks of an old node are a new one."""
+    n = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(2)).cast("int")
+    dealt = rows.withColumn("i", F.pmod(F.xxhash64("doc"), n).cast("int")).withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), n - 1), lambda j: j != F.pmod(F.xxhash64("doc"), n))))
+    return dealt.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "doc")
 
-    def run(batches):
-        for rows, _, h, at, _, _ in hashed_batches(batches, lower=True):
-            items = pa.array([s.tobytes() for s in shingle_sets(h, at, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), items], names=["doc", "items"])
 
-    return docs.mapInArrow(run, "doc long, items binary")
+def leaf_nodes(reps: DataFrame, own: DataFrame, k: int, percent: int):
+    """(nodes, links): what is to be compared whole (node, doc), at most about 2 * BLOCK rows a
+    node, and the links (a, b) that were confirmed on the way, or None."""
+    rows, leaves, links, merged = cut(branch(reps.select("doc", "sig"), START, True)), [], None, None
+    while True:
+        sizes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least")).where("size > 1"))
+        leaves.append(rows.join(sizes.where(F.col("size") <= SMALL).select("node"), "node").select("node", "doc"))
+        large = sizes.where(F.col("size") > SMALL)
+        if large.isEmpty():
+            break
+        rows = cut(rows.join(large, "node").select("node", "doc", "size", "least"))
+        stars = rows.where("doc != least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
+        stars = cut(labelled(labelled(stars, merged, "a", "ca"), merged, "b", "cb").where("ca != cb").select("a", "b"))
+        wanted = stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        found = cut(confirm(stars, cut(full_sets(own.join(wanted, "doc", "left_semi"), k)), percent))
+        links = found if links is None else links.unionByName(found)
+        merged = cut(connected(links))
+        rows = cut(rows.join(mixed_nodes(rows, merged), "node", "left_semi"))
+        if rows.isEmpty():
+            break
+        below = cut(branch(rows.select("node", "doc").join(reps, "doc").select("doc", "sig", "node"), STEP, False))
+        # a child that holds most of its parent: the parent's rows do not part, it is dealt out
+        kept = below.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("of")).groupBy("parent").agg(F.max("of").alias("of"))
+        stuck = cut(rows.groupBy("node").agg(F.max("size").alias("size")).join(kept.withColumnRenamed("parent", "node"), "node").where("2 * of > size").select("node"))
+        leaves.append(blocks(rows.join(stuck, "node", "left_semi").select("node", "doc", "size")))
+        rows = below.join(stuck.withColumnRenamed("node", "parent"), "parent", "left_anti")
+    small = leaves[0]
+    for x in leaves[1:]:
+        small = small.unionByName(x)
+    return small, links
 
 
-def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
-    sketch = cut(sketches(own, k))
-    filled = sketch.where("n > 0")
-    sig = F.min_by("sig", "doc")
-    reps = cut(filled.groupBy("n", "sum").agg(F.min("doc").alias("doc"), sig.alias("sig")))
-    reps_of = reps.groupBy("doc").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
-    pairs, big, known, sets = propose(reps_of, own, k, percent)
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node", "doc")
+
+
+def links_of(reps: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect every component of ``reps`` (doc, n, sig)."""
+    nodes, links = leaf_nodes(reps, own, k, percent)
+    merged = None if links is None else cut(connected(links))
+    wide = lambda rows, *more: labelled(rows, merged).join(reps, "doc").select("node", "doc", "n", "comp", "sig", *more)
+    asked = cut(by_node(_in_order(wide(nodes)), lambda node, rows: _first_pass(node, rows, percent), "node long, a long, b long"))
+    pairs = cut(asked.select("a", "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    if sets is not None:  # those of large nodes are there
-        wanted = wanted.join(sets.select("doc").distinct(), "doc", "left_anti")
-    more = cut(full_sets(own.join(cut(wanted), "doc", "left_semi"), k))
-    sets = more if sets is None else sets.unionByName(more)
-    # one or two proposals a document first: the best, and the smallest of the close ones
-    each = pairs.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("doc")).withColumn("other", F.when(F.col("doc") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-    near = F.when(F.col("alike") >= 0.9 * COORDS, F.col("other"))
-    picked = each.groupBy("doc").agg(F.max_by("other", F.struct("alike", -F.col("other"))).alias("x"), F.min(near).alias("y"))
-    first = picked.select("doc", F.explode(F.array_distinct(F.array("x", "y"))).alias("other")).where("other is not null")
-    first = first.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-    links = cut(confirm(first, sets, percent))
-    if known is not None:
-        links = links.unionByName(known)
+    sets = cut(full_sets(own.join(wanted, "doc", "left_semi"), k))
+    found = cut(confirm(pairs, sets, percent))
+    links = found if links is None else links.unionByName(found)
     merged = cut(connected(links))
-    rest = _apart(pairs, merged)
-    if big is not None:
-        rest = cut(rest.unionByName(compare_blocks(big, reps_of, merged, percent)).distinct())
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(confirm(rest, sets, percent))
-    found = cut(connected(links))
-    named = reps.select("n", "sum", "doc").join(found, "doc", "left").select("n", "sum", F.coalesce("component", "doc").alias("component"))
-    shared = sketch.join(named, ["n", "sum"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
-    return shared.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(LAST)).alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    # nodes that proposed something and are still not one component
+    left = nodes.join(asked.select("node").distinct(), "node", "left_semi")
+    left = cut(left.join(mixed_nodes(left, merged), "node", "left_semi"))
+    open_ = cut(by_node(_in_order(wide(left)), lambda node, rows: _open_rows(node, rows, percent), "node long, doc long"))
+    exact = by_node(_in_order(wide(open_).join(sets, "doc").select("node", "doc", "n", "comp", "sig", "items")), lambda node, rows: _confirmed(node, rows, percent), "a long, b long")
+    return links.unionByName(exact)
+
+
+def grouped(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``rows`` (rid, doc_id, text), written with their rids -> rid, doc_id, n_shingles,
+    component_id, kept."""
+    own = rows.select(F.col("rid").alias("doc"), F.col("text").cast("string").alias("text"))
+    sketch = cut(sketches(own, k))
+    reps = cut(sketch.where("n > 0").groupBy(*CLASS).agg(F.min("doc").alias("doc"), F.min_by("sig", "doc").alias("sig")))
+    found = cut(connected(links_of(reps.select("doc", "n", "sig"), own, k, percent)))
+    named = labelled(reps.select(*CLASS, "doc"), found).select(*CLASS, "comp")
+    of = sketch.select("doc", *CLASS).join(named, CLASS, "left").select(F.col("doc").alias("rid"), F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("comp"))
+    of = cut(of.join(rows.select("rid", "doc_id"), "rid"))
+    first = of.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
+    return of.join(first, "comp").select("rid", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
+
+
+def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return grouped(numbered(docs.select("doc_id", "text")), k, percent).drop("rid")
 
 
 def drop_near_copies(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document, the smallest id, of each group."""
-    dropped = cut(near_groups(docs, k, percent).where("not kept").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component; columns unchanged."""
+    name = free_name(docs, "rid")
+    rows = cut(docs.withColumn(name, F.monotonically_increasing_id()))
+    gone = cut(grouped(rows.select(F.col(name).alias("rid"), "doc_id", "text"), k, percent).where("not kept").select(F.col("rid").alias(name)))
+    return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 
 def op3_near_dedup(spark, sf_dir):

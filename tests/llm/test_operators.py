@@ -66,27 +66,56 @@ def test_near_groups(spark, texts, k):
     assert {tuple(r) for r in got} == {(i, len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
 
 
-def test_near_groups_of_a_large_family(spark, monkeypatch):
-    """Pairs at about 0.85 among 240 documents of one template, which are at 0.75 and stay apart.
-    Nodes stay large here as they do in families of many thousands at the depth in use."""
-    monkeypatch.setattr(near_dedup, "SMALL", 8)
-    monkeypatch.setattr(near_dedup, "DEEPEST", near_dedup.START)
-    monkeypatch.setattr(near_dedup, "BLOCK", 50, raising=False)
-    template = " ".join(f"t{i}" for i in range(120))
-    tail = lambda i: [f"u{i}x{j}" for j in range(20)]
-    family = [" ".join([template, *(tail(i - 120)[:9] + tail(i)[9:] if 120 <= i < 160 else tail(i))]) for i in range(240)]
-    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(_docs(spark, family), k=2).collect()}
-    assert got == {i: i - 120 if 120 <= i < 160 else i for i in range(240)}
-
+def _components(sets):
+    root = list(range(len(sets)))
 
-def test_near_proposals_are_all_pairs_of_a_node():
-    """One pair at a lower estimate among 46 siblings that estimate higher than they are."""
-    import numpy as np
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-    sig = np.zeros((48, near_dedup.COORDS), np.uint16)
-    sig[47, :20] = 1  # agrees on 44 of 64 with each other document
-    a, b, _ = near_dedup._proposals(np.arange(48), np.full(48, 200), sig, 80)
-    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, j) for i in range(48) for j in range(i + 1, 48)]
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if both and 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("small", [1024, 24])
+def test_near_groups_around_the_line(spark, monkeypatch, small):
+    """Variants of one long text whose similarities lie on both sides of 0.8: all pairs resemble
+    each other, few are links. With small nodes, rows that do not part are dealt into blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", small)
+    rng = random.Random(1)
+    base, family = [f"w{rng.randrange(9000)}" for _ in range(400)], []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(11, 17)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        family.append(" ".join(w))
+    want = _components([_shingles(t, 2) for t in family])
+    assert 1 < len(set(want)) < 120
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(_docs(spark, family), k=2).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_near_rows_not_ids(spark):
+    """Repeated and missing ids: links and decisions are those of rows."""
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(4000)}"
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a), "x"), (5, " ".join(b), "x"), (7, near(a), "y"), (8, near(b), None), (None, " ".join(c), "n"), (None, near(c), "n"), (None, "", "e"), (None, None, "e"), (9, near(c), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(docs, k=2).collect()), key=str)
+    want = [(5, 59, 5, True), (5, 59, 5, True), (7, 59, 5, False), (8, 59, 5, False), (None, 59, 9, False), (None, 59, 9, False), (9, 59, 9, True), (None, 0, None, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+    kept = near_dedup.drop_near_copies(docs, k=2)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.rid) for r in kept.collect()) == [(0, "e"), (0, "e"), (5, "x"), (5, "x"), (9, "z")]
+    assert near_dedup.near_groups(docs.where("false")).count() == 0 and near_dedup.drop_near_copies(docs.where("false")).count() == 0
 
 
 def test_repeats(spark, texts):
