@@ -13,45 +13,37 @@ batches within each partition, with no shuffle.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes; every text is
 encoded whole, whatever its length; repeated rows, null ids and further columns pass
-through; an empty table gives an empty result. Special tokens are ordinary text.
+through; a further column of a new column's name is an error, and the new names can be
+chosen; an empty table gives an empty result. Special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import sys
 from array import array
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import documents
 
-MEMO = 200_000
+MEMO = 100_000
+SLICE = 4 << 20  # bytes of text that a worker takes at once, or one longer text
+_ARROW = {"binary": pa.binary(), "string": pa.string()}
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-class Vocabulary:
-    """Decoder for one rank file (lines of base64 token and rank); a few MB."""
+class ByteBpe:
+    """Encoder and decoder for one rank file (lines of base64 token and rank)."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.token = {int(r): base64.b64decode(t) for t, r in (line.split() for line in rank_file.splitlines() if line)}
-
-    def decode(self, ids: bytes) -> bytes:
-        found = array("I", ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        return b"".join(map(self.token.__getitem__, found))
-
-
-class ByteBpe(Vocabulary):
-    """Encoder and decoder for one rank file."""
-
-    def __init__(self, rank_file: bytes, pattern: str):
-        super().__init__(rank_file, pattern)
         # \s of the pattern is Unicode White_Space, without the separators U+001C to U+001F
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.ranks = {t: r for r, t in self.token.items()}
@@ -68,6 +60,12 @@ class ByteBpe(Vocabulary):
         self.fits.clear()
         self.memo: dict[str, bytes] = {}
 
+    def decode(self, ids: bytes) -> bytes:
+        found = array("I", ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return b"".join(map(self.token.__getitem__, found))
+
     def _prefix(self, token: bytes) -> int:
         return next((r for n in range(len(token) - 1, 0, -1) if (r := self.ranks.get(token[:n])) is not None), -1)
 
@@ -153,54 +151,85 @@ class ByteBpe(Vocabulary):
         return b"".join(out)
 
 
-_BUILT: dict[type, tuple[bytes, str, Vocabulary]] = {}
+_BUILT: dict[tuple[bytes, str], ByteBpe] = {}
 
 
-def _bpe(kind: type, rank_file: bytes, pattern: str):
-    """One encoder and one decoder at most per worker process, kept between tasks."""
-    if kind not in _BUILT or _BUILT[kind][:2] != (rank_file, pattern):
-        _BUILT[kind] = rank_file, pattern, kind(rank_file, pattern)
-    return _BUILT[kind][2]
+def _bpe(rank_file: bytes, pattern: str) -> ByteBpe:
+    """One coder at most per worker process, kept between tasks."""
+    if (rank_file, pattern) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[rank_file, pattern] = ByteBpe(rank_file, pattern)
+    return _BUILT[rank_file, pattern]
 
 
-def _add_column(df: DataFrame, source: str, name: str, make) -> DataFrame:
-    """``df`` with ``source`` replaced by a binary column ``name`` = make()(values), batch-wise."""
+def _slices(column: pa.Array, most: int = SLICE):
+    """(first, number) of runs of rows with about ``most`` bytes together; a longer value alone."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = total = 0
+    for i, n in enumerate(size.tolist()):
+        if i > begin and total + n > most:
+            yield begin, i - begin
+            begin, total = i, 0
+        total += n
+    if len(size) > begin:
+        yield begin, len(size) - begin
+
+
+def _with_columns(df: DataFrame, source: str, made: dict[str, str], make, rank_path: str, pattern: str) -> DataFrame:
+    """``df`` with ``source`` replaced by the columns ``made`` (name -> type), worked out by
+    make(coder)(value) -> their values. Rows are taken a few MB of ``source`` at a time."""
+    if clash := sorted({c.lower() for c in made} & {c.lower() for c in df.columns if c != source}):
+        raise ValueError(f"columns {clash} are there already; name the new ones otherwise")
+    with open(rank_path, "rb") as f:
+        ranks = df.sparkSession.sparkContext.broadcast(f.read())
     rest = [c for c in df.columns if c != source]
-    schema = df.select(*rest, F.lit(None).cast("binary").alias(name)).schema
+    schema = df.select(*rest, *[F.lit(None).cast(t).alias(c) for c, t in made.items()]).schema
 
     def run(batches):
-        one = make()
+        one = make(_bpe(ranks.value, pattern))
         for batch in batches:
-            for k in range(0, len(batch), 1024):
-                part = batch.slice(k, 1024)
-                values = part.column(part.schema.get_field_index(source))
-                made = pa.array((None if (v := x.as_py()) is None else one(v) for x in values), pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), made], names=[*rest, name])
+            values = batch.column(len(rest))
+            for first, n in _slices(values):
+                found = [one(x.as_py()) for x in values.slice(first, n)]
+                cols = [pa.array([x[i] for x in found], _ARROW[t]) for i, t in enumerate(made.values())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, n) for i in range(len(rest))), *cols], names=[*rest, *made])
 
     return df.select(*rest, source).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``text_col`` replaced by ``ids`` (binary, little-endian uint32)."""
-    with open(rank_path, "rb") as f:
-        ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    df = df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return _add_column(df, text_col, "ids", lambda: _bpe(ByteBpe, ranks.value, pattern).encode)
+def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    return df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def decode(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``df`` with ``ids`` replaced by ``decoded`` (binary, the bytes of the text)."""
-    with open(rank_path, "rb") as f:
-        ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    return _add_column(df, "ids", "decoded", lambda: _bpe(Vocabulary, ranks.value, pattern).decode)
+def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``df`` with ``text_col`` replaced by ``ids_col`` (binary, little-endian uint32)."""
+    return _with_columns(_texts(df, text_col), text_col, {ids_col: "binary"}, lambda coder: lambda x: (coder.encode(x),), rank_path, pattern)
+
+
+def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``df`` with ``ids_col`` replaced by ``decoded_col`` (binary, the bytes of the text)."""
+    return _with_columns(df, ids_col, {decoded_col: "binary"}, lambda coder: lambda x: (None if x is None else coder.decode(x),), rank_path, pattern)
+
+
+def encode_decoded(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", sha_col: str = "decoded_sha256") -> DataFrame:
+    """As ``encode``, with the SHA-256 of what the ids decode to: both ways in one worker, so
+    that a task holds one vocabulary and never ships the decoded text."""
+
+    def both(coder):
+        def one(text):
+            ids = coder.encode(text)
+            return ids, hashlib.sha256(coder.decode(ids)).hexdigest()
+
+        return one
+
+    return _with_columns(_texts(df, text_col), text_col, {ids_col: "binary", sha_col: "string"}, both, rank_path, pattern)
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs``."""
-    coded = encode(docs.select("doc_id", "text"), rank_path, pattern)
+    coded = encode_decoded(docs.select("doc_id", "text"), rank_path, pattern)
     n, sha = (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
-    back = decode(coded.select("doc_id", n, sha, "ids"), rank_path, pattern)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", n, sha, "decoded_sha256")
 
 
 def default_tokenizer() -> tuple[str, str]:
