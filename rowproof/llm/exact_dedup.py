@@ -8,10 +8,11 @@ for each text. Equal names mean equal bytes; no hash decides.
 Only texts that share byte length and a 64-bit hash with another row are named: a row
 alone with its (length, hash) differs from every other text, so it is its own group.
 
-Defined cases: a null text counts as empty; rows without doc_id take part and are kept
-only if their whole group has none; rows that repeat a doc_id count singly in group_size
-and are kept or dropped together; an empty table gives an empty result. All columns are
-referred to by the given names, others are ignored by the report and kept by the filter.
+Defined cases: a null text counts as empty; of equal texts exactly one row is kept, that with
+the largest doc_id: rows without doc_id come last, and of rows that repeat the largest one any
+one stays; every row counts in group_size; long texts are named whole; an empty table gives an
+empty result. All columns are referred to by the given names, others, whatever their names,
+are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -52,28 +53,33 @@ def name_texts(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return named.select("rid", "name")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_bytes: int):
+    """(single, copies): the rows of ``docs`` whose text no other row can have, and the others with
+    rid, keep_id, keep_rid and group_size. Both have id, n, h, body and ``keep`` in ``row``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*keep).alias("row"), text.alias("body")).withColumns({"n": F.octet_length("body"), "h": F.xxhash64("body")})
+    shared = cut(rows.groupBy("n", "h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n", "h")).hint("merge")
+    suspects = cut(rows.join(shared, ["n", "h"], "left_semi").select("id", "row", "n", "h", "body", F.monotonically_increasing_id().alias("rid")))
+    named = name_texts(suspects.select("rid", F.encode("body", "utf-8").alias("body")), block_bytes)
+    of = cut(named.join(suspects.select("rid", "id", "n").hint("merge"), "rid"))
+    last = F.max(F.struct("id", "rid"))  # rows without id come last, of equal ids one stays
+    groups = of.groupBy("n", "name").agg(last.alias("last"), F.count(F.lit(1)).alias("group_size"))
+    report = of.join(groups.hint("merge"), ["n", "name"]).select("rid", F.col("last.id").alias("keep_id"), F.col("last.rid").alias("keep_rid"), "group_size")
+    return rows.join(shared, ["n", "h"], "left_anti"), suspects.join(report.hint("merge"), "rid")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("body")).select("doc_id", "body", F.octet_length("body").alias("n"), F.xxhash64("body").alias("h"))
-    shared = cut(rows.groupBy("n", "h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n", "h"))
-    sha = F.sha2("body", 256).alias("text_sha256")
-    suspects = cut(rows.join(shared, ["n", "h"], "left_semi").select("doc_id", "n", F.encode("body", "utf-8").alias("body"), F.monotonically_increasing_id().alias("rid")))
-    named = name_texts(suspects, block_bytes)
-    of = cut(named.join(suspects.select("rid", "doc_id", "n"), "rid"))
-    groups = of.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    report = of.join(groups, ["n", "name"]).select("rid", "keep_id", "group_size")
-    copies = suspects.select("rid", "doc_id", sha).join(report, "rid")
-    single = rows.select("doc_id", "n", "h", sha).join(shared, ["n", "h"], "left_anti").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
-    cols = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    both = single.select(*cols).unionByName(copies.select(*cols))
-    return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-
-
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops."""
-    dropped = cut(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    single, copies = _grouped(docs, id_col, text_col, [id_col], block_bytes)
+    one = {"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
+    cols = [F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.sha2("body", 256).alias("text_sha256")]
+    return single.withColumns(one).select(*cols).unionByName(copies.withColumn("kept", F.col("rid") == F.col("keep_rid")).select(*cols))
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that ``exact_groups`` drops: decided row by row, never by id."""
+    single, copies = _grouped(docs, id_col, text_col, docs.columns, block_bytes)
+    return single.select("row.*").unionByName(copies.where("rid = keep_rid").select("row.*"))
 
 
 def op8_exact_dedup(spark, sf_dir):
