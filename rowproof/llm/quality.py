@@ -1,160 +1,199 @@
 """Quality classifier by co-training of two views.
 
 The text view sees statistics of the content, the metadata view the source, language and
-length. Each is a logistic regression over bounded indicators: thresholds of a statistic, or
-hash buckets of a name. Both start from the labelled rows; in each round either view labels
-the unlabelled documents that it is surest of for the other view to learn from. Each view is
-then calibrated on labelled rows that neither trained on, and the calibrated views are
-combined by a logistic regression on the same rows.
-
-Every document is described and scored whole, by column expressions. Only fitting is done on
-the driver, on at most ``LABELLED`` labelled and ``UNLABELLED`` other rows, chosen by the
-hash of doc_id.
-
-Defined cases: null and empty texts have zero statistics; null source or language is a
-bucket of its own; labels that are null are ignored, of repeated labels the smallest counts;
-without labels of both kinds nothing can be learnt and every document is accepted with score
-1; rows are scored singly, whatever their id; an empty table gives an empty result.
+length. Each is a generalised naive Bayes classifier: a statistic falls into one of ``CUTS`` + 1
+bins, a name into a hash bucket, and each bin of each column has a log-odds weight from how
+often the two classes fall into it. Both start from the labelled rows. In each round either
+view labels the documents without label that it is surest of, for the other view to learn
+from: those beyond ``SURE`` and among the ``SHARE`` of each class that it ranks highest, more in
+later rounds. All documents take part in every round: what a view has learnt is an expression,
+its scores' quantiles and the next counts are one aggregation each, and the driver sees counts
+by bin and class, never rows.
+
+A fifth of the labelled rows, by the hash of doc_id, teaches neither view. On it each view's
+log-odds are calibrated and the calibrated views are combined, by logistic regressions on a
+histogram of both scores. Thresholds of the statistics are quantiles of all documents.
+
+Defined cases: null and empty texts have zero statistics; null source or language is a bucket
+of its own; labels that are null are ignored, of repeated labels of one document the smallest
+counts; without labels of both kinds, both among the rows that teach and among those held
+back, nothing can be learnt and every document is accepted with score 1; rows are scored and
+kept or dropped singly, whatever their id; texts are read whole; an empty table gives an empty
+result; other columns, whatever their names, are passed over by the report and kept by the
+filter.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, documents
+from .store import cut, documents, free_name
 
-LABELLED, UNLABELLED = 20_000, 20_000
-ROUNDS, SURE, SHARE = 4, 0.97, 0.1
-CUTS, SOURCES, LANGS = 12, 64, 16
+ROUNDS, SURE, SHARE = 4, 0.97, 0.05
+CUTS, SOURCES, LANGS = 15, 64, 16
 ACCEPT = 0.5
-TEXT_STATS = ("words", "word_length", "distinct", "upper", "digits", "marks", "bars", "bangs", "stops", "short_lines", "repeats", "common")
-
-
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of both views."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = F.greatest(F.length("t"), F.lit(1)).cast("double")
-    count = lambda pattern: F.regexp_count("t", F.lit(pattern)) / size
-    n = F.greatest(F.size("w"), F.lit(1)).cast("double")
-    words = docs.select("doc_id", text.alias("t"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).withColumn("w", F.regexp_extract_all("t", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
-    return words.select(
-        "doc_id",
-        F.log1p(F.size("w")).alias("words"),
-        (size / n).alias("word_length"),
-        (F.size(F.array_distinct("w")) / n).alias("distinct"),
-        count(r"\p{Lu}").alias("upper"),
-        count("[0-9]").alias("digits"),
-        count(r"[*#&%$@=^~<>{}\[\]\\]").alias("marks"),
-        count(r"\|").alias("bars"),
-        count("[!?]").alias("bangs"),
-        count("[.,;:]").alias("stops"),
-        count(r"(?m)^[^\n]{0,20}$").alias("short_lines"),
-        count(r"([^\x20\x09-\x0D]++)\x20\1(?![^\x20\x09-\x0D])").alias("repeats"),
-        (F.size(F.filter("w", lambda x: F.length(x) <= 3)) / n).alias("common"),
-        F.log1p(F.length("t")).alias("length"),
-        F.pmod(F.xxhash64("source"), F.lit(SOURCES)).cast("int").alias("source"),
-        F.pmod(F.xxhash64("lang"), F.lit(LANGS)).cast("int").alias("lang"),
-    )
-
-
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last weight is the constant."""
+TEXT = ("words", "word_length", "distinct", "upper", "digits", "marks", "bars", "bangs", "stops", "short_lines", "repeats", "common")
+META = ("length", "source", "lang")
+STATS = (*TEXT, "length")  # binned by thresholds; source and lang are buckets already
+ACCURACY = 1e-4  # relative error of quantiles
+
+
+def describe(text, source, lang) -> dict:
+    """The statistics of both views as expressions over a row's own columns."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    w = F.regexp_extract_all(t, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    size, n = F.greatest(F.length(t), F.lit(1)).cast("double"), F.greatest(F.size(w), F.lit(1)).cast("double")
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)) / size
+    bucket = lambda c, k: F.pmod(F.xxhash64(c.cast("string")), F.lit(k)).cast("int")
+    return {
+        "words": F.log1p(F.size(w)), "word_length": size / n, "distinct": F.size(F.array_distinct(w)) / n, "upper": count(r"\p{Lu}"), "digits": count("[0-9]"),
+        "marks": count(r"[*#&%$@=^~<>{}\[\]\\]"), "bars": count(r"\|"), "bangs": count("[!?]"), "stops": count("[.,;:]"), "short_lines": count(r"(?m)^[^\n]{0,20}$"),
+        "repeats": count(r"([^\x20\x09-\x0D]++)\x20\1(?![^\x20\x09-\x0D])"), "common": F.size(F.filter(w, lambda x: F.length(x) <= 3)) / n,
+        "length": F.log1p(F.length(t)), "source": bucket(source, SOURCES), "lang": bucket(lang, LANGS),
+    }
+
+
+def _bin(value, cuts: list[float]):
+    """Number of thresholds below ``value``."""
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
+
+
+class View:
+    """Log-odds of one view by column and bin, with the log-odds of the classes."""
+
+    def __init__(self, columns: tuple[str, ...]):
+        self.columns, self.prior, self.weights = columns, 0.0, {}
+
+    def learn(self, counts: dict, totals: tuple[float, float]) -> None:
+        """counts: (column, bin) -> (good, bad)."""
+        good, bad = totals
+        self.prior = math.log((good + 1) / (bad + 1))
+        self.weights = {}
+        for c in self.columns:
+            own = {b: n for (name, b), n in counts.items() if name == c}
+            self.weights[c] = {b: math.log((g + 1) / (good + len(own) + 1)) - math.log((x + 1) / (bad + len(own) + 1)) for b, (g, x) in own.items()}
+
+    def column(self, bins=F.col):
+        """The log-odds of a row as an expression over its bins."""
+        out = F.lit(self.prior)
+        for c in self.columns:
+            of = self.weights.get(c)
+            if of:
+                table = F.create_map(*[F.lit(x) for b, w in sorted(of.items()) for x in (int(b), float(w))])
+                out = out + F.coalesce(F.try_element_at(table, bins(c)), F.lit(0.0))
+        return out
+
+
+def _counted(rows: DataFrame, columns: tuple[str, ...]):
+    """(counts by (column, bin), totals) of ``rows`` with a label y."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("int").alias("b")) for c in columns]))
+    found = rows.select("y", each.alias("x")).groupBy("x.c", "x.b").agg(F.count_if("y").alias("good"), F.count_if(~F.col("y")).alias("bad")).collect()
+    counts = {(r["c"], r["b"]): (r["good"], r["bad"]) for r in found}
+    own = [n for (c, _), n in counts.items() if c == columns[0]]
+    return counts, (sum(g for g, _ in own), sum(x for _, x in own))
+
+
+def _fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton's method; the last weight is the constant."""
     x = np.c_[x, np.ones(len(x))]
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
-    for _ in range(25):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (n * (p - y)) + penalty * w)
         w -= np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-7:
             break
     return w
 
 
-def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
-
-
-class _View:
-    """Indicators of one view's columns: ("over", column, threshold) or ("is", column, bucket)."""
-
-    def __init__(self, terms):
-        self.terms, self.w = terms, np.zeros(len(terms) + 1)
+def co_train(rows: DataFrame, rounds: int = ROUNDS):
+    """``rows`` (bins of both views, quality 0, 1 or null, held) -> (text view, metadata view,
+    calibrations, combining weights), or None where nothing can be learnt."""
+    y = F.col("quality") > 0
+    kinds = rows.where("quality is not null").groupBy("held").agg(F.count_if(y).alias("good"), F.count_if(~y).alias("bad")).collect()
+    of = {r["held"]: (r["good"], r["bad"]) for r in kinds}
+    if min(*of.get(True, (0, 0)), *of.get(False, (0, 0))) == 0:
+        return None
+    good, bad = of[False]
+    taught = rows.where("quality is not null and not held").withColumn("y", y)
+    free = rows.where("quality is null")
+    views = (View(TEXT), View(META))
+    own = [_counted(taught, v.columns) for v in views]
+    for v, (counts, totals) in zip(views, own, strict=True):
+        v.learn(counts, totals)
+    edge = math.log(SURE / (1 - SURE))
+    for k in range(1, rounds + 1):
+        share = SHARE * k * good / (good + bad), SHARE * k * bad / (good + bad)
+        scored = free.withColumns({f"s{i}": v.column() for i, v in enumerate(views)})
+        ends = scored.agg(*[F.percentile_approx(f"s{i}", [share[1], 1 - share[0]], int(1 / ACCURACY)).alias(f"q{i}") for i in (0, 1)]).first()
+        if ends["q0"] is None:
+            break
+        sure = [(F.col(f"s{i}") >= max(edge, ends[f"q{i}"][1]), F.col(f"s{i}") <= min(-edge, ends[f"q{i}"][0])) for i in (0, 1)]
+        for i, v in enumerate(views):  # each learns from what the other is sure of
+            yes, no = sure[1 - i]
+            counts, totals = _counted(scored.where(yes | no).withColumn("y", yes), v.columns)
+            (known, of_known) = own[i]
+            both = {x: (known.get(x, (0, 0))[0] + counts.get(x, (0, 0))[0], known.get(x, (0, 0))[1] + counts.get(x, (0, 0))[1]) for x in known.keys() | counts.keys()}
+            v.learn(both, (of_known[0] + totals[0], of_known[1] + totals[1]))
+    # held-out labels by both scores, to a tenth; at most some thousands of rows
+    near = lambda v: F.round(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), v.column())), 1)
+    seen = rows.where("quality is not null and held").groupBy(near(views[0]).alias("a"), near(views[1]).alias("b"), y.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
+    z, label, n = np.array([[r["a"], r["b"]] for r in seen]), np.array([float(r["y"]) for r in seen]), np.array([float(r["n"]) for r in seen])
+    calibrated = [_fit_logistic(z[:, [i]], label, n, 1e-2) for i in (0, 1)]
+    joined = np.stack([z[:, i] * calibrated[i][0] + calibrated[i][1] for i in (0, 1)], 1)
+    return (*views, calibrated, _fit_logistic(joined, label, n, 1e-2))
+
+
+def fit(docs: DataFrame, labels: DataFrame):
+    """What scoring needs: (thresholds of the statistics, model or None)."""
+    wanted = describe(F.col("text"), F.col("source"), F.col("lang"))
+    found = cut(docs.select("doc_id", *[c.alias(name) for name, c in wanted.items()]))
+    at = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+    ends = found.agg(*[F.percentile_approx(c, at, int(1 / ACCURACY)).alias(c) for c in STATS]).first()
+    cuts = {c: sorted(set(ends[c] or [])) for c in STATS}
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = found.join(known, "doc_id", "left").select("quality", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"), *[_bin(F.col(c), cuts[c]).alias(c) for c in STATS], "source", "lang")
+    return cuts, co_train(cut(rows))
 
-    def matrix(self, rows) -> np.ndarray:
-        return np.stack([(rows[c] > v) if kind == "over" else (rows[c] == v) for kind, c, v in self.terms], 1).astype(float)
 
-    def column(self):
-        """The logit as an expression."""
-        out = F.lit(float(self.w[-1]))
-        for (kind, c, v), w in zip(self.terms, self.w, strict=False):
-            if abs(w) > 1e-9:
-                out = out + F.when((F.col(c) > float(v)) if kind == "over" else (F.col(c) == int(v)), float(w)).otherwise(0.0)
-        return out
+def scores(docs: DataFrame, fitted) -> dict:
+    """text_score, meta_score, score and accepted as expressions over the columns of ``docs``."""
+    cuts, model = fitted
+    if model is None:
+        one = F.lit(1.0)
+        return {"text_score": one, "meta_score": one, "score": one, "accepted": F.lit(True)}
+    text, meta, (ct, cm), w = model
+    stats = free_name(docs, "stats")
+    a, b = (v.column(lambda c: _bin(F.col(f"{stats}.{c}"), cuts[c]) if c in cuts else F.col(f"{stats}.{c}")) for v in (text, meta))
+    za, zb = a * float(ct[0]) + float(ct[1]), b * float(cm[0]) + float(cm[1])
+    chance = lambda z: 1 / (1 + F.exp(-z))
+    score = chance(za * float(w[0]) + zb * float(w[1]) + float(w[2]))
+    return {"text_score": chance(za), "meta_score": chance(zb), "score": score, "accepted": score >= ACCEPT}
 
 
-def _thresholds(values: np.ndarray) -> list[float]:
-    return sorted(set(np.quantile(values, np.linspace(0, 1, CUTS + 2)[1:-1]).round(9).tolist()))
-
-
-def co_train(rows: dict[str, np.ndarray], y: np.ndarray, pool: dict[str, np.ndarray], rounds: int = ROUNDS):
-    """rows, y: labelled; pool: unlabelled. Returns the two views and the combining weights
-    over (text logit, metadata logit, constant), calibrated on a fifth that no view sees."""
-    n = len(y)
-    held = np.arange(n) % 5 == 0
-    text = _View([("over", c, t) for c in TEXT_STATS for t in _thresholds(rows[c])])
-    meta = _View([("over", "length", t) for t in _thresholds(rows["length"])] + [("is", "source", k) for k in range(SOURCES)] + [("is", "lang", k) for k in range(LANGS)])
-    views = (text, meta)
-    seen = [v.matrix(rows) for v in views]
-    more = [v.matrix(pool) for v in views]
-    taught: list[dict[int, float]] = [{}, {}]  # pool row -> label that the other view gave
-    for k in range(rounds + 1):
-        for v, x, z, own in zip(views, seen, more, taught, strict=True):
-            at = np.fromiter(own, int, len(own))
-            v.w = _fit_logistic(np.r_[x[~held], z[at]], np.r_[y[~held], np.fromiter(own.values(), float, len(own))])
-        if k == rounds or not len(more[0]):
-            break
-        for v, z, other in zip(views, more, reversed(taught), strict=True):
-            p = 1 / (1 + np.exp(-_logit(z, v.w)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                share = max(1, int(SHARE * len(p) * (y.mean() if label else 1 - y.mean())))
-                best = np.argsort(-sure, kind="stable")[: share * (k + 1)]
-                for i in best[sure[best] >= SURE].tolist():
-                    other.setdefault(i, label)
-    logits = [_logit(x[held], v.w) for v, x in zip(views, seen, strict=True)]
-    calibrated = [_fit_logistic(z[:, None], y[held], 1e-2) for z in logits]
-    both = np.stack([_logit(z[:, None], c) for z, c in zip(logits, calibrated, strict=True)], 1)
-    return views, calibrated, _fit_logistic(both, y[held], 1e-1)
+def _described(docs: DataFrame) -> DataFrame:
+    """``docs`` with the statistics in one more column."""
+    return docs.withColumn(free_name(docs, "stats"), F.struct(*[c.alias(n) for n, c in describe(F.col("text"), F.col("source"), F.col("lang")).items()]))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_score, meta_score, score, accepted for every row of ``docs``."""
-    found = cut(describe(docs))
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = cut(found.select("doc_id").join(known, "doc_id", "left").select("doc_id", "quality").distinct().withColumn("h", F.xxhash64("doc_id")))
-    chosen = [ids.where(f"quality is {x} null").orderBy("h", "doc_id").limit(m) for x, m in (("not", LABELLED), ("", UNLABELLED))]
-    some = found.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").toPandas().sort_values(["h", "doc_id"]).drop_duplicates("doc_id")
-    mine, pool = some[some.quality.notna()], some[some.quality.isna()]
-    y = (mine.quality > 0).to_numpy(float)
-    if len(set(y.tolist())) < 2 or len(y) < 50:
-        one = F.lit(1.0)
-        return found.select("doc_id", one.alias("text_score"), one.alias("meta_score"), one.alias("score"), F.lit(True).alias("accepted"))
-    as_arrays = lambda frame: {c: frame[c].to_numpy(float) for c in frame.columns if c not in ("doc_id", "quality", "h")}
-    (text, meta), (ct, cm), w = co_train(as_arrays(mine), y, as_arrays(pool))
-    a = F.col("lt") * float(ct[0]) + float(ct[1])
-    b = F.col("lm") * float(cm[0]) + float(cm[1])
-    chance = lambda z: 1 / (1 + F.exp(-z))
-    views = found.select("doc_id", text.column().alias("lt"), meta.column().alias("lm"))
-    out = views.select("doc_id", chance(a).alias("text_score"), chance(b).alias("meta_score"), chance(a * float(w[0]) + b * float(w[1]) + float(w[2])).alias("score"))
-    return out.withColumn("accepted", F.col("score") >= ACCEPT)
+    own = docs.select("doc_id", "text", "source", "lang")
+    return _described(own).select("doc_id", *[c.alias(n) for n, c in scores(own, fit(own, labels)).items()])
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` that the classifier accepts."""
-    rejected = cut(score(docs, labels).where("not accepted").select("doc_id").distinct())
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that the classifier accepts; columns unchanged."""
+    fitted, name = fit(docs, labels), free_name(docs, "nth")
+    # a number that the filter reads keeps it above the statistics, which would else be worked
+    # out again for every threshold that they meet
+    rows = _described(docs).withColumn(name, F.monotonically_increasing_id())
+    return rows.where(scores(docs, fitted)["accepted"] & (F.col(name) >= 0)).select(*docs.columns)
 
 
 def op2_quality(spark, sf_dir):
