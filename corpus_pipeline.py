@@ -2,6 +2,13 @@
 
 Part of the llm subpackage. run() writes every stage as Parquet in the shared folder and
 reads it again, so a later stage never recomputes an earlier one.
+
+Defined cases, of every stage: rows are kept or dropped singly, whatever their doc_id, and null
+texts count as empty. Quality: without labels of both kinds all stay. Exact and near copies: of
+each group one row stays, rows without id last. Mixing: null sources are one source, copies
+repeat a row with its id, and a row is taken at most three times. Encoding: no text, no tokens.
+Further columns of documents, whatever their names, reach the mix and are left out of the
+encoded result. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -19,12 +26,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, on five-word shingles at 0.8, the smallest doc_id stays."""
+    """Of near copies, on five-word shingles at 0.8, the row with the smallest doc_id stays."""
     return near_dedup.drop_near_copies(docs)
 
 
@@ -35,10 +42,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole document, with the digest of their round trip."""
-    path, pattern = bpe.default_tokenizer()
-    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), path, pattern)
-    back = bpe.decode(coded.select("*", F.col("ids").alias("kept_ids")), path, pattern)
-    return back.select("doc_id", "source", "lang", (F.octet_length("kept_ids") / 4).cast("long").alias("n_tokens"), F.col("kept_ids").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode_decoded(docs.select("doc_id", "source", "lang", "text"), *bpe.default_tokenizer())
+    return coded.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
@@ -49,7 +54,7 @@ STAGES = [
     ("byte-level BPE", encoding_stage),
 ]
 
-ORACLE_SQL = None  # classifier, near duplicates and BPE are beyond SQL; see tests/llm
+ORACLE_SQL = None  # classifier, near duplicates and BPE are beyond SQL; tests/llm/test_pipeline.py compares them with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
