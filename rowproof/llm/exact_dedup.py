@@ -40,7 +40,7 @@ def name_texts(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         F.posexplode(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.substring("body", i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"),
     )
     names = _numbered(blocks, ["block"])
-    named = blocks.join(names, "block").select("rid", "pos", "name")
+    named = blocks.join(names.hint("merge"), "block").select("rid", "pos", "name")
     longest = rows.agg(F.max(n_blocks)).first()[0] or 1
     for _ in range(max(0, (longest - 1).bit_length())):
         pairs = cut(
@@ -49,7 +49,7 @@ def name_texts(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
             )
         )
-        named = pairs.join(_numbered(pairs, ["a", "b"]), ["a", "b"]).select("rid", "pos", "name")
+        named = pairs.join(_numbered(pairs, ["a", "b"]).hint("merge"), ["a", "b"]).select("rid", "pos", "name")
     return named.select("rid", "name")
 
 
@@ -58,7 +58,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block
     rid, keep_id, keep_rid and group_size. Both have id, n, h, body and ``keep`` in ``row``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.struct(*keep).alias("row"), text.alias("body")).withColumns({"n": F.octet_length("body"), "h": F.xxhash64("body")})
-    shared = cut(rows.groupBy("n", "h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n", "h")).hint("merge")
+    shared = cut(rows.groupBy("n", "h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n", "h"))
     suspects = cut(rows.join(shared, ["n", "h"], "left_semi").select("id", "row", "n", "h", "body", F.monotonically_increasing_id().alias("rid")))
     named = name_texts(suspects.select("rid", F.encode("body", "utf-8").alias("body")), block_bytes)
     of = cut(named.join(suspects.select("rid", "id", "n").hint("merge"), "rid"))

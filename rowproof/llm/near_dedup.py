@@ -157,23 +157,28 @@ def alike(sig: np.ndarray) -> np.ndarray:
 
 def possible(n: np.ndarray, comp: np.ndarray, same: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of a node sizes and signatures allow, between two components."""
-    low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    return (same >= _least(percent)) & (100 * low >= percent * high) & (comp[:, None] != comp[None, :])
+    can = same >= _least(percent)
+    for i in range(0, len(n), 128):  # a few rows at a time: no large temporary matrices
+        a, part = n[i : i + 128, None], can[i : i + 128]
+        part &= 100 * np.minimum(a, n) >= percent * np.maximum(a, n)
+        part &= comp[i : i + 128, None] != comp
+    return can
 
 
 def _first_pass(node, rows, percent):
-    """Two proposals a row: the row it resembles most, and the one that resembles most rows."""
+    """(row, other, tokens alike, hub) twice a row: the row it resembles most, and the one that
+    resembles most rows of the node."""
     doc = np.array([x[0] for x in rows])
     same = alike(np.frombuffer(b"".join(x[3] for x in rows), np.uint16).reshape(-1, COORDS))
     can = possible(np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), same, percent)
     some = np.flatnonzero(can.any(1))
     if not len(some):
         return None
-    weight = np.where(can, same, 0)
+    weight = same * can
     best, hub = weight[some].argmax(1), int(weight.sum(1, dtype=np.int64).argmax())
     near = some[can[some, hub]]
     a, b = np.r_[doc[some], doc[near]], np.r_[doc[best], np.full(len(near), doc[hub])]
-    return [np.full(len(a), node), np.minimum(a, b), np.maximum(a, b)]
+    return [np.full(len(a), node), a, b, np.r_[weight[some, best], weight[near, hub]], np.r_[np.zeros(len(some), int), np.full(len(near), int(can[hub].sum()))]]
 
 
 def _open_rows(node, rows, percent):
@@ -184,9 +189,9 @@ def _open_rows(node, rows, percent):
     return [np.full(len(some), node), np.array([x[0] for x in rows])[some]] if len(some) else None
 
 
-def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def intersections(sets: list[np.ndarray], columns: int = 1024) -> np.ndarray:
     """Sizes of all pairwise intersections; shingles that only one set has are left out, the
-    others are columns of a 0/1 matrix, a few thousand of which are multiplied at a time."""
+    others are columns of a 0/1 matrix, a thousand of which are multiplied at a time."""
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, word, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -210,10 +215,12 @@ def _confirmed(node, rows, percent):
     doc, n, comp = (np.array([x[c] for x in rows]) for c in range(3))
     same = alike(np.frombuffer(b"".join(x[3] for x in rows), np.uint16).reshape(-1, COORDS))
     both = intersections([np.frombuffer(x[4], _U) for x in rows])
-    link = possible(n, comp, same, percent) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    link = possible(n, comp, same, percent)
+    for i in range(0, len(n), 128):
+        link[i : i + 128] &= 100 * both[i : i + 128] >= percent * (n[i : i + 128, None] + n - both[i : i + 128])
     label = np.arange(len(doc))
     while True:
-        least = np.minimum(label, np.where(link, label[None, :], len(doc)).min(1))
+        least = np.array([min(label[i], label[link[i]].min(initial=len(doc))) for i in range(len(doc))])
         least = least[least]
         if (least == label).all():
             break
@@ -339,8 +346,11 @@ def links_of(reps: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame
     nodes, links = leaf_nodes(reps, own, k, percent)
     merged = None if links is None else cut(connected(links))
     wide = lambda rows, *more: labelled(rows, merged).join(reps, "doc").select("node", "doc", "n", "comp", "sig", *more)
-    asked = cut(by_node(_in_order(wide(nodes)), lambda node, rows: _first_pass(node, rows, percent), "node long, a long, b long"))
-    pairs = cut(asked.select("a", "b").distinct())
+    asked = cut(by_node(_in_order(wide(nodes)), lambda node, rows: _first_pass(node, rows, percent), "node long, doc long, other long, alike long, hub long"))
+    # over all nodes, a row's closest row and the hub of most rows: two pairs a row at most
+    best = asked.where("doc != other").groupBy("doc").agg(F.max_by("other", F.struct("alike", -F.col("other"))).alias("x"), F.max_by("other", F.struct("hub", "alike", -F.col("other"))).alias("y"))
+    two = best.select("doc", F.explode(F.array_distinct(F.array("x", "y"))).alias("other"))
+    pairs = cut(two.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     sets = cut(full_sets(own.join(wanted, "doc", "left_semi"), k))
     found = cut(confirm(pairs, sets, percent))

@@ -149,51 +149,49 @@ def co_train(rows: DataFrame, rounds: int = ROUNDS):
     return (*views, calibrated, _fit_logistic(joined, label, n, 1e-2))
 
 
-def fit(docs: DataFrame, labels: DataFrame):
-    """What scoring needs: (thresholds of the statistics, model or None)."""
-    wanted = describe(F.col("text"), F.col("source"), F.col("lang"))
-    found = cut(docs.select("doc_id", *[c.alias(name) for name, c in wanted.items()]))
+def fit(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", stat=F.col):
+    """What scoring needs: (thresholds of the statistics, model or None). ``found`` holds every
+    document's statistics, ``stat`` the expression of one."""
     at = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    ends = found.agg(*[F.percentile_approx(c, at, int(1 / ACCURACY)).alias(c) for c in STATS]).first()
+    ends = found.agg(*[F.percentile_approx(stat(c), at, int(1 / ACCURACY)).alias(c) for c in STATS]).first()
     cuts = {c: sorted(set(ends[c] or [])) for c in STATS}
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = found.join(known, "doc_id", "left").select("quality", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"), *[_bin(F.col(c), cuts[c]).alias(c) for c in STATS], "source", "lang")
-    return cuts, co_train(cut(rows))
+    known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    bins = found.select(F.col(id_col).alias("id"), (F.pmod(F.xxhash64(id_col), F.lit(5)) == 0).alias("held"), *[(_bin(stat(c), cuts[c]) if c in cuts else stat(c)).alias(c) for c in (*TEXT, *META)])
+    return cuts, co_train(cut(bins.join(known, "id", "left").drop("id")))
 
 
-def scores(docs: DataFrame, fitted) -> dict:
-    """text_score, meta_score, score and accepted as expressions over the columns of ``docs``."""
+def scores(fitted, stat=F.col) -> dict:
+    """text_score, meta_score, score and accepted as expressions over a row's statistics."""
     cuts, model = fitted
     if model is None:
         one = F.lit(1.0)
         return {"text_score": one, "meta_score": one, "score": one, "accepted": F.lit(True)}
     text, meta, (ct, cm), w = model
-    stats = free_name(docs, "stats")
-    a, b = (v.column(lambda c: _bin(F.col(f"{stats}.{c}"), cuts[c]) if c in cuts else F.col(f"{stats}.{c}")) for v in (text, meta))
+    a, b = (v.column(lambda c: _bin(stat(c), cuts[c]) if c in cuts else stat(c)) for v in (text, meta))
     za, zb = a * float(ct[0]) + float(ct[1]), b * float(cm[0]) + float(cm[1])
     chance = lambda z: 1 / (1 + F.exp(-z))
     score = chance(za * float(w[0]) + zb * float(w[1]) + float(w[2]))
     return {"text_score": chance(za), "meta_score": chance(zb), "score": score, "accepted": score >= ACCEPT}
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """``docs`` with the statistics in one more column."""
-    return docs.withColumn(free_name(docs, "stats"), F.struct(*[c.alias(n) for n, c in describe(F.col("text"), F.col("source"), F.col("lang")).items()]))
+def _described(docs: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with all statistics in the column ``name``; written once, as
+    working them out is most of the cost."""
+    stats = F.struct(*[c.alias(n) for n, c in describe(F.col("text"), F.col("source"), F.col("lang")).items()])
+    return cut(docs.select(*keep, stats.alias(name)))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_score, meta_score, score, accepted for every row of ``docs``."""
-    own = docs.select("doc_id", "text", "source", "lang")
-    return _described(own).select("doc_id", *[c.alias(n) for n, c in scores(own, fit(own, labels)).items()])
+    found = _described(docs, ["doc_id"], "stats").select("doc_id", "stats.*")
+    return found.select("doc_id", *[c.alias(n) for n, c in scores(fit(found, labels)).items()])
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts; columns unchanged."""
-    fitted, name = fit(docs, labels), free_name(docs, "nth")
-    # a number that the filter reads keeps it above the statistics, which would else be worked
-    # out again for every threshold that they meet
-    rows = _described(docs).withColumn(name, F.monotonically_increasing_id())
-    return rows.where(scores(docs, fitted)["accepted"] & (F.col(name) >= 0)).select(*docs.columns)
+    name = free_name(docs, "stats")
+    found, stat = _described(docs, docs.columns, name), lambda c: F.col(f"{name}.{c}")
+    return found.where(scores(fit(found, labels, "doc_id", stat), stat)["accepted"]).select(*docs.columns)
 
 
 def op2_quality(spark, sf_dir):
