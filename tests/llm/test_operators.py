@@ -118,39 +118,46 @@ def test_near_rows_not_ids(spark):
     assert near_dedup.near_groups(docs.where("false")).count() == 0 and near_dedup.drop_near_copies(docs.where("false")).count() == 0
 
 
-def test_repeats(spark, texts):
-    words = [re.findall(WORDS, t or "") for t in texts]
-    first = {}
-    for i, w in enumerate(words):
+def _cut(rows):
+    """(doc_id, number of words, number removed, kept text) of each row, by every window."""
+    words, first = [re.findall(WORDS, t or "") for _, t in rows], {}
+    order = [(i is None, i or 0) for i, _ in rows]
+    for n, w in enumerate(words):
         for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), i)
-    want = set()
-    for i, w in enumerate(words):
-        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(50)}
-        want.add((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    got = repeats.cut_repeats(_docs(spark, texts)).collect()
-    assert {(r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text).decode()) for r in got} == want
+            x = tuple(w[k : k + 50])
+            first[x] = min(first.get(x, order[n]), order[n])
+    out = []
+    for n, w in enumerate(words):
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < order[n] for j in range(50)}
+        out.append((rows[n][0], len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=str)
+
+
+def _cut_by_spark(spark, rows, **more):
+    got = repeats.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect()
+    return sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text).decode()) for r in got), key=str)
+
 
+@pytest.mark.parametrize("group", [1024, 1])  # every group a subtree, and none
+def test_repeats(spark, texts, group):
+    rows = list(enumerate(texts))
+    assert _cut_by_spark(spark, rows, group=group) == _cut(rows)
+    assert _cut_by_spark(spark, []) == []
 
-def test_repeats_twice_in_the_owner(spark):
-    """A document that repeats a passage shared with an earlier one loses it in every place."""
+
+@pytest.mark.parametrize("group", [1024, 1])
+def test_repeats_of_repeated_rows(spark, group):
+    """Documents that repeat a passage shared with an earlier one, repeated ids, null ids, equal
+    rows and a text of one passage over and over."""
     rng = random.Random(9)
     run = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
-    out = []
-    for _ in range(6):
+    rows = []
+    for k in range(6):
         p, u, v = run(70), run(60), run(60)
-        out += [f"{run(55)} {p} {run(55)}", " ".join([u, p, v] * 3), f"{u} {p} {v}"]
-    words = [t.split(" ") for t in out]
-    first = {}
-    for i, w in enumerate(words):
-        for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), i)
-    want = {}
-    for i, w in enumerate(words):
-        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(50)}
-        want[i] = (len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
-    got = repeats.cut_repeats(_docs(spark, out)).collect()
-    assert {r.doc_id: (r.n_removed, bytes(r.kept_text).decode()) for r in got} == want
+        rows += [(3 * k, f"{run(55)} {p} {run(55)}"), (3 * k + 1, " ".join([u, p, v] * 3)), (3 * k + 2, f"{u} {p} {v}")]
+    p, q = run(64), run(600)
+    rows += [(5, f"{p} {run(600)}"), (5, f"{run(20)} {p}"), (None, f"{run(30)} {p}"), (None, q), (None, q), (30, " ".join([p] * 40)), (31, q), (30, "a b"), (None, None), (40, "")]
+    assert _cut_by_spark(spark, rows, group=group) == _cut(rows)
 
 
 def test_bpe_round_trip(spark):
