@@ -9,7 +9,10 @@ CLASS = 32  # symbols in a class; classes are runs of symbol numbers
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.tanh(x * np.float32(0.5))
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 def streams(lengths: np.ndarray, width: int) -> list[list[int]]:
@@ -28,7 +31,7 @@ class Gru:
     """Weights: ``inp`` (symbol -> gate inputs), ``rec`` (state -> gates), ``cls`` and ``sym``
     (state -> class, state -> symbol in class). Gates are reset, update, candidate."""
 
-    def __init__(self, symbols: int, hidden: int = 24, seed: int = 5):
+    def __init__(self, symbols: int, hidden: int = 16, seed: int = 5):
         self.classes = -(-symbols // CLASS)
         self.symbols, self.hidden = symbols, hidden
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -37,6 +40,23 @@ class Gru:
         self.real = np.zeros((self.classes, CLASS), np.float32)  # minus infinity for padding
         self.real.reshape(-1)[symbols:] = -1e9
 
+    def start_at(self, counts: np.ndarray) -> None:
+        """Biases under which every symbol has its share of ``counts`` in any state."""
+        table = np.full((self.classes, CLASS), 1e-9)
+        table.reshape(-1)[: self.symbols] = counts + 0.5
+        of_class = table.sum(1)
+        self.w["cls"][-1] = np.log(of_class / of_class.sum())
+        self.w["sym"][:, :, -1] = np.where(self.real < 0, 0, np.log(table / of_class[:, None]))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.reshape(-1) for x in self.w.values()])
+
+    def unflat(self, values: np.ndarray) -> None:
+        at = 0
+        for name, x in self.w.items():
+            self.w[name] = values[at : at + x.size].astype(np.float32).reshape(x.shape)
+            at += x.size
+
     def step(self, before: np.ndarray, h: np.ndarray):
         n, rec, x = self.hidden, self.w["rec"], self.w["inp"][before]
         gates = _sigmoid(x[:, : 2 * n] + h @ rec[:, : 2 * n])
@@ -91,64 +111,94 @@ class Gru:
             np.add.at(out, whose[some], found.astype(float))
         return out / np.log(10)
 
-    def train(self, texts: list[np.ndarray], epochs: int = 2, width: int = 32, window: int = 16, rate: float = 5e-3) -> None:
-        """Truncated backpropagation through time with Adam."""
-        if not texts:
-            return
-        lanes = [np.concatenate([texts[i] for i in lane]) for lane in streams(np.array([len(t) for t in texts]), width)]
-        size = min(len(x) for x in lanes) // window * window
-        data = np.stack([x[: size + 1] if len(x) > size else np.r_[x, END] for x in lanes], 1) if size else None
-        if data is None:
-            return
-        (m, v), k = [{n: np.zeros_like(w) for n, w in self.w.items()} for _ in range(2)], 0
-        for _ in range(epochs):
-            h, last = np.zeros((data.shape[1], self.hidden), np.float32), np.full(data.shape[1], END)
-            for start in range(0, size, window):
-                grads, h, last = self._window(data[start : start + window], h, last)
-                k += 1
-                for n, g in grads.items():
-                    g = np.clip(g, -1, 1)
-                    m[n] += 0.1 * (g - m[n])
-                    v[n] += 0.01 * (g * g - v[n])
-                    self.w[n] -= (rate * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
+    def train(self, texts: list[np.ndarray], moments=None, width: int = 512, window: int = 16, rate: float = 5e-3):
+        """Truncated backpropagation through time with Adam, once over all of every text. Texts
+        run side by side in lanes, each to its end: a lane that is through drops out. Returns
+        the moments of Adam, for the next call."""
+        m, v, k = moments or (*({n: np.zeros_like(w) for n, w in self.w.items()} for _ in range(2)), 0)
+        lanes = [np.concatenate([texts[i] for i in lane]) for lane in streams(np.array([len(t) for t in texts]), width)] if texts else []
+        sizes = np.array([len(x) for x in lanes])
+        h, last = np.zeros((len(lanes), self.hidden), np.float32), np.full(len(lanes), END)
+        for start in range(0, int(sizes.max(initial=0)), window):
+            live = int((sizes > start).sum())  # lanes are in the order of falling sizes
+            here = min(window, int(sizes[0]) - start)
+            target = np.full((here, live), -1)
+            for j in range(live):
+                part = lanes[j][start : start + here]
+                target[: len(part), j] = part
+            grads, h, last = self._window(target, h[:live], last[:live])
+            k += 1
+            a, b = np.float32(rate / (1 - 0.9**k)), np.float32(1 / (1 - 0.99**k))
+            for n, g in grads.items():
+                np.clip(g, -1, 1, out=g)
+                m[n] *= np.float32(0.9)
+                m[n] += np.float32(0.1) * g
+                g *= g
+                v[n] *= np.float32(0.99)
+                g *= np.float32(0.01)
+                v[n] += g
+                np.multiply(v[n], b, out=g)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-6)
+                np.divide(m[n], g, out=g)
+                g *= a
+                self.w[n] -= g
+        return m, v, k
 
     def _window(self, target: np.ndarray, h: np.ndarray, last: np.ndarray):
+        """Gradients over one window, mean per token; targets below 0 are past a lane's end."""
         n, (steps, width), w = self.hidden, target.shape, self.w
-        kept = []
+        kept, inputs = [], np.empty((steps, width), target.dtype)
+        after = np.empty((steps, width, n + 1), np.float32)
+        after[:, :, n] = 1
         for t in range(steps):
-            h = np.where((last == END)[:, None], np.float32(0), h)
+            inputs[t] = last
+            h = h * (last != END)[:, None]
             new, r, z, c = self.step(last, h)
-            kept.append((last, h, r, z, c, new))
-            h, last = new, target[t]
+            kept.append((h, r, z, c))
+            after[t, :, :n] = new
+            h, last = new, np.maximum(target[t], END)
         g = {name: np.zeros_like(x) for name, x in w.items()}
-        flat = target.reshape(-1)
-        states = np.c_[np.concatenate([x[5] for x in kept]), np.ones(steps * width, np.float32)]
+        some = np.flatnonzero(target.reshape(-1) >= 0)
+        flat = target.reshape(-1)[some]
+        share = np.float32(1 / len(some) * steps)
+        states = after.reshape(-1, n + 1)[some]
         group, inner, at = flat // CLASS, flat % CLASS, np.arange(len(flat))
         p = states @ w["cls"]
         p = np.exp(p - p.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[at, group] -= 1
-        own = w["sym"][group]
-        q = np.einsum("nch,nh->nc", own, states) + self.real[group]
-        q = np.exp(q - q.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        q[at, inner] -= 1
-        p, q = p / width, q / width
+        p *= share
         g["cls"] += states.T @ p
-        np.add.at(g["sym"], group, q[:, :, None] * states[:, None, :])
-        back = (p @ w["cls"].T + np.einsum("nc,nch->nh", q, own))[:, :n].reshape(steps, width, n)
-        dh, rec = np.zeros((width, n), np.float32), w["rec"]
+        near = p @ w["cls"].T
+        for k in np.unique(group).tolist():
+            own = np.flatnonzero(group == k)
+            q = states[own] @ w["sym"][k].T + self.real[k]
+            q = np.exp(q - q.max(1, keepdims=True))
+            q /= q.sum(1, keepdims=True)
+            q[np.arange(len(own)), inner[own]] -= 1
+            q *= share
+            g["sym"][k] = q.T @ states[own]
+            near[own] += q @ w["sym"][k]
+        back = np.zeros((steps * width, n), np.float32)
+        back[some] = near[:, :n]
+        back = back.reshape(steps, width, n)
+        dh, rec, into = np.zeros((width, n), np.float32), w["rec"], np.empty((steps, width, 3 * n), np.float32)
         for t in range(steps - 1, -1, -1):
-            before, old, r, z, c, _ = kept[t]
+            old, r, z, c = kept[t]
             d = dh + back[t]
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (old - c) * z * (1 - z)
+            dz = into[t, :, n : 2 * n]
+            dc = into[t, :, 2 * n :]
+            np.multiply(d * (1 - z), 1 - c * c, out=dc)
+            np.multiply(d * (old - c), z * (1 - z), out=dz)
             drh = dc @ rec[:, 2 * n :].T
-            dr = drh * old * r * (1 - r)
-            np.add.at(g["inp"], before, np.c_[dr, dz, dc])
-            g["rec"][:, :n] += old.T @ dr
-            g["rec"][:, n : 2 * n] += old.T @ dz
+            into[t, :, :n] = drh * old * r * (1 - r)
+            g["rec"][:, : 2 * n] += old.T @ into[t, :, : 2 * n]
             g["rec"][:, 2 * n :] += (r * old).T @ dc
-            dh = d * z + drh * r + dz @ rec[:, n : 2 * n].T + dr @ rec[:, :n].T
-            dh = np.where((before == END)[:, None], np.float32(0), dh)
+            dh = d * z + drh * r + into[t, :, : 2 * n] @ rec[:, : 2 * n].T
+            dh *= (inputs[t] != END)[:, None]
+        before = inputs.reshape(-1)
+        order = np.argsort(before, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(before[order]) != 0])
+        g["inp"][before[order][begin]] = np.add.reduceat(into.reshape(-1, 3 * n)[order], begin)
         return g, h, last

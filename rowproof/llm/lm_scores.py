@@ -2,10 +2,14 @@
 
 Spark counts every word of the training texts, those with crc32(doc_id) mod 5 not 1. The
 most frequent words, the end and one symbol for all other words are the symbols of a gated
-recurrent network (gru.py), trained on the driver on at most ``TRAIN_TEXTS`` whole training
-texts, chosen by the hash of doc_id. A word outside the symbols has the chance of that symbol
-times its smoothed share of the words outside, so ``score`` is the log10 chance of the whole
-text, word by word. The state is carried from window to window to the text's end.
+recurrent network (gru.py). It starts at the words' shares and learns from every training text,
+whole: in each of ``ROUNDS`` rounds the tasks run truncated backpropagation from the same
+weights over their part of the texts (1 / ``PARTS`` of them a round, so every text is seen
+ROUNDS / PARTS times), and the weights that they end with are averaged by Spark, by tokens and
+in slices, so the driver sees one set of weights a round. A word outside the symbols has the
+chance of that symbol times its smoothed share of the words outside, so ``score`` is the log10
+chance of the whole text, word by word. The state is carried from window to window to the
+text's end.
 
 Counts of at most ``FREQUENT`` words, cut at a count so that the bound holds, are broadcast;
 all rarer words are looked up by a shuffled join, so no table that grows with the corpus is
@@ -18,6 +22,8 @@ texts all counts are 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +33,10 @@ from .gru import END, UNKNOWN, Gru
 from .store import cut, documents
 from .words import hashed_batches
 
-SYMBOLS, FREQUENT, TRAIN_TEXTS = 1024, 1 << 18, 400
+SYMBOLS, FREQUENT = 1024, 1 << 18
+ROUNDS, PARTS = 4, 4
+NARROW, WIDE, TOKENS = 32, 512, 1 << 17  # lanes of a task's first TOKENS tokens in the first round, lanes then
+SLICE = 4096  # weights in a row
 
 
 def held_out(doc_id):
@@ -79,7 +88,44 @@ class Lookup:
         return np.where(hit, self.symbol[at], UNKNOWN).astype(np.int32), np.where(hit, self.c[at], -1)
 
 
-def lm_scores(docs: DataFrame, symbols: int = SYMBOLS, most: int = FREQUENT, train_texts: int = TRAIN_TEXTS) -> DataFrame:
+def train_round(learn: DataFrame, held, first: bool) -> np.ndarray | None:
+    """One round over ``learn`` (text) from the weights in ``held``, a broadcast (table, model):
+    the mean of the tasks' weights, each by the tokens that it saw; None without texts. In the
+    first round a task begins with few lanes, so with many small steps."""
+
+    def run(batches):
+        table, model = held.value
+        model, moments, seen, texts, size = copy.deepcopy(model), None, 0, [], 0
+        for batch in batches:
+            for _, _, h, at, _, _ in hashed_batches([batch], lower=True):
+                number = table(h)[0]
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    texts.append(np.r_[number[a:b], END])
+                    size += b - a + 1
+                    if size >= (TOKENS if first and not seen else 8 * TOKENS):
+                        moments = model.train(texts, moments, NARROW if first and not seen else WIDE)
+                        seen, texts, size = seen + size, [], 0
+        if texts:
+            moments = model.train(texts, moments, NARROW if first and not seen else WIDE)
+            seen += size
+        if seen:
+            values = model.flat()
+            parts = [values[i : i + SLICE] for i in range(0, len(values), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([p.astype(np.float64) * seen for p in parts], pa.list_(pa.float64()))], names=["part", "seen", "total"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.sum([x.values.to_numpy() for x in rows.column("total")], 0)
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "seen": pa.array([sum(rows.column("seen").to_pylist())], pa.int64()), "total": pa.array([total], pa.list_(pa.float64()))})
+
+    schema = "part int, seen long, total array<double>"
+    own = learn.select("text").mapInArrow(run, schema).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    # twice, so that however many tasks there are, a group holds few of their weights
+    some = own.groupBy("part", "salt").applyInArrow(lambda rows: add(rows), schema)
+    rows = sorted(some.groupBy("part").applyInArrow(lambda rows: add(rows), schema).collect(), key=lambda r: r["part"])
+    return np.concatenate([np.array(r["total"]) / r["seen"] for r in rows]) if rows else None
+
+
+def lm_scores(docs: DataFrame, symbols: int = SYMBOLS, most: int = FREQUENT, rounds: int = ROUNDS, parts: int = PARTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
     context = docs.sparkSession.sparkContext
@@ -97,14 +143,14 @@ def lm_scores(docs: DataFrame, symbols: int = SYMBOLS, most: int = FREQUENT, tra
     end_chance = np.log10(n_texts + 0.5) - base_mass
 
     model = Gru(symbols)
-    chosen = learn.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_texts)
-    sample = learn.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text").toPandas().sort_values(["h", "text"])[:train_texts]
-    if len(sample):
-        texts = []
-        for _, _, h, at, _, _ in hashed_batches([pa.RecordBatch.from_pydict({"text": sample["text"].tolist()})], lower=True):
-            number = table(h)[0]
-            texts += [np.r_[number[a:b], END] for a, b in zip(at[:-1], at[1:], strict=True)]
-        model.train(texts)
+    if n_texts:
+        model.start_at(np.r_[n_texts, outside, np.pad(c[: symbols - 2], (0, max(0, symbols - 2 - len(c))))].astype(float))
+        for k in range(rounds):
+            held = context.broadcast((table, model))
+            now = train_round(learn.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k % parts), held, k == 0)
+            if now is not None:
+                model = copy.deepcopy(model)
+                model.unflat(now)
     held = context.broadcast((table, model))
 
     def run(batches):
