@@ -2,9 +2,9 @@
 
 Base spans are the regular-expression matches that pass their checks; they always stay.
 Candidates are these and looser shapes (addresses written with "at" and "dot", local phone
-numbers, card-shaped numbers). Labelers vote 1, -1 or 0 on each candidate: the base regex,
-a gazetteer (top-level domains, card issuers), context words to the left, and the shape of
-the separators. Expectation-maximisation over the counts of vote patterns (at most
+numbers, card-shaped numbers). Labelers vote 1, -1 or 0 on each candidate: a strict regex of
+the kind (against base spans that miss it), a gazetteer (top-level domains, card issuers,
+country codes), context words to the left, and the shape of the separators. Expectation-maximisation over the counts of vote patterns (at most
 4 kinds x 3^4 rows, whatever the corpus size) estimates each labeler's reliability without
 labels, and a naive Bayes span classifier is trained on the candidates' posteriors, over
 features of bounded range. Candidates that it accepts are added unless they overlap a base
@@ -15,7 +15,8 @@ pass stays inside the JVM; a document's spans are one array, no row is exploded
 the aggregated training counts.
 
 Defined cases: a null or empty text has no spans; texts are searched whole; repeated rows
-and null ids give a row each; an empty table gives an empty result, with no model.
+and null ids give a row each; an empty table gives an empty result, with no model; further
+columns are kept, but those named base, loose or added are replaced.
 """
 
 from __future__ import annotations
@@ -46,7 +47,15 @@ LOOSE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\x20-]?[0-9])",
 }
 # Fixed values of the labelers.
-DOMAINS = "com org net edu gov info biz io de fr es uk it nl eu ch at"
+DOMAINS = "com org net edu gov mil int info biz io ai app dev co me tv de fr es uk it nl be eu ch at pl pt se no dk fi ie gr cz hu ro ru ua tr us ca mx br ar cl in cn jp kr au nz za"
+ISSUERS = r"\A(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|35[0-9]{14}|6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12})\z"
+DIALLED = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 380 420 971 972"
+STRICT = {
+    "email": r"\A[a-z0-9](?:[._%+-]?[a-z0-9])*@(?:[a-z0-9](?:-?[a-z0-9])*\.)+[a-z]{2,}\z",
+    "ip": r"\A(?:[1-9][0-9]{0,2}|0)(?:\.(?:[1-9][0-9]{0,2}|0)){3}\z",
+    "card": r"\A(?:[0-9]+|[0-9]{4}(?:([ -])[0-9]{4,7})(?:\1[0-9]{2,5})+)\z",
+    "phone": r"\A\+?[0-9]{0,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,5})+\z",
+}
 CUES = {
     "email": "email|e-mail|mail|contact|write|correo|courriel|kontakt|reach",
     "ip": "ip|address|host|server|client|addr|from",
@@ -55,7 +64,7 @@ CUES = {
 }
 AGAINST = "isbn|issn|order|invoice|version|serial|sku|doi|ticket|build|case"
 LABELERS = ("regex", "gazetteer", "context", "shape")
-LEFT, ACCEPT, ROUNDS = 32, 0.9, 50
+LEFT, ACCEPT, ROUNDS, RUN = 32, 0.9, 50, 128
 
 
 def _digits(value):
@@ -103,36 +112,44 @@ def _matches(text, pattern: str, quick: str | None):
     return F.when(hit, found).otherwise(none), F.when(hit, gaps).otherwise(none)
 
 
-def _placed(found, gaps, kind: int):
-    """Spans of the matches, from running lengths."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("spans"))
+def _running(sizes):
+    """Sums of an int array up to each place, in runs of ``RUN`` whose totals are summed first:
+    an array is never rebuilt element by element over more than a run."""
+    none = F.array().cast("array<int>")
+    runs = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int")), lambda k: F.slice(sizes, k * RUN + 1, F.lit(RUN)))).otherwise(F.array().cast("array<array<int>>"))
+    add = lambda begin: lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), begin) + x))
+    total = lambda run: F.aggregate(run, F.lit(0), lambda t, x: t + x)
+    ends = F.aggregate(F.transform(runs, total), none, add(F.lit(0)))
+    begins = F.concat(F.array(F.lit(0)), ends)
+    return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), F.slice(begins, F.lit(1), F.size(runs)).alias("begin")), lambda x: F.aggregate(x["run"], none, add(x["begin"]))))
 
-    def step(acc, i):
-        value, begin = F.element_at(found, i), acc["at"] + F.length(F.element_at(gaps, i))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + F.length(value)).alias("end"), value.alias("value"))
-        return F.struct((begin + F.length(value)).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda acc: acc["spans"])
+def _placed(found, gaps, ends, kind: int):
+    """Spans of the matches; ``ends`` are the running sums of gaps and matches."""
+    pair = F.arrays_zip(found.alias("value"), ends.alias("end"))
+    return F.transform(pair, lambda x: F.struct((x["end"] - F.length(x["value"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``base`` and ``loose`` span arrays (start, kind, end,
-    value; loose ones also the text to the left)."""
-    rest = [c for c in docs.columns if c != text_col]
-    out = docs.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    value, and left, the text before). Columns of these names are replaced."""
+    rest = [c for c in docs.columns if c != text_col and c.lower() not in ("base", "loose", "added")]
+    out = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     every = [("b", k, BASE[k], QUICK[k]) for k in KINDS] + [("l", k, p, "t" if k == "email" else None) for k, p in LOOSE.items()]
     for tag, kind, pattern, quick in every:
-        found, gaps = _matches(F.col("__t"), pattern, quick)
-        out = out.withColumns({f"__{tag}f_{kind}": found, f"__{tag}g_{kind}": gaps})
+        found, gaps = _matches(F.col("t"), pattern, quick)
+        out = out.withColumns({f"{tag}f_{kind}": found, f"{tag}g_{kind}": gaps})
+    sizes = lambda tag, kind: F.transform(F.arrays_zip(F.col(f"{tag}f_{kind}").alias("f"), F.slice(f"{tag}g_{kind}", F.lit(1), F.size(f"{tag}f_{kind}")).alias("g")), lambda x: F.length(x["f"]) + F.length(x["g"]))
+    out = out.withColumns({f"{tag}s_{kind}": sizes(tag, kind) for tag, kind, _, _ in every})
+    out = out.withColumns({f"{tag}e_{kind}": _running(F.col(f"{tag}s_{kind}")) for tag, kind, _, _ in every})
     spans = {}
     for tag, kind, _, _ in every:
-        found = _placed(F.col(f"__{tag}f_{kind}"), F.col(f"__{tag}g_{kind}"), KINDS.index(kind))
+        found = _placed(F.col(f"{tag}f_{kind}"), F.col(f"{tag}g_{kind}"), F.col(f"{tag}e_{kind}"), KINDS.index(kind))
         spans[tag, kind] = F.filter(found, partial(_keeps, kind)) if tag == "b" else found
-    with_left = lambda arr: F.transform(arr, lambda s: s.withField("left", F.lower(F.substring(F.col("__t"), F.greatest(s["start"] - LEFT, F.lit(0)) + 1, F.least(s["start"], F.lit(LEFT))))))
+    with_left = lambda arr: F.transform(arr, lambda s: s.withField("left", F.lower(F.substring(F.col("t"), F.greatest(s["start"] - LEFT, F.lit(0)) + 1, F.least(s["start"], F.lit(LEFT))))))
     base = with_left(F.array_sort(F.concat(*[spans["b", k] for k in KINDS])))
     loose = with_left(F.array_sort(F.concat(*[spans["l", k] for k in LOOSE])))
-    out = out.select(*rest, base.alias("base"), loose.alias("loose"))
+    out = out.select(*[F.col("row").getField(c).alias(c) for c in rest], base.alias("base"), loose.alias("loose"))
     apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return out.withColumn("loose", apart)
 
@@ -155,8 +172,8 @@ def votes(span, is_base):
     known = _by_kind(span, {
         "email": _vote(F.regexp_like(value, F.lit(domain)), F.lit(True)),
         "ip": _vote(~F.regexp_like(value, F.lit(r"\A0")), F.regexp_like(value, F.lit(r"\A0+\."))),
-        "card": _vote(F.regexp_like(digits, F.lit(r"\A[3-6]")), F.lit(True)),
-        "phone": _vote(F.regexp_like(digits, F.lit(r"\A1?[2-9]")), F.regexp_like(digits, F.lit(r"\A0+\z"))),
+        "card": _vote(F.regexp_like(digits, F.lit(ISSUERS)), F.lit(True)),
+        "phone": _vote(F.regexp_like(value, F.lit(rf"\A(?:\+(?:{DIALLED.replace(' ', '|')})|\(?[2-9])")), F.regexp_like(value, F.lit(r"\A\+0"))),
     })
     cue = _by_kind(span, {k: _vote(F.regexp_like(span["left"], F.lit(rf"(?:{c})\W{{0,4}}(?:\w+\W{{1,3}})?\z")), F.regexp_like(span["left"], F.lit(rf"(?:{AGAINST})\W{{0,4}}(?:\w+\W{{1,3}})?\z"))) for k, c in CUES.items()})
     shape = _by_kind(span, {
@@ -165,7 +182,8 @@ def votes(span, is_base):
         "card": _vote(_luhn(digits), F.lit(True)),
         "phone": _vote(~F.regexp_like(value, F.lit(r"[0-9]{11}|\.[^0-9]")), F.lit(True)),
     })
-    return F.array(_vote(is_base), known, cue, shape)
+    strict = _by_kind(span, {k: _vote(F.regexp_like(value, F.lit(p)), is_base) for k, p in STRICT.items()})
+    return F.array(strict, known, cue, shape)
 
 
 def features(span):
@@ -198,7 +216,7 @@ def fit_reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds:
                     b = (sum(n * (1 - post[v]) for v, n in own if v[j] == value) + 1) / (no + 3)
                     for v in odds:
                         odds[v] += math.log(a / b) if v[j] == value else 0
-            post = {v: 1 / (1 + math.exp(-max(-50, min(50, o)))) for v, o in odds.items()}
+            post = {v: 1 / (1 + math.exp(-max(-50.0, min(50.0, o)))) for v, o in odds.items()}
         out |= {(kind, v): p for v, p in post.items()}
     return out
 
