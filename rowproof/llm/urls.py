@@ -13,8 +13,8 @@ join on it, then summed per distinct URL, so repeated URLs and common characters
 row each; the driver sees a histogram of 1,001 bins.
 
 Defined cases: host and path of a null URL or one without "://" are empty; without labelled
-URLs of both kinds every other URL is allowed; repeated rows and null ids give a row each;
-an empty table gives an empty result.
+URLs of both kinds every other URL is allowed; repeated rows and null ids give a row each; URLs
+are read whole; an empty table gives an empty result; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -53,6 +53,7 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 def _grams(urls: DataFrame) -> DataFrame:
     """(url, ..., ctx, ch) for every character of the lower-cased URL and its end; ctx is the
     ORDER characters before it, filled up at the start."""
+    urls = urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a URL is many rows
     text = F.concat(F.lit(EDGE * ORDER), F.translate("url", UPPER, LOWER), F.lit("\x03"))
     at = urls.withColumn("t", text).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("t") - ORDER)))
     return at.withColumns({"ctx": F.substring("t", F.col("i"), F.lit(ORDER)), "ch": F.substring("t", F.col("i") + ORDER, F.lit(1))}).drop("t", "i")
@@ -102,12 +103,12 @@ def threshold(scored: DataFrame) -> float:
     if not good or not bad:
         return 0.0
     best, low, at = -1.0, 0, 0.0
-    kept = good
+    kept, before = good, rows[0][0]
     for b, g, x in [*rows, (501, 0, 0)]:
         value = kept / good + low / bad
         if value > best:
-            best, at = value, b / 100
-        kept, low = kept - g, low + x
+            best, at = value, (before + b) / 200  # all scores between two bins part alike
+        kept, low, before = kept - g, low + x, b + 1
     return at
 
 
