@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import cut
 
 SAMPLE, PROBES, RECALL = 20_000, 200, 0.98
-FAN, LEAF_ROWS, MOST_LEAVES, BLOCK, BIN = 8, 400, 4096, 1024, 4096
+FAN, LEAF_ROWS, BLOCK, BIN = 8, 400, 1024, 4096
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -198,7 +198,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = KMeansTree(_matrix(sample["v"]), min(MOST_LEAVES, -(-n // LEAF_ROWS)))
+    tree = KMeansTree(_matrix(sample["v"]), -(-n // LEAF_ROWS))
     held = spark.sparkContext.broadcast(tree)
 
     def place(frames):
@@ -213,7 +213,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
     probes = [(r["vec_id"], r["v"]) for r in queries.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(PROBES).collect()]
     most = calibrate(tree, rows, probes, k, recall) if probes else 1
 
-    # one entry a leaf, at most about FAN * MOST_LEAVES of them: where it begins and ends, in bins
+    # one entry a leaf, at most one per row of the sample: where it begins and ends, in bins
     counts = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}
     ends, width = np.cumsum([counts.get(x, 0) for x in tree.leaves()]), n / -(-n // BIN)
     spans = {x: ((int(e) - counts[x]) / width, int(e) / width) for x, e in zip(tree.leaves(), ends, strict=True) if x in counts}
@@ -235,7 +235,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
                 yield pd.DataFrame(out, columns=["bin", "leaves", "vec_id", "v"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = cut(queries.repartition(tasks, "vec_id").mapInPandas(walk, "bin int, leaves array<int>, vec_id long, v array<double>"))
+    asked = cut(queries.repartition(tasks).mapInPandas(walk, "bin int, leaves array<int>, vec_id long, v array<double>"))
     parts = asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qb"))
     left = dealt.join(parts, "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "leaf", "vec_id", "v")
     right = asked.join(parts, "bin").select("bin", F.pmod(F.xxhash64("vec_id"), F.col("qb")).cast("int").alias("q"), "leaves", "vec_id", "v")
