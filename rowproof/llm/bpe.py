@@ -13,8 +13,8 @@ batches within each partition, with no shuffle.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes; every text is
 encoded whole, whatever its length; repeated rows, null ids and further columns pass
-through; a further column of a new column's name is an error, and the new names can be
-chosen; an empty table gives an empty result. Special tokens are ordinary text.
+through, but one of a new column's name is replaced, and the new names can be chosen; an
+empty table gives an empty result. Special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -178,11 +178,10 @@ def _slices(column: pa.Array, most: int = SLICE):
 def _with_columns(df: DataFrame, source: str, made: dict[str, str], make, rank_path: str, pattern: str) -> DataFrame:
     """``df`` with ``source`` replaced by the columns ``made`` (name -> type), worked out by
     make(coder)(value) -> their values. Rows are taken a few MB of ``source`` at a time."""
-    if clash := sorted({c.lower() for c in made} & {c.lower() for c in df.columns if c != source}):
-        raise ValueError(f"columns {clash} are there already; name the new ones otherwise")
     with open(rank_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    rest = [c for c in df.columns if c != source]
+    taken = {c.lower() for c in (source, *made)}
+    rest = [c for c in df.columns if c.lower() not in taken]
     schema = df.select(*rest, *[F.lit(None).cast(t).alias(c) for c, t in made.items()]).schema
 
     def run(batches):
