@@ -4,38 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .normalize import SPACE, strip
+from .normalize import SPACE, ascii_digits, once, strip
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
 
-def _date(y, m, d):
-    n = y.try_cast("int")
-    year = F.when(n < 31, n + 2000).when(n < 100, n + 1900).otherwise(n)
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
+# The written forms of a date.
+FORMS = {
+    "year": r"\A(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[ T][^\n]*)?\z",
+    "digits": rf"\A(\d{{1,2}})[-/.{SPACE}](\d{{1,2}})[-/.{SPACE}](\d{{2,4}})(?:[{SPACE}][^\n]*)?\z",
+    "day": rf"\A(\d{{1,2}})(?:st|nd|rd|th)?[-/.{SPACE}]*([A-Za-z]{{3,}})[-/.,{SPACE}]*(\d{{2,4}})\z",
+    "month": rf"\A([A-Za-z]{{3,}})[-.{SPACE}]*(\d{{1,2}})(?:st|nd|rd|th)?,?[-.{SPACE}]*(\d{{2,4}})\z",
+    "serial": r"\A(\d{5})(?:\.\d+)?\z",
+}
+
+
+def _day(year, month, day):
+    """The date, or null where there is none; the parts are whole numbers."""
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    return F.try_to_date(F.concat_ws("-", pad(year, 4), pad(month, 2), pad(day, 2)), "yyyy-MM-dd")
 
 
 def parse_date_any(c, day_first: bool = True):
-    """A date, or null: year first, day or month first, with a month's name, or a serial number."""
-    t = strip(c)
-    forms = {
-        "y": rf"\A(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:[ T].*)?\z",
-        "n": rf"\A(\d{{1,2}})[-/.{SPACE}](\d{{1,2}})[-/.{SPACE}](\d{{2,4}})(?:[{SPACE}].*)?\z",
-        "d": rf"(?i)\A(\d{{1,2}})(?:st|nd|rd|th)?[-/.,{SPACE}]*([a-z]{{3,9}})[-/.,{SPACE}]*(\d{{2,4}})\z",
-        "m": rf"(?i)\A([a-z]{{3,9}})[-/.,{SPACE}]*(\d{{1,2}})(?:st|nd|rd|th)?[-/.,{SPACE}]+(\d{{2,4}})\z",
-    }
-    has = lambda k: F.regexp_like(t, F.lit(forms[k]))
-    part = lambda k, g: F.regexp_extract(t, forms[k], g)
-    month = lambda name: F.array_position(F.split(F.lit(MONTHS), " "), F.lower(F.substring(name, 1, 3))).cast("int")
-    a, b, year = part("n", 1).try_cast("int"), part("n", 2).try_cast("int"), part("n", 3)
+    """A date, or null: year first, day or month first, with a month's name, or a serial number.
+    The first form that fits decides, but a name that is no month passes on to the next."""
+    return once(ascii_digits(strip(c)), lambda t: _parsed(t, day_first))
+
+
+def _parsed(t, day_first: bool):
+    has = {k: F.regexp_like(t, F.lit(form)) for k, form in FORMS.items()}
+    part = lambda k, g: F.regexp_extract(t, FORMS[k], g)
+    number = lambda k, g: part(k, g).try_cast("int")
+    year = lambda k: F.when(number(k, 3) >= 100, number(k, 3)).otherwise(number(k, 3) + F.when(number(k, 3) <= 30, 2000).otherwise(1900))
+    named = lambda k, g: F.array_position(F.split(F.lit(MONTHS), " "), F.lower(F.substring(part(k, g), 1, 3))).cast("int")
+    a, b = number("digits", 1), number("digits", 2)
     day_then = F.when(a > 12, True).when(b > 12, False).otherwise(day_first)
-    number = F.regexp_extract(t, r"\A(\d{5})(?:\.\d+)?\z", 1).try_cast("int")
+    days = number("serial", 1)
     return (
-        F.when(has("y"), _date(part("y", 1), part("y", 2), part("y", 3)))
-        .when(has("n"), F.when(day_then, _date(year, b, a)).otherwise(_date(year, a, b)))
-        .when(has("d") & (month(part("d", 2)) > 0), _date(part("d", 3), month(part("d", 2)), part("d", 1)))
-        .when(has("m") & (month(part("m", 1)) > 0), _date(part("m", 3), month(part("m", 1)), part("m", 2)))
-        .when(number.between(10001, 79999), F.date_add(F.lit("1899-12-30").cast("date"), number))
+        F.when(has["year"], _day(number("year", 1), number("year", 2), number("year", 3)))
+        .when(has["digits"], F.when(day_then, _day(year("digits"), b, a)).otherwise(_day(year("digits"), a, b)))
+        .when(has["day"] & (named("day", 2) > 0), _day(year("day"), named("day", 2), number("day", 1)))
+        .when(has["month"] & (named("month", 1) > 0), _day(year("month"), named("month", 1), number("month", 2)))
+        .when(has["serial"] & days.between(10001, 79999), F.date_add(F.lit("1899-12-30").cast("date"), days))
     )
 
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # White space, title words, label words.
 SPACE = r"\x09-\x0D\x1C-\x20\x85   -     　"
@@ -14,6 +13,11 @@ TITLES = ("MR", "MRS", "MS", "MISS", "DR", "SHRI", "SRI", "SMT", "KUMARI", "KUM"
 NOT_A_NAME = "guardian|husband|institut|college|school|course|programme|program|exam|centre|center|university|parent|subject|paper"
 
 
+def once(value, make):
+    """make(value), with ``value`` worked out once however often it is used there."""
+    return F.transform(F.array(value), make)[0]
+
+
 def text(c):
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -26,18 +30,51 @@ def squash(c):
     return F.regexp_replace(strip(c), rf"[{SPACE}]+", " ")
 
 
-@F.pandas_udf(StringType())
-def _unmarked(values: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks; null stays null."""
-    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.category(c).startswith("M"))
-    return values.map(plain, na_action="ignore")
+def _decomposed(c: str) -> str:
+    """A character's compatibility decomposition without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
+
+
+@cache
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one ASCII letter or digit, those letters, and a table of the
+    characters that decompose to several characters with an ASCII letter among them."""
+    single, several = {}, {}
+    for c in map(chr, range(0x80, 0x20000)):
+        plain = _decomposed(c)
+        if plain != c and any(x.isascii() and x.isalnum() for x in plain):
+            (single if len(plain) == 1 else several)[c] = plain
+    return "".join(single), "".join(single.values()), several
+
+
+@cache
+def _digits() -> tuple[str, str]:
+    """Decimal digits of other scripts, and what they stand for."""
+    found = {c: str(unicodedata.digit(c)) for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd"}
+    return "".join(found), "".join(found.values())
+
+
+def is_ascii(t):
+    return F.length(t) == F.octet_length(t)
+
+
+def ascii_digits(c):
+    """Decimal digits of any script as 0 to 9."""
+    return F.when(is_ascii(c), c).otherwise(F.translate(c, *_digits()))
 
 
 def strip_accents(c):
-    """Only rows with non-ASCII text carry a value into Python."""
-    t = text(c)
-    ascii_only = F.length(t) == F.octet_length(t)
-    return F.coalesce(F.when(ascii_only, t), _unmarked(F.when(~ascii_only, t)))
+    """Letters as the ASCII letters that they decompose to, without combining marks; other
+    characters stay. Built-in functions only."""
+    return once(text(c), _without_accents)
+
+
+def _without_accents(t):
+    one, plain, several = _plain_letters()
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    wide = F.when(F.regexp_like(t, F.lit(f"[{''.join(several)}]")), spread).otherwise(t)
+    return F.when(is_ascii(t), t).otherwise(F.translate(F.regexp_replace(wide, r"\p{M}+", ""), one, plain))
 
 
 def clean_name(c, ignore_titles: bool = True):
@@ -71,30 +108,34 @@ def label_field(c):
     )
 
 
+# What a value of a field looks like, a line "label : value", a label with a value.
+VALUE_FORMS = {
+    "reg": r"[A-Za-z0-9/\-]{4,}",
+    "dob": rf"\p{{Nd}}{{1,4}}[\-/.{SPACE}][\p{{L}}\p{{N}}_]{{1,9}}[\-/.{SPACE},]*\p{{Nd}}{{2,4}}",
+    "abc": rf"\p{{Nd}}[\p{{Nd}}{SPACE}\-]{{6,}}\p{{Nd}}",
+}
+LINE_FORM = rf"\A[{SPACE}]*([^:：\n]{{2,60}}?)[{SPACE}]*[:：][{SPACE}]*([^\n]*?)[{SPACE}]*\z"
+LABEL_FORM = rf"\A([^\n]{{2,60}}?)[{SPACE}]*[:：][{SPACE}]*([^\n]+)\n?\z"
+
+
 def clean_value(field: str, c):
     """What a document prints as a field's value, cut to the part that is the value."""
     t = strip(c)
-    forms = {
-        "reg": r"[A-Za-z0-9/\-]{4,}",
-        "dob": rf"\p{{Nd}}{{1,4}}[\-/.{SPACE}][\p{{L}}\p{{N}}_]{{1,9}}[\-/.{SPACE},]*\p{{Nd}}{{2,4}}",
-        "abc": rf"\p{{Nd}}[\p{{Nd}}{SPACE}\-]{{6,}}\p{{Nd}}",
-    }
-    if field not in forms:
+    if field not in VALUE_FORMS:
         return F.regexp_replace(t, r"\A[ .,:;]+|[ .,:;]+\z", "")
-    part = F.regexp_extract(t, f"({forms[field]})", 1)
+    part = F.regexp_extract(t, f"({VALUE_FORMS[field]})", 1)
     part_shown = F.regexp_replace(part, r"\P{Nd}", "") if field == "abc" else part
     return F.when(part != "", part_shown).otherwise(t)
 
 
 def parse_cell(c):
     """Lines of a cell as array<struct<label, field, value>>; blank lines are left out."""
-    line_form = rf"\A[{SPACE}]*([^:：\n]{{2,60}}?)[{SPACE}]*[:：][{SPACE}]*([^\n]*?)[{SPACE}]*\z"
     lines = F.filter(F.transform(F.split(text(c), r"[\r\n]+"), strip), lambda x: x != "")
 
     def entry(x):
-        fits = F.regexp_like(x, F.lit(line_form))
-        label = F.when(fits, strip(F.regexp_extract(x, line_form, 1))).otherwise("")
-        value = F.when(fits, strip(F.regexp_extract(x, line_form, 2))).otherwise(x)
+        fits = F.regexp_like(x, F.lit(LINE_FORM))
+        label = F.when(fits, strip(F.regexp_extract(x, LINE_FORM, 1))).otherwise("")
+        value = F.when(fits, strip(F.regexp_extract(x, LINE_FORM, 2))).otherwise(x)
         return F.struct(label.alias("label"), F.when(fits, label_field(label)).alias("field"), value.alias("value"))
 
     return F.transform(lines, entry)
