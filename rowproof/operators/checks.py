@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.functions.normalize import label_field, norm_digits, norm_key, parse_cell, strip, text
+from rowproof.sources.scratch import written
 
 from .compare import Settings, compare_field, prepared
 from .reconcile import closest_keys
@@ -58,10 +59,15 @@ def build_checks(sheet: DataFrame) -> DataFrame:
     return found.withColumn("claimed", claimed).drop("old", "n_lines", "n_old")
 
 
-def mark_duplicates(checks: DataFrame) -> DataFrame:
-    """Field checks that share a key and field name the others' rows in parse_note."""
+def mark_duplicates(checks: DataFrame, most: int | None = None) -> DataFrame:
+    """Field checks that share a key and field name the others' rows in parse_note. Keys are
+    counted first, and rows are gathered only for those that repeat. ``most`` bounds the rows
+    that a note draws on, and is off unless given."""
     keyed = checks.withColumn("dup_key", F.when(F.col("kind") == "field", norm_key(F.col("enroll"))))
-    groups = keyed.where("dup_key is not null").groupBy("dup_key", "field").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("row_no", "nth"))).alias("all")).where("n > 1").drop("n")
+    named = keyed.where("dup_key is not null")
+    twice = named.groupBy("dup_key", "field").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dup_key", "field")
+    every = F.array_sort(F.collect_list(F.struct("row_no", "nth")))
+    groups = named.join(twice, ["dup_key", "field"], "left_semi").groupBy("dup_key", "field").agg((every if most is None else F.slice(every, 1, most)).alias("all"))
     others = F.filter("all", lambda x: (x["row_no"] != F.col("row_no")) | (x["nth"] != F.col("nth")))
     rows = F.array_join(F.transform(others, lambda x: x["row_no"].cast("string")), ", ")
     note = F.when(F.col("all").isNotNull(), F.concat(F.lit("Same student and field also on row(s) "), rows))
@@ -121,12 +127,15 @@ def evaluate(checks: DataFrame, records: DataFrame, settings: Settings = Setting
     found = found.withColumn("pdf_value", F.coalesce("force_pdf_value", own) if "force_pdf_value" in checks.columns else own)
     # dates and cleaned names once, as columns, and only for the rows whose field needs them
     sides = {"p": F.col("pdf_value"), "e": F.col("expected"), "o": F.nullif("claimed", F.lit(""))}
+    found = written(found)  # what follows is planned over these columns, not over the joins behind them
     found = found.withColumns({f"{k}_{f}": prepared(f, F.when(F.col("field").isin(*fs) & F.col("pdf_value").isNotNull(), c), settings) for k, c in sides.items() for f, fs in (("dob", ("dob",)), ("name", NAMES))})
+    found = written(found)
     known = lambda f, other: (F.col(f"p_{f}"), F.col(f"{other}_{f}"))
     found = found.withColumns({
         "cmp": _compared(sides["p"], sides["e"], settings, known("dob", "e"), known("name", "e")),
         "old": _compared(sides["p"], sides["o"], replace(settings, strict=True), known("dob", "o"), known("name", "o"))["status"],
     })
+    found = written(found)
     has, status = F.col("pdf_value") != "", F.col("cmp.status")
     verdict = (
         F.when(F.col("kind") == "marks", "Marks row (not checked)").when(~F.col("live"), "Not checked").when(F.col("rec").isNull(), "PDF not found").when(~has, "Field not in PDF")

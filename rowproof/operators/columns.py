@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowproof.functions.dates import parse_date_any
-from rowproof.functions.normalize import SPACE, norm_digits, norm_key, parse_cell, squash, strip, text
+from rowproof.functions.normalize import SPACE, clean_name, norm_digits, norm_key, parse_cell, squash, strip, text
 from rowproof.functions.similarity import name_similarity
+from rowproof.sources.scratch import written
 
 # Header patterns and their weights, headers that rule a field out, role patterns.
 HEADERS = {
@@ -83,7 +84,7 @@ def _below(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def profile_columns(cells: DataFrame, headers: DataFrame, day_first: bool = True) -> DataFrame:
     """Shares of non-empty values by shape, in the first rows with data: id_like, uniq,
-    date_like, name_like, enroll_like, labelled."""
+    date_like, name_like."""
     data = _below(cells, headers)
     rows = data.select(*SHEET, "row_no").distinct().withColumn("nth", F.row_number().over(Window.partitionBy(*SHEET).orderBy("row_no")))
     v = F.col("value")
@@ -97,9 +98,7 @@ def profile_columns(cells: DataFrame, headers: DataFrame, day_first: bool = True
         (F.count_distinct(norm_key(v)) / F.count(F.lit(1))).alias("uniq"),
         share(day, "date_like"),
         share(F.regexp_like(v, F.lit(rf"\A[A-Za-z][A-Za-z.{SPACE}'\-]{{2,}}\z")), "name_like"),
-        share(F.regexp_like(packed, F.lit(r"\p{Nd}{6,}")), "enroll_like"),
-        share(F.exists(parse_cell(v), lambda x: x["label"] != ""), "labelled"),
-    )
+            )
 
 
 def key_overlap(cells: DataFrame, headers: DataFrame, records: DataFrame) -> DataFrame:
@@ -130,7 +129,14 @@ def pair_agreement(cells: DataFrame, headers: DataFrame, records: DataFrame, key
     asked = told.join(first, "key").groupBy(*SHEET, "field").agg(F.count(F.lit(1)).alias("told"))
     a, b = parse_date_any(F.col("told"), day_first), parse_date_any(F.col("value"), day_first)
     dates = values.where("field = 'dob'").select(*COLUMN, "field", "records", F.coalesce(a == b, F.lit(False)).alias("same"))
-    names = values.where("field != 'dob'").select(*COLUMN, "field", "records", (name_similarity(F.col("told"), F.col("value"), ignore_titles)["score"] >= 85).alias("same"))
+    # names cleaned once, as columns; lengths and words tell which pairs can reach 85 at all
+    clean = lambda c: clean_name(F.col(c), ignore_titles)
+    pairs = written(values.where("field != 'dob'").select(*COLUMN, "field", "records", "told", "value", clean("told").alias("x"), clean("value").alias("y")))
+    x, y = F.col("x"), F.col("y")
+    size, packed, words = (lambda f: (f(x), f(y)))(F.length), (lambda f: (f(x), f(y)))(lambda c: F.length(F.replace(c, F.lit(" ")))), (lambda f: (f(x), f(y)))(lambda c: F.size(F.split(c, " ")))
+    can = (200 * F.least(*size) >= 84.94 * (size[0] + size[1])) | (packed[0] == packed[1]) | (words[0] == words[1])
+    near = pairs.where(can).select(*COLUMN, "field", "records", (name_similarity(F.col("told"), F.col("value"), ignore_titles, (x, y))["score"] >= 85).alias("same"))
+    names = near.unionByName(pairs.where(~can).select(*COLUMN, "field", "records", F.lit(False).alias("same")))
     agreed = dates.unionByName(names).groupBy(*COLUMN, "field").agg(F.sum(F.when(F.col("same"), F.col("records")).otherwise(0)).alias("hits"))
     return agreed.join(asked, [*SHEET, "field"])
 
@@ -169,22 +175,58 @@ def column_scores(cells: DataFrame, headers: DataFrame, records: DataFrame, pinn
     return keys.where("field != 'name_last' or score > 0").unionByName(rest.select(*COLUMN, "field", F.least(F.lit(1.0), score).alias("score"), F.concat_ws(", ", title, many, days).alias("reason")))
 
 
-def assign_columns(scores: DataFrame, pinned: dict[str, int] | None = None) -> DataFrame:
-    """(source, sheet, field, col, confidence, score, reason): columns given out one to one, the
-    best score first, equal scores in the order abc and last name, reg, name, father, mother,
-    dob and then by column; pinned columns come first, and scores below 0.3 give none."""
-    pinned = pinned or {}
-    place = {"abc": 0, "name_last": 0, "reg": 1, "name": 2, "father": 3, "mother": 4, "dob": 5}
+def _given_out(scores: DataFrame, pinned: dict[str, int], order, fields, steps: tuple[float, float]) -> DataFrame:
+    """Columns of ``scores`` given to ``fields`` one to one in ``order``; a group is one sheet's
+    fields times its columns."""
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         source, sheet = rows["source"].iloc[0], rows["sheet"].iloc[0]
         got = {f: (c, "manual", 1.0, "Set manually") for f, c in pinned.items()}
         used = set(pinned.values())
-        for x in sorted(rows.itertuples(), key=lambda x: (-x.score, place[x.field], x.col_no, x.field)):
+        for x in sorted(rows.itertuples(), key=order):
             if x.score >= 0.3 and x.field not in got and x.col_no not in used:
-                got[x.field] = x.col_no, "high" if x.score >= 0.75 else "medium" if x.score >= 0.5 else "low", x.score, x.reason
+                got[x.field] = x.col_no, "high" if x.score >= steps[0] else "medium" if x.score >= steps[1] else "low", x.score, x.reason
                 used.add(x.col_no)
-        out = [(source, sheet, f, *got.get(f, (None, "none", 0.0, ""))) for f in HEADERS]
+        out = [(source, sheet, f, *got.get(f, (None, "none", 0.0, ""))) for f in fields]
         return pd.DataFrame(out, columns=["source", "sheet", "field", "col", "confidence", "score", "reason"]).astype({"col": "Int32"})
 
     return scores.groupBy(*SHEET).applyInPandas(choose, "source string, sheet string, field string, col int, confidence string, score double, reason string")
+
+
+def assign_columns(scores: DataFrame, pinned: dict[str, int] | None = None) -> DataFrame:
+    """(source, sheet, field, col, confidence, score, reason): columns given out one to one, the
+    best score first, equal scores in the order abc and last name, reg, name, father, mother,
+    dob and then by column; pinned columns come first, and scores below 0.3 give none."""
+    place = {"abc": 0, "name_last": 0, "reg": 1, "name": 2, "father": 3, "mother": 4, "dob": 5}
+    return _given_out(scores, pinned or {}, lambda x: (-x.score, place[x.field], x.col_no, x.field), HEADERS, (0.75, 0.5))
+
+
+def detect_check_columns(cells: DataFrame, headers: DataFrame, records: DataFrame, pinned: dict[str, int] | None = None) -> DataFrame:
+    """(source, sheet, role, col, confidence, score, reason) of the columns of a sheet of expected
+    values: enrollment numbers by header, shape and the documents that they name; expected and
+    printed values by header and cells that read "label : value"; the others by header."""
+    data = _below(cells, headers).withColumn("key", norm_key(F.col("value")))
+    keys = written(records.where(text(F.col("reg")) != "").select(norm_key(F.col("reg")).alias("key")).distinct())
+    total = keys.count()
+    labelled = F.exists(parse_cell(F.col("value")), lambda x: x["field"].isNotNull())
+    shape = data.groupBy(*COLUMN).agg(F.avg(F.when(F.regexp_like("key", F.lit(r"\A[0-9]{6,}\z")), 1.0).otherwise(0.0)).alias("id_like"), F.avg(F.when(labelled, 1.0).otherwise(0.0)).alias("labelled"))
+    hits = data.join(keys, "key", "left_semi").groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("hits"))
+    named = cells.join(headers, SHEET).where("row_no = header_row").select(*COLUMN, text(F.col("value")).alias("header"))
+    facts = written(cells.select(*COLUMN).distinct().join(named, COLUMN, "left").join(shape, COLUMN, "left").join(hits, COLUMN, "left").fillna("", ["header"]).fillna(0.0, ["id_like", "labelled"]).fillna(0, ["hits"]))
+    c = F.col
+    out = []
+    for role in ROLES:
+        h = role_score(role, c("header"))
+        title = F.when(h >= 0.5, F.concat(F.lit('header "'), c("header"), F.lit('"')))
+        if role == "enroll":
+            score = 0.6 * h + 0.3 * c("id_like") + (0.5 * F.least(F.lit(1.0), c("hits") / total) if total else F.lit(0.0))
+            more = F.when(c("hits") > 0, F.concat(c("hits").cast("string"), F.lit(" PDF reg. numbers found"))).when(c("id_like") > 0.7, "values look like ID numbers")
+        elif role in ("expected", "claimed"):
+            tie = -0.01 * c("col_no") if role == "expected" else 0.01 * c("col_no") * F.when(h > 0, 1).otherwise(0)
+            score = 0.7 * h + 0.3 * c("labelled") + tie
+            more = F.when(c("labelled") > 0.3, F.concat(F.bround(100 * c("labelled"), 0).cast("int").cast("string"), F.lit("% of cells look like 'Label : value'")))
+        else:
+            score, more = 0.8 * h, F.lit(None).cast("string")
+        out.append(F.struct(F.lit(role).alias("field"), score.cast("double").alias("score"), F.concat_ws(", ", title, more).alias("reason")))
+    scores = facts.select(*COLUMN, F.inline(F.array(*out)))
+    return _given_out(scores, pinned or {}, lambda x: (-x.score, x.col_no, ROLES.index(x.field)), ROLES, (0.7, 0.5)).withColumnRenamed("field", "role")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
 
@@ -27,6 +27,14 @@ class Settings:
         if self.review_threshold > self.match_threshold:
             raise ValueError("review_threshold must not exceed match_threshold")
 
+    def with_threshold(self, **moved: float) -> Settings:
+        """One threshold moved; the other is dragged along so that review stays at or below match."""
+        if len(moved) != 1 or (name := next(iter(moved))) not in ("match_threshold", "review_threshold"):
+            raise ValueError("move match_threshold or review_threshold")
+        to = moved[name]
+        other = {"review_threshold": min(self.review_threshold, to)} if name == "match_threshold" else {"match_threshold": max(self.match_threshold, to)}
+        return replace(self, **moved, **other)
+
 
 def _result(status, score=None, note=""):
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
@@ -41,7 +49,11 @@ def prepared(field: str, value, settings: Settings):
 def compare_field(field: str, doc, sheet, settings: Settings = Settings(), known=None):  # noqa: B008
     """struct(status, score, note, doc, sheet); the values as they are shown. ``known``: what
     ``prepared`` makes of both values, where these are columns already."""
-    p, e = strip(doc), strip(sheet)
+    return compare_stripped(field, strip(doc), strip(sheet), settings, known)
+
+
+def compare_stripped(field: str, p, e, settings: Settings, known=None):
+    """``compare_field`` of two values that are stripped already."""
     if field == "abc":
         a, b = norm_digits(p), norm_digits(e)
         found = F.when(a == "", _result("Not compared", None, "No ABC ID on the marksheet")).when(b == "", _result("Missing", None, "Empty in Excel")).when(a == b, _result("Match", 100.0, "Same ABC ID")).otherwise(_result("Mismatch", 0.0, "Different ABC ID"))

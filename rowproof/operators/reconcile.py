@@ -1,7 +1,8 @@
 """Pairing of records with sheet rows on a normalised key, and their comparison.
 
 The sheet is reduced to one row per key before any join, so joins are many-to-one whatever
-repeats on either side; empty keys are left out before they are shuffled.
+repeats on either side; empty keys are left out before they are shuffled. Keys, dates and
+cleaned names are worked out once per row and written; comparisons read these columns.
 """
 
 from __future__ import annotations
@@ -9,16 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowproof.functions.normalize import norm_digits, norm_key, strip
+from rowproof.functions.normalize import norm_digits, norm_key, row_label, strip, text
+from rowproof.sources.scratch import written
 
-from .compare import FIELDS, Settings, compare_field, overall, prepared
+from .compare import FIELDS, Settings, compare_stripped, overall, prepared
+
+MAPPED = ("reg", "abc", "name", "father", "mother", "dob", "name_last")
+DEEP = tuple(f for f in FIELDS if f != "abc")
+NO_KEY, NOT_THERE = "Registration number not found in the PDF", "Registration number not found in Excel"
 
 
 def key_index(sheet: DataFrame, key) -> DataFrame:
-    """(key, first struct, rows): the first row of each key, and all its rows if several."""
+    """(key, first struct, n): the first row of each key and how many rows have it."""
     keyed = sheet.withColumn("key", key).where("key != ''")
-    rows = F.array_sort(F.collect_list("row_no"))
-    return keyed.groupBy("key").agg(F.min_by(F.struct(*sheet.columns), "row_no").alias("first"), F.when(F.count(F.lit(1)) > 1, rows).alias("rows"))
+    return keyed.groupBy("key").agg(F.min_by(F.struct(*sheet.columns), "row_no").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def key_rows(sheet: DataFrame, key, wanted: DataFrame, label="row_no", most: int | None = None) -> DataFrame:
+    """(key, rows): the labels of all rows of the keys in ``wanted`` (key), in order. ``most`` bounds
+    the list of a key, and is off unless given."""
+    found = sheet.withColumn("key", key).join(wanted.select("key").distinct(), "key", "left_semi")
+    rows = F.array_sort(F.collect_list(F.struct("row_no", F.col(label).alias("label"))))
+    return found.groupBy("key").agg(F.transform(rows if most is None else F.slice(rows, 1, most), lambda r: r["label"]).alias("rows"))
 
 
 def variants(key):
@@ -36,36 +49,74 @@ def closest_keys(missing: DataFrame, keys: DataFrame) -> DataFrame:
     return near.groupBy("key").agg(F.min("closest").alias("closest"))
 
 
+def sheet_values(sheet: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """``sheet`` (row_no[, sheet] and a column per mapped field) -> row_no, excel_row, place, the raw
+    values of all fields, blank where a field is not mapped. A name gets the last name's column
+    appended where that holds anything."""
+    mapping = mapping or {f: f for f in MAPPED if f in sheet.columns}
+    if mapping.get("reg") is None:
+        raise ValueError("map the registration number first: rows are paired by it")
+    cell = lambda f: text(F.col(mapping[f])) if mapping.get(f) else F.lit("")
+    of = {f: cell(f) for f in MAPPED}
+    name = F.when(of["name_last"] != "", strip(F.concat(of["name"], F.lit(" "), of["name_last"]))).otherwise(of["name"])
+    book = text(F.col("sheet")) if "sheet" in sheet.columns else F.lit("")
+    row = F.col("row_no").cast("string")
+    place = F.when(book != "", F.concat(F.lit("sheet "), book, F.lit(" row "), row)).otherwise(F.concat(F.lit("row "), row))
+    return sheet.select("row_no", row_label(book, F.col("row_no")).alias("excel_row"), place.alias("place"), *[(name if f == "name" else of[f]).alias(f) for f in MAPPED[:-1]])
+
+
 def pair(records: DataFrame, sheet: DataFrame) -> DataFrame:
-    """``records`` with key, paired_by ("reg", "abc" or null), row (the sheet row) and rows."""
+    """``records`` with key, paired_by ("reg", "abc" or null), row (the sheet row) and n, how many
+    rows have that key."""
     by_reg, by_abc = key_index(sheet, norm_key(F.col("reg"))), key_index(sheet, norm_digits(F.col("abc")))
     keyed = records.withColumn("key", norm_key(F.col("reg")))
     direct = keyed.where("key != ''").join(by_reg, "key", "left").withColumn("paired_by", F.when(F.col("first").isNotNull(), "reg"))
     blank = keyed.where("key = ''").withColumn("abc_key", norm_digits(F.col("abc")))
-    fallback = blank.join(by_abc.withColumnRenamed("key", "abc_key"), "abc_key", "left").drop("abc_key").withColumn("paired_by", F.when(F.col("first").isNotNull(), "abc"))
-    return direct.unionByName(fallback).withColumnRenamed("first", "row")
-
-
-def reconcile(records: DataFrame, sheet: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """One row per record: rec_seq, row_no, paired_by, verdict, closest, note, sheet_reg, and a struct
-    (status, score, note, doc, sheet) per field."""
-    found = pair(records, sheet)
+    fallback = blank.join(by_abc.withColumnRenamed("key", "abc_key"), "abc_key", "left").withColumn("paired_by", F.when(F.col("first").isNotNull(), "abc"))
+    return direct.withColumn("abc_key", F.lit("")).unionByName(fallback).withColumnRenamed("first", "row")
+
+
+def reconcile(records: DataFrame, sheet: DataFrame, settings: Settings = Settings(), mapping: dict[str, str] | None = None, most_rows: int | None = None) -> DataFrame:  # noqa: B008
+    """One row per record: rec_seq, row_no, excel_row, paired_by, verdict, closest, note, sheet_reg,
+    and a struct (status, score, note, doc, sheet) per field. ``mapping``: column of each field,
+    a field's own name unless given. ``most_rows`` bounds the rows that a note on a repeated key
+    lists; off unless given."""
+    mapping = mapping or {f: f for f in MAPPED if f in sheet.columns}
+    mapped = [f for f in FIELDS if mapping.get(f)]
+    values = sheet_values(sheet, mapping)
+    rows = written(values.select("*", *[strip(F.col(f)).alias(f"e_{f}") for f in mapped]))
+    ready = rows.select("*", *[prepared(f, F.col(f"e_{f}"), settings).alias(f"y_{f}") for f in DEEP if f in mapped])
+    rows = written(ready)
+    own = records.select("rec_seq", *[text(F.col(f)).alias(f) for f in ("reg", *FIELDS)], (text(F.col("note")) if "note" in records.columns else F.lit("")).alias("rec_note"))
+    own = written(own.select("*", *[strip(F.col(f)).alias(f"p_{f}") for f in mapped]))
+    own = own.select("*", *[prepared(f, F.col(f"p_{f}"), settings).alias(f"x_{f}") for f in DEEP if f in mapped])
+    found = written(pair(own, rows))
     hit = F.col("row").isNotNull()
-    keys = sheet.select(norm_key(F.col("reg")).alias("key")).where("key != ''")
+    # rows of repeated keys, for the keys that records are paired by
+    twice = found.where(hit & (F.col("n") > 1))
+    lists = [key_rows(rows, norm(F.col(f)), twice.where(F.col("paired_by") == f).select(F.col(k).alias("key")), "place", most_rows).select(F.lit(f).alias("paired_by"), F.col("key").alias("on"), "rows") for f, k, norm in (("reg", "key", norm_key), ("abc", "abc_key", norm_digits))]
+    keys = rows.select(norm_key(F.col("reg")).alias("key"), "row_no", "reg", "place").where("key != ''")
     near = closest_keys(found.where(~hit & (F.col("key") != "")), keys)
-    skipped = lambda c: F.struct(F.lit("Not compared").alias("status"), F.lit(None).cast("double").alias("score"), F.lit("").alias("note"), strip(c).alias("doc"), F.lit("").alias("sheet"))
-    deep = [f for f in FIELDS if f != "abc"]
-    found = found.withColumns({f"{side}_{f}": prepared(f, F.col(c.format(f)), settings) for f in deep for side, c in (("p", "{}"), ("e", "row.{}"))})
-    known = {f: (F.col(f"p_{f}"), F.col(f"e_{f}")) for f in deep}
-    found = found.withColumns({f: compare_field(f, F.col(f), F.col(f"row.{f}"), settings, known.get(f)) for f in FIELDS})
-    found = found.withColumns({f: F.when(hit, F.col(f)).otherwise(skipped(F.col(f"{f}.doc"))) for f in FIELDS})
-    verdict = F.when(hit, overall(F.array(*[F.col(f"{f}.status") for f in FIELDS]))).when(F.col("key") == "", "No reg. no. in PDF").otherwise("Not in Excel")
-    several = F.when(hit & F.col("rows").isNotNull(), F.concat(F.when(F.col("paired_by") == "abc", "ABC ID").otherwise("Reg. no."), F.lit(" appears in Excel at "), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("row "), r.cast("string"))), ", "), F.lit("; first used")))
-    note = F.concat_ws("; ", F.when(F.col("paired_by") == "abc", "No reg. no. in the PDF; paired by ABC ID"), several)
-    return found.join(near, "key", "left").select("rec_seq", F.col("row.row_no").alias("row_no"), "paired_by", verdict.alias("verdict"), F.when(~hit, F.col("closest")).alias("closest"), note.alias("note"), F.col("row.reg").alias("sheet_reg"), *FIELDS)
-
-
-def unmatched_rows(results: DataFrame, sheet: DataFrame) -> DataFrame:
-    """Sheet rows that no record used and that have a key: row_no, reg, name."""
-    used = results.where("row_no is not null").select("row_no").distinct()
-    return sheet.where(F.trim("reg") != "").join(used, "row_no", "left_anti").select("row_no", "reg", "name")
+    first = keys.groupBy(F.col("key").alias("closest")).agg(F.min_by(F.struct("reg", "place"), "row_no").alias("near"))
+    found = found.withColumn("on", F.when(F.col("paired_by") == "abc", F.col("abc_key")).otherwise(F.col("key")))
+    found = found.join(lists[0].unionByName(lists[1]), ["paired_by", "on"], "left").join(near.join(first, "closest"), "key", "left")
+    skipped = lambda f, why: F.struct(F.lit("Not compared").alias("status"), F.lit(None).cast("double").alias("score"), F.lit(why).alias("note"), F.col(f).alias("doc"), F.lit("").alias("sheet"))
+    fields = {}
+    for f in FIELDS:
+        known = (F.col(f"x_{f}"), F.col(f"row.y_{f}")) if f in DEEP and f in mapped else None
+        made = compare_stripped(f, F.col(f"p_{f}"), F.col(f"row.e_{f}"), settings, known) if f in mapped else skipped(f, "Column not mapped")
+        fields[f] = F.when(hit, made).otherwise(skipped(f, ""))
+    several = F.when(F.col("rows").isNotNull(), F.concat(F.when(F.col("paired_by") == "abc", "ABC ID").otherwise("Reg. no."), F.lit(" appears in Excel at "), F.array_join("rows", ", "), F.lit("; first used")))
+    paired = F.concat_ws("; ", F.when(F.col("paired_by") == "abc", "No reg. no. in the PDF; paired by ABC ID"), several)
+    hint = F.when(F.col("near").isNotNull(), F.concat(F.lit(". Closest in Excel: "), "near.reg", F.lit(" ("), "near.place", F.lit(")"))).otherwise("")
+    note = F.when(hit, paired).when(F.col("key") == "", F.when(F.col("rec_note") != "", F.col("rec_note")).otherwise(NO_KEY)).otherwise(F.concat(F.lit(NOT_THERE), hint))
+    done = found.select("rec_seq", F.col("row.row_no").alias("row_no"), F.col("row.excel_row").alias("excel_row"), "paired_by", "key", F.when(~hit, F.col("closest")).alias("closest"), note.alias("note"), F.col("row.reg").alias("sheet_reg"), *[c.alias(f) for f, c in fields.items()])
+    verdict = F.when(F.col("row_no").isNotNull(), overall(F.array(*[F.col(f"{f}.status") for f in FIELDS]))).when(F.col("key") == "", "No reg. no. in PDF").otherwise("Not in Excel")
+    return written(done).select("rec_seq", "row_no", "excel_row", "paired_by", verdict.alias("verdict"), "closest", "note", "sheet_reg", *FIELDS)
+
+
+def unmatched_rows(results: DataFrame, sheet: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Sheet rows that no record used and that have a key: row_no, reg, name. A row is known by its
+    label, so sheets that were combined may repeat row numbers."""
+    used = results.where("excel_row is not null").select("excel_row").distinct()
+    return sheet_values(sheet, mapping).where("reg != ''").join(used, "excel_row", "left_anti").select("row_no", "excel_row", "reg", "name")

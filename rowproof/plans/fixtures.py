@@ -50,10 +50,25 @@ SELECT CAST(rec_seq + 2 AS INT) AS row_no, coalesce(reg, '') AS enroll, abc, nam
     ELSE 'Father''s Name :' END AS expected,
   CASE rec_seq % 6 WHEN 4 THEN concat('Mother''s Name : ', mother) ELSE '' END AS claimed,
   CASE rec_seq % 6 WHEN 1 THEN 'Father name wrong' ELSE '' END AS remark
-FROM records WHERE rec_seq % 5 = 0
+FROM records
 """
 
-VIEWS = {"base_sheet": BASE_SHEET, "sheet": SHEET, "records": RECORDS, "checks": CHECKS}
+# text runs: each record printed as one line a field, 6 points a character and 14 a line; mother and
+# birth date stand in a second column beside name and father
+RUNS = """
+SELECT rec_seq, file, 1 AS page, nth AS run_seq, label || ' : ' || value AS str, CAST(0 AS DOUBLE) AS t2, CAST(10 AS DOUBLE) AS t3, CAST(x AS DOUBLE) AS x, CAST(700 - 14 * line AS DOUBLE) AS y,
+  CAST(6 * length(label || ' : ' || value) AS DOUBLE) AS width, CAST(0 AS DOUBLE) AS descent
+FROM (
+  SELECT rec_seq, file, 1 AS nth, 'Registration No.' AS label, reg AS value, 40 AS x, 1 AS line FROM records
+  UNION ALL SELECT rec_seq, file, 2, 'ABC ID', abc, 40, 2 FROM records
+  UNION ALL SELECT rec_seq, file, 3, 'Student Name', name, 40, 3 FROM records
+  UNION ALL SELECT rec_seq, file, 4, 'Mother''s Name', mother, 520, 3 FROM records
+  UNION ALL SELECT rec_seq, file, 5, 'Father''s Name', father, 40, 4 FROM records
+  UNION ALL SELECT rec_seq, file, 6, 'Date of Birth', dob, 520, 4 FROM records
+) f WHERE value IS NOT NULL
+"""
+
+VIEWS = {"base_sheet": BASE_SHEET, "sheet": SHEET, "records": RECORDS, "checks": CHECKS, "runs": RUNS}
 TABLES = ("customer", "nation", "part", "orders")
 
 
@@ -63,7 +78,7 @@ def with_views(query: str, names: tuple[str, ...] = ("base_sheet", "sheet", "rec
 
 def view(spark, sf_dir: str, name: str):
     """One derived view as a DataFrame over the tables of ``sf_dir``."""
-    sql = with_views(f"SELECT * FROM {name}", tuple(VIEWS) if name == "checks" else ("base_sheet", "sheet", "records"))
+    sql = with_views(f"SELECT * FROM {name}", ("base_sheet", "sheet", "records", *([name] if name in ("checks", "runs") else [])))
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     for t in TABLES:
         sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ").replace(f"FROM {t})", f"FROM {{{t}}})")

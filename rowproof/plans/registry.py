@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from rowproof.functions import cells as X
 from rowproof.functions import normalize as N
 from rowproof.functions import similarity as S
 from rowproof.functions.dates import fmt_date, parse_date_any
 from rowproof.operators import checks as K
 from rowproof.operators import columns as D
+from rowproof.operators import layout as L
 from rowproof.operators import reconcile as R
 from rowproof.operators import report as A
 from rowproof.operators.compare import FIELDS, Settings, compare_field
@@ -31,7 +33,13 @@ def _results(make, settings):
 
 
 def _flat(results):
-    return results.select("rec_seq", "row_no", "paired_by", "verdict", "closest", "note", *[F.col(f"{f}.status").alias(f"{f}_status") for f in FIELDS])
+    parts = [F.col(f"{f}.{part}").alias(f"{f}_{part}") for f in FIELDS for part in ("status", "score")]
+    return results.select("rec_seq", "row_no", "paired_by", "verdict", "closest", "note", *parts)
+
+
+def _attention(spark, sf):
+    records = view(spark, sf, "records")
+    return A.needs_attention(R.reconcile(records, view(spark, sf, "sheet"), STRICT), records).drop("nth")
 
 
 def _paired(spark, sf):
@@ -50,7 +58,7 @@ def _compared(field, settings=STRICT):
 
 def _unmatched(spark, sf):
     sheet = view(spark, sf, "sheet")
-    return R.unmatched_rows(R.reconcile(view(spark, sf, "records"), sheet, STRICT), sheet)
+    return R.unmatched_rows(R.reconcile(view(spark, sf, "records"), sheet, STRICT), sheet).drop("excel_row")
 
 
 def _closest(spark, sf):
@@ -64,17 +72,10 @@ def _checked(make):
     return lambda spark, sf: make(K.run_checks(view(spark, sf, "checks"), view(spark, sf, "records"), STRICT))
 
 
-def _reported(make):
-    """A report over checks that were written to the shared folder first: its filters would
-    otherwise be worked into the comparisons a second time."""
-
-    def run(spark, sf):
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        table = f"{shared}/checks-{uuid.uuid4().hex}"
-        _checked(lambda d: d)(spark, sf).write.parquet(table)
-        return make(spark.read.parquet(table))
-
-    return run
+def _key_rows(spark, sf):
+    sheet, key = view(spark, sf, "sheet"), N.norm_key(F.col("reg"))
+    twice = R.key_index(sheet, key).where("n > 1")
+    return R.key_rows(sheet, key, twice).select("key", F.array_join(F.transform("rows", lambda r: r.cast("string")), ",").alias("rows"))
 
 
 def _comparison(spark, sf):
@@ -109,6 +110,54 @@ def _columns(make):
     return run
 
 
+def _page_words(spark, sf):
+    words = L.chars_to_words(L.runs_to_chars(view(spark, sf, "runs")))
+    return words.select("file", "line_no", "text", "x0", "x1")
+
+
+def _pages(spark, sf):
+    """Records read back from their text runs, and one file without any text."""
+    files = view(spark, sf, "records").select("file", F.col("file").alias("path"), F.lit(1).alias("pages"))
+    files = files.unionByName(files.limit(1).select(F.lit("empty.pdf").alias("file"), F.lit("empty.pdf").alias("path"), "pages"))
+    return L.read_pages(view(spark, sf, "runs"), files).select("file", "page", *L.FIELDS, "unreadable")
+
+
+CHECK_TITLES = ("Enrolment no", "Expected data", "Marksheet data", "Student Name", "Remarks")
+CHECK_FIELDS = ("enroll", "expected", "claimed", "student", "remark")
+
+
+def _check_columns(spark, sf):
+    """The sheet of expected values as the cells of 8 files, with its header in row 1."""
+    rows = view(spark, sf, "checks").withColumn("source", (F.col("row_no") % 8).cast("string"))
+    cell = lambda value: F.posexplode(F.array(*value)).alias("col_no", "value")
+    head = rows.select("source").distinct().select("source", F.lit(1).alias("row_no"), cell([F.lit(t) for t in CHECK_TITLES]))
+    cells = rows.select("source", "row_no", cell([F.col(f) for f in CHECK_FIELDS])).unionByName(head).withColumn("sheet", F.lit("S"))
+    return D.detect_check_columns(cells, D.detect_role_header_row(cells), view(spark, sf, "records")).select("source", "role", "col", "confidence")
+
+
+def _combined(spark, sf):
+    """Books of two sheets with their own column orders and one without header, as one table."""
+    rows = view(spark, sf, "sheet").select((F.col("cid") % 16).cast("string").alias("source"), (F.col("cid") % 48 % 3).alias("k"), "row_no", "reg", "name", "father")
+    order = {0: ("Reg. No.", "Student  Name", "Father"), 1: ("student name", "REG. NO.", "Name")}
+    cells = []
+    for k, titles in order.items():
+        values = ("reg", "name", "father") if k == 0 else ("name", "reg", "father")
+        part = rows.where(F.col("k") == k).select("source", F.lit(f"S{k}").alias("sheet"), F.lit(k).alias("sheet_order"), (F.col("row_no") + 10).alias("row_no"), F.posexplode(F.array(*values)).alias("col_no", "value"))
+        head = rows.select("source").distinct().select("source", F.lit(f"S{k}").alias("sheet"), F.lit(k).alias("sheet_order"), F.lit(2).alias("row_no"), F.posexplode(F.array(*[F.lit(t) for t in titles])).alias("col_no", "value"))
+        cells += [part, head]
+    plain = rows.where("k = 2").select("source", F.lit("S2").alias("sheet"), F.lit(2).alias("sheet_order"), "row_no", F.lit(0).alias("col_no"), F.col("name").alias("value"))
+    every = cells[0].unionByName(cells[1]).unionByName(cells[2]).unionByName(cells[3]).unionByName(plain)
+    return C.combine_sheets(every, D.detect_header_row(every))[0].select("source", "sheet", "row_no", "col_no", "title", "value")
+
+
+def _orders(make):
+    return lambda spark, sf: make(spark.read.parquet(f"{sf}/orders.parquet"))
+
+
+SERIAL = "CAST(o_orderkey % 90000 AS DOUBLE) + CAST(o_custkey % 86400 AS DOUBLE) / CAST(86400 AS DOUBLE)"
+FORMATS = ("General", "0.00", "yyyy-mm-dd", '"day" 0', "[h]:mm", "[$-409]d-mmm-yy;@", "#,##0;[Red]dd")
+
+
 def _history(spark, sf):
     """Verdicts of a run that was saved in the shared folder and loaded again."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -119,6 +168,18 @@ def _history(spark, sf):
     return H.load_run(spark, folder, 1)[1].select("rec_seq", "pdf_reg", "verdict", F.col("name.status").alias("name_status"))
 
 
+def _lookup(spark, sf):
+    """The history of the document with the smallest key, typed with a dash."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/history-{uuid.uuid4().hex}"
+    records, sheet = view(spark, sf, "records"), view(spark, sf, "sheet")
+    results = R.reconcile(records, sheet, STRICT)
+    for run in (1, 2):
+        H.save_run(folder, run, {"created_at": "now", "excel_file": "book"}, results, records, R.unmatched_rows(results, sheet))
+    least = records.agg(F.min("reg")).first()[0]
+    return H.lookup(spark, folder, f" {least[:4]}-{least[4:]} ").select("run_id", "rec_seq", "excel_row", "overall")
+
+
 def flagship(spark, sf_dir):
     return _results(A.verdict_summary, STRICT)(spark, sf_dir)
 
@@ -136,7 +197,8 @@ def queries():
         "token_sort_ratio": lambda spark, sf: _paired(spark, sf).select("rec_seq", F.bround(S.token_sort_ratio(F.col("name"), F.col("s_name")), 6).alias("ratio")),
         "parse_cell": lambda spark, sf: view(spark, sf, "checks").select("row_no", F.posexplode(N.parse_cell(F.col("expected"))).alias("nth", "c")).select("row_no", "nth", "c.label", "c.field", "c.value"),
         **{f"compare_field_{f}": _compared(f) for f in ("name", "dob", "abc")},
-        "key_index": lambda spark, sf: R.key_index(view(spark, sf, "sheet"), N.norm_key(F.col("reg"))).select("key", F.col("first.row_no").alias("row_no"), F.array_join(F.transform("rows", lambda r: r.cast("string")), ",").alias("rows")),
+        "key_index": lambda spark, sf: R.key_index(view(spark, sf, "sheet"), N.norm_key(F.col("reg"))).select("key", F.col("first.row_no").alias("row_no"), "n"),
+        "key_rows": _key_rows,
         "pair_by_key": lambda spark, sf: R.pair(view(spark, sf, "records"), view(spark, sf, "sheet")).select("rec_seq", "paired_by", F.col("row.row_no").alias("row_no")),
         "closest_key": _closest,
         "reconcile_strict": _results(_flat, STRICT),
@@ -145,9 +207,11 @@ def queries():
         "verdict_summary": _results(A.verdict_summary, STRICT),
         "field_status_counts": _results(A.field_status_counts, STRICT),
         "tally": _results(A.tally, STRICT),
-        "needs_attention": _results(A.needs_attention, STRICT),
+        "needs_attention": _attention,
+        "verdict_report": _results(lambda d: A.verdict_summary(d, total=True), STRICT),
+        "result_filter": _results(lambda d: A.filter_results(d, "Mismatch / not found").select("rec_seq", "verdict"), STRICT),
         "comparison_table": _comparison,
-        "unmatched_table": lambda spark, sf: A.unmatched_table(_unmatched(spark, sf)),
+        "unmatched_table": lambda spark, sf: A.unmatched_table(_unmatched(spark, sf).withColumn("excel_row", F.col("row_no").cast("string"))),
         "trim_grid": lambda spark, sf: C.trim_grid(_cells(spark, sf)).select("source", "sheet", "row_no", "col_no", "value"),
         "pick_sheet": lambda spark, sf: C.pick_sheet(_cells(spark, sf)).select("source", "sheet", "row_no").distinct(),
         "data_rows": lambda spark, sf: C.data_rows(_cells(spark, sf), 40).select("source", "row_no").distinct(),
@@ -156,12 +220,26 @@ def queries():
         "profile_columns": _columns(lambda cells, headers, records: D.profile_columns(cells, headers).select("source", "col_no", "n", "id_like", "uniq", "date_like", "name_like")),
         "key_overlap": _columns(lambda cells, headers, records: D.key_overlap(cells, headers, records).drop("sheet")),
         "assign_columns": _columns(lambda cells, headers, records: D.assign_columns(D.column_scores(cells, headers, records)).select("source", "field", "col", "confidence")),
+        "detect_check_columns": _check_columns,
+        "combine_sheets": _combined,
+        "chars_to_words": _page_words,
+        "page_records": _pages,
+        "extract_fields": lambda spark, sf: L.extract_fields(L.words_to_segments(L.chars_to_words(L.runs_to_chars(view(spark, sf, "runs"))))).select("file", *L.FIELDS),
+        "clean_value": _records(lambda d: d.select("rec_seq", N.clean_value("reg", F.concat(F.lit("No. "), F.col("reg"), F.lit(" x"))).alias("reg"), N.clean_value("name", F.concat(F.lit(" : "), F.col("name"), F.lit(" .,"))).alias("name"), N.clean_value("dob", F.concat(F.lit("on "), F.col("dob"))).alias("dob"))),
+        "initials_match": lambda spark, sf: _paired(spark, sf).select("rec_seq", S.initials_match(N.clean_name(F.col("name")), N.clean_name(F.col("s_name"))).alias("hit")),
+        "serial_date_text": _orders(lambda d: d.select("o_orderkey", X.serial_date_text(F.expr(SERIAL), F.col("o_orderkey") % 2 == 1, F.lit(False)).alias("shown"))),
+        "duration_text": _orders(lambda d: d.select("o_orderkey", X.serial_date_text(F.expr(SERIAL), F.lit(False), F.lit(True)).alias("shown"))),
+        "number_text": _orders(lambda d: d.select("o_orderkey", X.number_text(F.col("o_totalprice").cast("double")).alias("price"), X.number_text(F.col("o_custkey").cast("double")).alias("customer"))),
+        "cell_text": _orders(lambda d: d.withColumn("form", F.element_at(F.array(*[F.lit(f) for f in FORMATS]), (F.col("o_orderkey") % len(FORMATS)).cast("int") + 1)).select("o_orderkey", X.is_date_format(F.col("form")).alias("dated"), X.is_duration_format(F.col("form")).alias("counted"), X.cell_text(F.lit("n"), F.col("o_custkey").cast("double"), F.lit(""), F.col("form"), F.lit(False)).alias("shown"))),
+        "record_corrections": lambda spark, sf: K.apply_record_corrections(view(spark, sf, "records").withColumn("path", F.col("file")), view(spark, sf, "records").where("reg IS NULL").select(F.col("file").alias("path"), "page", F.lit(" 9 ").alias("reg"), "abc", "name", F.lit("").alias("father"), "mother", "dob")).select("rec_seq", "reg", "father", "source"),
+        "history_lookup": _lookup,
         "history_round_trip": _history,
         "build_checks": lambda spark, sf: K.build_checks(view(spark, sf, "checks")).select("row_no", "nth", "kind", "field", "expected", "claimed"),
         "run_checks": _checked(lambda d: d.select("row_no", "nth", "status")),
         "check_counts": _checked(A.check_counts),
-        "check_results": _reported(A.check_results),
-        "check_needs_attention": _reported(lambda d: A.check_needs_attention(d).select("row_no", "nth", "status")),
+        "check_results": _checked(lambda d: A.check_results(d).select("nth", "row_no", "line", "enroll", "student", "field", "expected", "claimed", "status", "remark")),
+        "check_filter": _checked(lambda d: A.filter_checks(d, "Not found").select("row_no", "nth", "status")),
+        "check_needs_attention": _checked(lambda d: A.check_needs_attention(d).select("nth", "row_no", "line", "status")),
     }
 
 
@@ -179,6 +257,40 @@ def _sql_day(c):
     return f"coalesce(try_strptime({c}, '%d-%m-%Y'), try_strptime({c}, '%d/%m/%Y'), try_strptime({c}, '%m-%d-%Y'), try_strptime({c}, '%Y-%m-%d'))::DATE"
 
 
+def _sql_lcs(a, b):
+    """Length of the longest common subsequence: rows of the table as lists, one per letter of a."""
+    cell = f"CASE WHEN x[1] = ord({b}[j[1]]) THEN before[j[1]] + 1 ELSE greatest(before[j[1] + 1], done[-1]) END"
+    row = f"list_reduce([[j] for j in range(1, length({b}) + 1)], lambda done, j: list_append(done, {cell}), [0::BIGINT])"
+    return f"list_reduce([[ord(c)::BIGINT] for c in string_split({a}, '')], lambda before, x: {row}, [0::BIGINT for i in range(0, length({b}) + 1)])[-1]"
+
+
+def _sql_ratio(a, b):
+    n = f"(length({a}) + length({b}))"
+    return f"CASE WHEN {n} = 0 THEN 100.0::DOUBLE ELSE (1.0::DOUBLE - ({n} - 2 * {_sql_lcs(a, b)})::DOUBLE / {n}::DOUBLE) * 100.0::DOUBLE END"
+
+
+def _sql_initials(a, b):
+    """The rule for initials: the words of ``a``, longest first, take words of ``b``."""
+    words = f"list_sort([{{'k': -length(w), 'i': i, 'w': w}} for w, i in string_split({a}, ' ')])"
+    first = f"{{'free': string_split({b}, ' '), 'short': FALSE, 'good': TRUE, 'w': ''}}"
+    place = "coalesce(list_position(acc.free, cur.w), list_position([(length(f) = 1 AND starts_with(cur.w, f)) OR (length(cur.w) = 1 AND starts_with(f, cur.w)) for f in acc.free], TRUE))"
+    step = f"{{'free': list_concat(acc.free[1:{place} - 1], acc.free[{place} + 1:len(acc.free)]), 'short': acc.short OR list_position(acc.free, cur.w) IS NULL, 'good': acc.good AND {place} IS NOT NULL, 'w': ''}}"
+    steps = f"[{{'free': []::VARCHAR[], 'short': FALSE, 'good': FALSE, 'w': each.w}} for each in {words}]"
+    done = f"list_reduce({steps}, lambda acc, cur: CASE WHEN acc.good THEN {step} ELSE acc END, {first})"
+    return f"(len(string_split({a}, ' ')) = len(string_split({b}, ' ')) AND ({done}).good AND ({done}).short)"
+
+
+def _sql_similarity(x, y, a, b):
+    """(score, note) of the ladder over cleaned names x, y of the texts a, b."""
+    words = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+    glued, order = f"replace({x}, ' ', '') = replace({y}, ' ', '')", f"{words(x)} = {words(y)}"
+    best = f"greatest({_sql_ratio(x, y)}, {_sql_ratio(words(x), words(y))})"
+    same = f"CASE WHEN {a} = {b} THEN 'Exact' ELSE 'Same apart from case, spacing or punctuation' END"
+    ladder = [(f"{x} = {y}", "100.0::DOUBLE", same), (f"{x} = '' OR {y} = ''", "0.0::DOUBLE", "'Empty after cleaning'"), (glued, "98.0::DOUBLE", "'Spacing differs'"), (order, "97.0::DOUBLE", "'Same words, different order'"), (_sql_initials(x, y), "95.0::DOUBLE", "'Initials vs full name'")]
+    pick = lambda k, rest: "CASE " + " ".join(f"WHEN {r[0]} THEN {r[k]}" for r in ladder) + f" ELSE {rest} END"
+    return pick(1, f"round_even({best}, 1)"), pick(2, f"round_even({best}, 0)::INT || '% similar'")
+
+
 def oracle_sql():
     own = "records r JOIN base_sheet s ON r.reg = s.reg"
     x, y = _sql_clean("r.name"), _sql_clean("s.name")
@@ -187,18 +299,44 @@ def oracle_sql():
     score = f"CASE WHEN {x} = {y} THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END"
     note = f"CASE WHEN {x} = {y} THEN {same} WHEN replace({x}, ' ', '') = replace({y}, ' ', '') THEN 'Strict: words are split differently' WHEN {words(x)} = {words(y)} THEN 'Strict: same words, different order' ELSE 'Strict: text differs' END"
     p, e = _sql_day("r.dob"), _sql_day("s.dob")
-    verdict_sql = f"""
-      SELECT r.rec_seq, coalesce(k.row_no, a.row_no) AS row_no, r.reg AS key,
-        CASE WHEN {_sql_clean("r.name")} = {_sql_clean("coalesce(k.name, a.name)")} THEN 'Match' ELSE 'Mismatch' END AS name_s,
-        CASE WHEN r.father IS NULL THEN 'Missing' WHEN {_sql_clean("r.father")} = {_sql_clean("coalesce(k.father, a.father)")} THEN 'Match' ELSE 'Mismatch' END AS father_s,
-        CASE WHEN {_sql_clean("r.mother")} = {_sql_clean("coalesce(k.mother, a.mother)")} THEN 'Match' ELSE 'Mismatch' END AS mother_s,
-        CASE WHEN {p} IS NULL THEN 'Mismatch' WHEN {p} = {_sql_day("coalesce(k.dob, a.dob)")} THEN 'Match'
-          WHEN year({p}) = year({_sql_day("coalesce(k.dob, a.dob)")}) AND month({p}) = day({_sql_day("coalesce(k.dob, a.dob)")}) AND day({p}) = month({_sql_day("coalesce(k.dob, a.dob)")}) THEN 'Review' ELSE 'Mismatch' END AS dob_s,
-        CASE WHEN r.abc IS NULL THEN 'Not compared' WHEN r.abc = coalesce(k.abc, a.abc) THEN 'Match' ELSE 'Mismatch' END AS abc_s
-      FROM records r LEFT JOIN base_sheet k ON r.reg = k.reg LEFT JOIN base_sheet a ON r.reg IS NULL AND r.abc = a.abc"""
-    verdicts = f"""SELECT *, CASE WHEN row_no IS NULL THEN CASE WHEN key IS NULL THEN 'No reg. no. in PDF' ELSE 'Not in Excel' END
-        WHEN 'Mismatch' IN (name_s, father_s, mother_s, dob_s, abc_s) THEN 'Mismatch'
-        WHEN 'Review' IN (name_s, father_s, mother_s, dob_s, abc_s) OR 'Missing' IN (name_s, father_s, mother_s, dob_s, abc_s) THEN 'Needs review' ELSE 'Verified' END AS verdict FROM ({verdict_sql})"""
+    lookups = "records r LEFT JOIN (SELECT reg, arg_min(sheet, row_no) AS s, count(*) AS n, string_agg('row ' || row_no, ', ' ORDER BY row_no) AS rows FROM sheet GROUP BY reg) k ON r.reg = k.reg LEFT JOIN (SELECT abc, arg_min(sheet, row_no) AS s, count(*) AS n, string_agg('row ' || row_no, ', ' ORDER BY row_no) AS rows FROM sheet GROUP BY abc) a ON r.reg IS NULL AND r.abc = a.abc"
+
+    def outcome(strict):
+        """One row per record: its pairing, and status, score and shown values of every field."""
+        cols = []
+        for f in ("name", "father", "mother"):
+            x, y = f"x_{f}", f"y_{f}"
+            cols.append((f, f"CASE WHEN {x} = {y} THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END" if strict else f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN NULL ELSE {_sql_similarity(x, y, f, f's_{f}')[0]} END"))
+        base = f"""SELECT r.*, coalesce(k.s, a.s) AS s, coalesce(k.s, a.s).row_no AS row_no, CASE WHEN k.s IS NOT NULL THEN 'reg' WHEN a.s IS NOT NULL THEN 'abc' END AS paired_by, coalesce(k.n, a.n) AS n, coalesce(k.rows, a.rows) AS rows FROM {lookups}"""
+        clean = ", ".join(f"{_sql_clean(f)} AS x_{f}, {_sql_clean(f's.{f}')} AS y_{f}, s.{f} AS s_{f}" for f in ("name", "father", "mother"))
+        ready = f"SELECT *, {clean}, {_sql_day('dob')} AS p, {_sql_day('s.dob')} AS e FROM ({base})"
+        scores = ", ".join(f"CASE WHEN row_no IS NULL OR {f} IS NULL THEN NULL ELSE {c} END AS {f}_score" for f, c in cols)
+        scored = f"SELECT *, {scores} FROM ({ready})"
+        swapped = "year(p) = year(e) AND month(p) = day(e) AND day(p) = month(e)"
+        status = [f"CASE WHEN row_no IS NULL THEN 'Not compared' WHEN {f} IS NULL THEN 'Missing' WHEN {f}_score >= 100 THEN 'Match' WHEN {f}_score >= 92 THEN 'Close match' WHEN {f}_score >= 75 THEN 'Review' ELSE 'Mismatch' END AS {f}_status" for f, _ in cols]
+        status.append(f"CASE WHEN row_no IS NULL THEN 'Not compared' WHEN dob IS NULL THEN 'Missing' WHEN p IS NULL THEN 'Mismatch' WHEN p = e THEN 'Match' WHEN {swapped} THEN 'Review' ELSE 'Mismatch' END AS dob_status")
+        status.append("CASE WHEN row_no IS NULL OR abc IS NULL THEN 'Not compared' WHEN abc = s.abc THEN 'Match' ELSE 'Mismatch' END AS abc_status")
+        status += ["CASE WHEN row_no IS NULL OR dob IS NULL THEN NULL WHEN p = e THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS dob_score", "CASE WHEN row_no IS NULL OR abc IS NULL THEN NULL WHEN abc = s.abc THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS abc_score"]
+        judged = f"SELECT *, {', '.join(status)}, [name_status, father_status, mother_status, dob_status, abc_status] AS every FROM ({scored})"
+        near = "SELECT m.reg AS missed, min(s.reg) AS closest FROM (SELECT DISTINCT reg FROM records WHERE reg LIKE '%X') m JOIN (SELECT reg, substr(reg, 1, 11) AS head FROM base_sheet) s ON s.head = substr(m.reg, 1, 11) GROUP BY m.reg"
+        verdict = "CASE WHEN row_no IS NULL THEN CASE WHEN reg IS NULL THEN 'No reg. no. in PDF' ELSE 'Not in Excel' END WHEN list_contains(every, 'Mismatch') THEN 'Mismatch' WHEN list_contains(every, 'Review') OR list_contains(every, 'Missing') THEN 'Needs review' WHEN list_contains(every, 'Close match') THEN 'Verified (minor differences)' ELSE 'Verified' END"
+        note = f"""CASE WHEN row_no IS NOT NULL THEN concat_ws('; ', CASE WHEN paired_by = 'abc' THEN 'No reg. no. in the PDF; paired by ABC ID' END, CASE WHEN n > 1 THEN CASE WHEN paired_by = 'abc' THEN 'ABC ID' ELSE 'Reg. no.' END || ' appears in Excel at ' || rows || '; first used' END)
+          WHEN reg IS NULL THEN '{R.NO_KEY}' ELSE '{R.NOT_THERE}' || coalesce('. Closest in Excel: ' || closest || ' (row ' || (SELECT min(row_no) FROM sheet WHERE sheet.reg = closest) || ')', '') END"""
+        return f"SELECT *, {verdict} AS verdict, {note} AS note FROM ({judged}) LEFT JOIN ({near}) ON reg = missed AND row_no IS NULL"
+
+    verdicts = f"SELECT rec_seq, row_no, reg AS key, verdict, {', '.join(f'{f}_status AS {f}_s' for f in FIELDS)} FROM ({outcome(True)})"
+    flat = f"rec_seq, row_no, paired_by, verdict, closest, note, {', '.join(f'{f}_{part}' for f in FIELDS for part in ('status', 'score'))}"
+    x_names = {f: f"CASE WHEN x_{f} = y_{f} THEN CASE WHEN {f} = s_{f} THEN 'Exact' ELSE 'Same apart from case, spacing or punctuation' END WHEN replace(x_{f}, ' ', '') = replace(y_{f}, ' ', '') THEN 'Strict: words are split differently' WHEN {words(f'x_{f}')} = {words(f'y_{f}')} THEN 'Strict: same words, different order' ELSE 'Strict: text differs' END" for f in ("name", "father", "mother")}
+    said = {**x_names, "dob": "CASE WHEN p IS NULL THEN 'Could not read one of the dates' WHEN dob_status = 'Review' THEN 'Day and month look swapped' WHEN dob_status = 'Match' THEN 'Same date' ELSE 'Different dates' END", "abc": "'Different ABC ID'"}
+    doc, their = {**{f: f"trim({f})" for f in FIELDS}, "dob": "coalesce(strftime(p, '%d-%m-%Y'), dob)"}, {**{f: f"s.{f}" for f in FIELDS}, "dob": "strftime(e, '%d-%m-%Y')"}
+    place = "rec_seq, 'doc_' || rec_seq || '.pdf' AS file, 1 AS page, coalesce(reg, '') AS pdf_reg, row_no::VARCHAR AS excel_row"
+    blank = "'' AS decision, '' AS comment"
+    each = " UNION ALL ".join(f"SELECT {place}, '{K.LABELS[f].replace(chr(39), chr(39) * 2)}' AS field, coalesce({doc[f]}, '') AS pdf_value, {their[f]} AS excel_value, {f}_status AS status, {f}_score AS score, CASE WHEN {f}_status = 'Missing' THEN 'Not found in PDF' ELSE {said[f]} END AS note, {blank} FROM w WHERE {f}_status IN ('Review', 'Mismatch', 'Missing')" for f in FIELDS)
+    attention = f"""WITH w AS ({outcome(True)}) {each}
+      UNION ALL SELECT {place}, 'Registration no.', coalesce(reg, ''), '', verdict, NULL, note, {blank} FROM w WHERE row_no IS NULL
+      UNION ALL SELECT {place}, 'Record', '', '', verdict, NULL, note, {blank} FROM w WHERE row_no IS NOT NULL AND note <> '' AND NOT list_has_any(every, ['Review', 'Mismatch', 'Missing'])"""
+    table = ", ".join(f"coalesce(CASE WHEN row_no IS NULL THEN {f} ELSE {doc[f]} END, '') AS {f}_doc, CASE WHEN row_no IS NULL THEN '' ELSE {their[f]} END AS {f}_sheet, {f}_status, {f}_score" for f in FIELDS)
+    comparison = f"SELECT row_number() OVER (ORDER BY rec_seq) AS nth, rec_seq, 'doc_' || rec_seq || '.pdf' AS file, 1 AS page, coalesce(reg, '') AS reg, coalesce(row_no::VARCHAR, '') AS sheet_row, verdict, {table} FROM ({outcome(True)})"
     names = "(VALUES (0, 'Verified'), (1, 'Verified (minor differences)'), (2, 'Needs review'), (3, 'Mismatch'), (4, 'Not in Excel'), (5, 'No reg. no. in PDF')) v(position, verdict)"
     fields = " UNION ALL ".join(f"SELECT '{f}' AS field, rec_seq, row_no, {f}_s AS status FROM w" for f in FIELDS)
     part = "split_part(expected, ':', 2)"
@@ -229,20 +367,46 @@ def oracle_sql():
         "compare_field_dob": f"""SELECT rec_seq, CASE WHEN p = e THEN 'Match' WHEN sw THEN 'Review' ELSE 'Mismatch' END AS status, CASE WHEN p = e THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
           CASE WHEN p = e THEN 'Same date' WHEN sw THEN 'Day and month look swapped' WHEN p IS NULL THEN 'Could not read one of the dates' ELSE 'Different dates' END AS note, coalesce(strftime(p, '%d-%m-%Y'), dob) AS doc, strftime(e, '%d-%m-%Y') AS sheet
           FROM (SELECT r.rec_seq, r.dob, {p} AS p, {e} AS e, year({p}) = year({e}) AND month({p}) = day({e}) AND day({p}) = month({e}) AS sw FROM {own})""",
-        "key_index": "SELECT reg AS key, min(row_no) AS row_no, CASE WHEN count(*) > 1 THEN string_agg(CAST(row_no AS STRING), ',' ORDER BY row_no) END AS rows FROM sheet GROUP BY reg",
+        "key_index": "SELECT reg AS key, min(row_no) AS row_no, count(*) AS n FROM sheet GROUP BY reg",
+        "key_rows": "SELECT reg AS key, string_agg(CAST(row_no AS STRING), ',' ORDER BY row_no) AS rows FROM sheet GROUP BY reg HAVING count(*) > 1",
         "pair_by_key": "SELECT r.rec_seq, CASE WHEN k.cid IS NOT NULL THEN 'reg' WHEN a.cid IS NOT NULL THEN 'abc' END AS paired_by, coalesce(k.row_no, a.row_no) AS row_no FROM records r LEFT JOIN base_sheet k ON r.reg = k.reg LEFT JOIN base_sheet a ON r.reg IS NULL AND r.abc = a.abc",
         "closest_key": "SELECT m.reg AS key, min(s.reg) AS closest FROM (SELECT DISTINCT reg FROM records WHERE reg LIKE '%X') m JOIN base_sheet s ON substr(s.reg, 1, 11) = substr(m.reg, 1, 11) OR levenshtein(s.reg, m.reg) <= 1 WHERE levenshtein(s.reg, m.reg) <= 1 GROUP BY m.reg",
         "unmatched_rows": "SELECT row_no, reg, name FROM sheet WHERE row_no NOT IN (SELECT coalesce(k.row_no, a.row_no) FROM records r LEFT JOIN base_sheet k ON r.reg = k.reg LEFT JOIN base_sheet a ON r.reg IS NULL AND r.abc = a.abc WHERE coalesce(k.row_no, a.row_no) IS NOT NULL)",
         "verdict_summary": f"SELECT v.position, v.verdict, count(w.rec_seq) AS n, count(w.rec_seq) / (sum(count(w.rec_seq)) OVER ())::DOUBLE AS share FROM {names} LEFT JOIN ({verdicts}) w ON v.verdict = w.verdict GROUP BY v.position, v.verdict",
         "tally": f"SELECT count(*) AS records, count(*) FILTER (verdict LIKE 'Verified%') AS verified, count(*) FILTER (verdict = 'Needs review') AS review, count(*) FILTER (verdict = 'Mismatch') AS mismatch, count(*) FILTER (verdict LIKE 'No%') AS notfound FROM ({verdicts})",
         "field_status_counts": f"SELECT field, count(*) FILTER (status = 'Match') AS n_match, 0::BIGINT AS n_close, count(*) FILTER (status = 'Review') AS n_review, count(*) FILTER (status = 'Missing') AS n_missing, count(*) FILTER (status = 'Mismatch') AS n_mismatch FROM (SELECT field, CASE WHEN row_no IS NULL THEN 'Not compared' ELSE status END AS status FROM (WITH w AS ({verdicts}) {fields})) GROUP BY field",
-        "needs_attention": f"WITH w AS ({verdicts}) SELECT rec_seq, 'Registration no.' AS field, verdict AS status FROM w WHERE row_no IS NULL UNION ALL SELECT rec_seq, field, status FROM ({fields}) WHERE row_no IS NOT NULL AND status IN ('Review', 'Mismatch', 'Missing')",
+        "needs_attention": attention,
+        "comparison_table": comparison,
+        "reconcile_strict": f"SELECT {flat} FROM ({outcome(True)})",
+        "reconcile_normal": f"SELECT {flat} FROM ({outcome(False)})",
+        "result_filter": f"SELECT rec_seq, verdict FROM ({verdicts}) WHERE verdict IN ('Mismatch', 'Not in Excel', 'No reg. no. in PDF')",
+        "indel_ratio": f"SELECT r.rec_seq, round_even({_sql_ratio('r.name', 's.name')}, 6) AS ratio FROM {own}",
+        "token_sort_ratio": f"SELECT r.rec_seq, round_even({_sql_ratio(words('r.name'), words('s.name'))}, 6) AS ratio FROM {own}",
+        "name_similarity": "SELECT rec_seq, {} AS score, {} AS note FROM (SELECT r.rec_seq, r.name AS a, s.name AS b, {} AS x, {} AS y FROM {})".format(*_sql_similarity("x", "y", "a", "b"), x, y, own),
     }
     checks = {
         "build_checks": f"SELECT row_no, nth, kind, field, expected, claimed FROM ({built})",
         "run_checks": judged,
         "check_counts": f"SELECT v.position, v.status, count(j.row_no) AS n, count(j.row_no) / (sum(count(j.row_no)) OVER ())::DOUBLE AS share FROM (VALUES {statuses}) v(position, status) LEFT JOIN ({judged}) j ON v.status = j.status GROUP BY v.position, v.status",
-        "check_needs_attention": f"SELECT * FROM ({judged}) WHERE status IN {K.PROBLEMS}",
+        "check_needs_attention": f"SELECT * FROM (SELECT row_number() OVER (ORDER BY row_no, nth) AS nth, row_no, nth::INT AS line, status FROM ({judged})) WHERE status IN {K.PROBLEMS}",
+        "check_filter": f"SELECT * FROM ({judged}) WHERE status IN ('Field not in PDF', 'PDF not found')",
+        "parse_cell": """SELECT row_no, nth, CASE WHEN colon > 0 THEN trim(substr(line, 1, colon - 1)) ELSE '' END AS label, CASE WHEN colon = 0 THEN NULL WHEN line LIKE 'Mother%' THEN 'mother' WHEN line LIKE 'Father%' THEN 'father' WHEN line LIKE 'Date of Birth%' THEN 'dob' WHEN line LIKE 'Student Name%' THEN 'name' END AS field, CASE WHEN colon > 0 THEN trim(substr(line, colon + 1)) ELSE line END AS value
+          FROM (SELECT row_no, unnest(range(0, len(lines)))::INT AS nth, unnest(lines) AS line, instr(unnest(lines), ':') AS colon FROM (SELECT row_no, list_filter([trim(x) for x in string_split(expected, chr(10))], lambda x: x <> '') AS lines FROM checks))""",
+    }
+    checks["detect_check_columns"] = "SELECT DISTINCT CAST(row_no % 8 AS STRING) AS source, v.role, v.col, v.confidence FROM checks, (VALUES ('enroll', 0, 'high'), ('expected', 1, 'high'), ('claimed', 2, 'high'), ('student', 3, 'high'), ('remark', 4, 'high'), ('abc', NULL, 'none')) v(role, col, confidence)"
+    checks["check_results"] = f"SELECT row_number() OVER (ORDER BY b.row_no, b.nth) AS nth, b.row_no, b.nth::INT AS line, b.enroll, c.student, j.status, c.remark, b.expected, b.claimed, CASE b.field WHEN 'name' THEN 'Student Name' WHEN 'father' THEN 'Father''s Name' WHEN 'mother' THEN 'Mother''s Name' WHEN 'dob' THEN 'Date of Birth' ELSE CASE WHEN b.kind = 'unsupported' THEN 'Aadhaar No' ELSE '-' END END AS field FROM ({built}) b JOIN ({judged}) j ON b.row_no = j.row_no AND b.nth = j.nth JOIN checks c ON c.row_no = b.row_no"
+    read = "CASE WHEN reg IS NULL THEN NULL ELSE reg END AS reg, abc, trim(name) AS name, trim(father) AS father, trim(mother) AS mother, dob"
+    runs = {
+        "chars_to_words": "SELECT file, dense_rank() OVER (PARTITION BY file ORDER BY y DESC) AS line_no, w AS text, x + 6.0 * (len(list_aggregate(list_slice(ws, 1, i - 1), 'string_agg', ' ')) + 1) AS x0, x + 6.0 * (len(list_aggregate(list_slice(ws, 1, i), 'string_agg', ' '))) AS x1 FROM (SELECT file, x, y, ws, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT file, x, y, string_split(str, ' ') AS ws FROM runs)) WHERE w <> '' AND i > 1 UNION ALL SELECT file, dense_rank() OVER (PARTITION BY file ORDER BY y DESC), string_split(str, ' ')[1], x, x + 6.0 * len(string_split(str, ' ')[1]) FROM runs",
+        "extract_fields": f"SELECT file, {read} FROM records",
+        "page_records": f"SELECT file, page, {read}, FALSE AS unreadable FROM records UNION ALL SELECT 'empty.pdf', 1, NULL, NULL, NULL, NULL, NULL, NULL, TRUE",
+    }
+    clock = "lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0')"
+    orders = {
+        "serial_date_text": f"SELECT o_orderkey, CASE WHEN d = 0 THEN {clock} ELSE strftime(CASE WHEN odd THEN DATE '1904-01-01' ELSE DATE '1899-12-30' END + CAST(d + CASE WHEN NOT odd AND d < 60 THEN 1 ELSE 0 END AS INT), '%Y-%m-%d') || CASE WHEN s = 0 THEN '' ELSE ' ' || {clock} END END AS shown FROM (SELECT o_orderkey, o_orderkey % 90000 AS d, o_custkey % 86400 AS s, o_orderkey % 2 = 1 AS odd FROM orders)",
+        "duration_text": "SELECT o_orderkey, CASE WHEN d = 0 THEN '' WHEN d = 1 THEN '1 day, ' ELSE d || ' days, ' END || (s // 3600) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS shown FROM (SELECT o_orderkey, o_orderkey % 90000 AS d, o_custkey % 86400 AS s FROM orders)",
+        "number_text": "SELECT o_orderkey, regexp_replace(regexp_replace(printf('%.2f', o_totalprice::DOUBLE), '0+$', ''), '\\.$', '') AS price, o_custkey::VARCHAR AS customer FROM orders",
+        "cell_text": "SELECT o_orderkey, k IN (2, 4, 5) AS dated, k = 4 AS counted, CASE WHEN k IN (2, 5) AND c = 0 THEN '00:00:00' WHEN k IN (2, 5) THEN strftime(DATE '1899-12-30' + CAST(c + CASE WHEN c < 60 THEN 1 ELSE 0 END AS INT), '%Y-%m-%d') WHEN k = 4 THEN CASE WHEN c = 1 THEN '1 day, ' WHEN c = 0 THEN '' ELSE c || ' days, ' END || '0:00:00' ELSE c::VARCHAR END AS shown FROM (SELECT o_orderkey, o_orderkey % 7 AS k, o_custkey AS c FROM orders)",
     }
     last = "SELECT c_nationkey, c_mktsegment, max(c_custkey) AS last_row FROM customer WHERE c_custkey % 7 <> 0 GROUP BY ALL"
     grids = {
@@ -262,5 +426,15 @@ def oracle_sql():
           (SELECT count(*) FROM records r WHERE r.abc IN (SELECT value FROM ({grid}) x WHERE x.source = g.source AND x.col_no = g.col_no)) AS abc_hits FROM (SELECT DISTINCT source, col_no FROM ({grid})) g""",
         "assign_columns": "SELECT DISTINCT CAST(cid % 16 AS STRING) AS source, v.field, v.col, CASE WHEN v.col IS NULL THEN 'none' ELSE 'high' END AS confidence FROM sheet, (VALUES ('reg', 0), ('abc', 1), ('name', 2), ('father', 3), ('mother', 4), ('dob', 5), ('name_last', NULL)) v(field, col)",
     }
-    sql["unmatched_table"] = f"SELECT *, 'No PDF supplied for this row' AS note FROM ({sql['unmatched_rows']})"
-    return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()} | grids | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "checks")) for k, v in checks.items()}
+    sql["unmatched_table"] = f"SELECT row_no::VARCHAR AS excel_row, reg, name, 'No PDF supplied for this row' AS note FROM ({sql['unmatched_rows']})"
+    sql |= {
+        "clean_value": "SELECT rec_seq, CASE WHEN reg IS NULL THEN '' ELSE reg END AS reg, name, dob FROM records",
+        "initials_match": f"SELECT rec_seq, {_sql_initials('x', 'y')} AS hit FROM (SELECT r.rec_seq, {x} AS x, {y} AS y FROM {own})",
+        "record_corrections": "SELECT rec_seq, CASE WHEN reg IS NULL THEN '9' ELSE reg END AS reg, CASE WHEN reg IS NULL THEN NULL ELSE father END AS father, CASE WHEN reg IS NULL THEN 'manual' ELSE 'text' END AS source FROM records",
+        "history_lookup": f"SELECT run_id, rec_seq, row_no::VARCHAR AS excel_row, verdict AS overall FROM ({verdicts}), (VALUES (1::BIGINT), (2::BIGINT)) v(run_id) WHERE key = (SELECT min(reg) FROM records)",
+        "combine_sheets": """WITH c AS (SELECT CAST(cid % 16 AS STRING) AS source, cid % 48 % 3 AS k, row_no + 10 AS row_no, reg, name, father FROM sheet WHERE cid % 48 % 3 < 2)
+          SELECT source, 'S' || k AS sheet, row_no, v.col_no, v.title, CASE v.col_no WHEN 0 THEN reg WHEN 1 THEN name WHEN 4 THEN 'S' || k ELSE father END AS value
+          FROM c JOIN (VALUES (0, 'Reg. No.'), (1, 'Student  Name'), (2, 'Father'), (3, 'Name'), (4, 'Sheet')) v(col_no, title) ON v.col_no IN (0, 1, 4) OR v.col_no = k + 2""",
+    }
+    sql["verdict_report"] = f"SELECT * FROM ({sql['verdict_summary']}) UNION ALL SELECT 6, 'Total records', count(*), 1.0 FROM records"
+    return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()} | grids | orders | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "runs")) for k, v in runs.items()} | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "checks")) for k, v in checks.items()}

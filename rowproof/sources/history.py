@@ -27,14 +27,14 @@ def save_run(folder: str, run_id: int, info: dict, results: DataFrame, records:
     reconcile gives; unpaired records keep the document's own values as Not compared."""
     path = F.col("path") if "path" in records.columns else F.col("file")
     place = records.select("rec_seq", F.col("file").alias("pdf_file"), path.alias("pdf_path"), "page", F.coalesce("reg", F.lit("")).alias("pdf_reg"))
-    rows = results.select("rec_seq", F.col("row_no").cast("string").alias("excel_row"), F.col("verdict").alias("overall"), "note", "paired_by", "sheet_reg", *FIELDS).join(place, "rec_seq")
+    rows = results.select("rec_seq", "excel_row", F.col("verdict").alias("overall"), "note", "paired_by", "sheet_reg", *FIELDS).join(place, "rec_seq")
     _put(rows.drop("paired_by", "sheet_reg", *FIELDS), folder, "run_records", run_id)
     by_reg, by_abc = F.col("paired_by").eqNullSafe("reg"), F.col("paired_by").eqNullSafe("abc")
     note = F.when(by_reg, "Paired on this").when(by_abc, "Not on the marksheet; paired by ABC ID").otherwise("")
     own = F.struct(F.when(by_reg, "Match").otherwise("Not compared").alias("status"), F.when(by_reg, 100.0).alias("score"), note.alias("note"), F.when(by_abc, "").otherwise(F.col("pdf_reg")).alias("doc"), F.coalesce("sheet_reg", F.lit("")).alias("sheet"))
     each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), c.cast(_RESULT).alias("r")) for f, c in (("reg", own), *((f, F.col(f)) for f in FIELDS))]))
     _put(rows.select("rec_seq", each).select("rec_seq", "field", F.coalesce("r.doc", F.lit("")).alias("pdf_value"), F.coalesce("r.sheet", F.lit("")).alias("excel_value"), "r.status", "r.score", "r.note"), folder, "field_results", run_id)
-    _put(unmatched.select(F.col("row_no").cast("string").alias("excel_row"), "reg", "name"), folder, "unmatched_excel", run_id)
+    _put(unmatched.select("excel_row", "reg", "name"), folder, "unmatched_excel", run_id)
     # the run's facts last: a run without them was not finished
     of = lambda *v: F.count_if(F.col("overall").isin(*v)).alias
     facts = [F.lit(str(info.get(k, ""))).alias(k) for k in ("created_at", "excel_file", "sheet")]
@@ -65,13 +65,15 @@ def load_run(spark: SparkSession, folder: str, run_id: int) -> tuple[dict, DataF
     given = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("pdf_value") != "", F.struct("field", "pdf_value")))))
     wide = fields.groupBy("rec_seq").agg(given.alias("doc_fields"), *[F.max(F.when(F.col("field") == f, one)).alias(f) for f in FIELDS])
     found = records.join(wide, "rec_seq", "left").withColumns({f: F.when(~F.col("overall").isin(*VERDICTS[4:]), F.col(f)) for f in FIELDS})
-    return info, found.withColumnsRenamed({"overall": "verdict", "excel_row": "row_no"}), unmatched
+    return info, found.withColumnRenamed("overall", "verdict"), unmatched
 
 
 def delete_run(spark: SparkSession, folder: str, run_id: int) -> None:
+    """The run's partitions are overwritten with no rows; its facts go first, so that a run whose
+    deletion was cut short is not listed."""
     for table in TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}/run_id={int(run_id)}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = f"{folder}/{table}/run_id={int(run_id)}"
+        spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
 
 
 def history_for_key(spark: SparkSession, folder: str, reg: str) -> DataFrame:

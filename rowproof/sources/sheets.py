@@ -6,10 +6,13 @@ import csv
 import io
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowproof.functions.normalize import strip, text
+from rowproof.functions.normalize import squash, strip, text
+from rowproof.operators.columns import HEADERS, header_score
+
+from .scratch import written
 
 FIELD_BYTES = 1 << 30  # a quoted field may be as long as its file
 
@@ -63,8 +66,41 @@ def read_delimited(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (
 
 
 def ingest_unseen(files: DataFrame, seen: DataFrame, suffix: str = ".pdf") -> DataFrame:
-    """Rows of ``files`` (path) with the suffix whose path is not in ``seen``."""
-    return files.where(F.lower("path").endswith(suffix)).join(seen.select("path").distinct(), "path", "left_anti")
+    """Rows of ``files`` (path) with the suffix whose path is not in ``seen``, in the order of path."""
+    return files.where(F.lower("path").endswith(suffix)).join(seen.select("path").distinct(), "path", "left_anti").orderBy("path")
+
+
+def combine_sheets(cells: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All sheets of each source stacked under one header: (cells, sheets).
+
+    ``headers`` (source, sheet, header_row) are the sheets' header rows. A sheet takes part if its
+    header names two kinds of field at least. Columns are put together by their titles without
+    regard to case and blanks, in the order in which sheets bring them; a title that repeats in
+    one sheet is told apart as "title (2)"; columns without title go. The cells are (source,
+    sheet, row_no, col_no, title, value), with the sheet and row that they come from and a last
+    column "Sheet"; the sheets are (source, sheet, combined, rows, header_row). A source of which
+    no sheet takes part gives no cells."""
+    titled = cells.join(headers, ["source", "sheet"]).where("header_row >= 0")
+    heads = titled.where("row_no = header_row").select("source", "sheet", "sheet_order", "col_no", strip(F.col("value")).alias("title"))
+    kinds = F.array(*[F.struct(header_score(f, F.col("title")).alias("s"), (-F.lit(i)).alias("first"), F.lit(f).alias("f")) for i, f in enumerate(HEADERS)])
+    best = F.array_max(kinds)
+    enough = heads.where(best["s"] >= 0.6).groupBy("source", "sheet").agg(F.count_distinct(best["f"]).alias("kinds")).where("kinds >= 2").select("source", "sheet")
+    heads = heads.join(enough, ["source", "sheet"]).where("title != ''").withColumn("base", F.lower(squash(F.col("title"))))
+    nth = F.row_number().over(Window.partitionBy("source", "sheet", "base").orderBy("col_no"))
+    heads = heads.withColumn("nth", nth).withColumn("more", F.when(F.col("nth") > 1, F.concat(F.lit(" ("), F.col("nth").cast("string"), F.lit(")"))).otherwise(""))
+    heads = written(heads).select("source", "sheet", "sheet_order", "col_no", F.concat("base", "more").alias("key"), F.concat("title", "more").alias("title"))
+    # headers only: a few rows a source
+    place = heads.groupBy("source", "key").agg(F.min(F.struct("sheet_order", "col_no", "title")).alias("first"))
+    place = place.withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy("first.sheet_order", "first.col_no")) - 1)
+    where = heads.select("source", "sheet", "col_no", "key").join(place.select("source", "key", "at", F.col("first.title").alias("title")), ["source", "key"])
+    width = place.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("at"))
+    data = titled.where("row_no > header_row").where(text(F.col("value")) != "").join(enough, ["source", "sheet"], "left_semi")
+    body = data.join(where, ["source", "sheet", "col_no"]).select("source", "sheet", "row_no", F.col("at").cast("int").alias("col_no"), "title", "value")
+    rows = data.select("source", "sheet", "row_no").distinct()
+    names = rows.join(width, "source").select("source", "sheet", "row_no", F.col("at").alias("col_no"), F.lit("Sheet").alias("title"), F.col("sheet").alias("value"))
+    counted = rows.groupBy("source", "sheet").agg(F.count(F.lit(1)).alias("rows"))
+    sheets = headers.join(enough.withColumn("combined", F.lit(True)), ["source", "sheet"], "left").join(counted, ["source", "sheet"], "left")
+    return body.unionByName(names), sheets.select("source", "sheet", F.coalesce("combined", F.lit(False)).alias("combined"), F.coalesce("rows", F.lit(0)).alias("rows"), "header_row")
 
 
 def trim_grid(cells: DataFrame) -> DataFrame:
