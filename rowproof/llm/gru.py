@@ -6,6 +6,7 @@ import numpy as np
 
 END, UNKNOWN = 0, 1
 CLASS = 32  # symbols in a class; classes are runs of symbol numbers
+RUN = 1024  # tokens of a text that are learnt in one lane; scoring never cuts a text
 
 
 def _sigmoid(x):
@@ -112,9 +113,12 @@ class Gru:
         return out / np.log(10)
 
     def train(self, texts: list[np.ndarray], moments=None, width: int = 512, window: int = 16, rate: float = 5e-3):
-        """Truncated backpropagation through time with Adam, once over all of every text. Texts
-        run side by side in lanes, each to its end: a lane that is through drops out. Returns
-        the moments of Adam, for the next call."""
+        """Truncated backpropagation through time with Adam, once over every token of every text.
+        Texts run side by side in lanes; a lane that is through drops out. Texts of more than
+        ``RUN`` tokens are learnt in runs of that many, which lie in any lanes, so that no lane is
+        left alone with one text; a run that is no text's begin goes on from its lane's state.
+        Returns the moments of Adam, for the next call."""
+        texts = [t[i : i + RUN] for t in texts for i in range(0, len(t), RUN)]
         m, v, k = moments or (*({n: np.zeros_like(w) for n, w in self.w.items()} for _ in range(2)), 0)
         lanes = [np.concatenate([texts[i] for i in lane]) for lane in streams(np.array([len(t) for t in texts]), width)] if texts else []
         sizes = np.array([len(x) for x in lanes])

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blas import one_thread
 from .gru import END, UNKNOWN, Gru
 from .store import cut, documents
 from .words import hashed_batches
@@ -94,6 +95,7 @@ def train_round(learn: DataFrame, held, first: bool) -> np.ndarray | None:
     first round a task begins with few lanes, so with many small steps."""
 
     def run(batches):
+        one_thread()
         table, model = held.value
         model, moments, seen, texts, size = copy.deepcopy(model), None, 0, [], 0
         for batch in batches:
@@ -154,6 +156,7 @@ def lm_scores(docs: DataFrame, symbols: int = SYMBOLS, most: int = FREQUENT, rou
     held = context.broadcast((table, model))
 
     def run(batches):
+        one_thread()
         table, model = held.value
         for batch in batches:
             texts, tokens, known, base, score, rare = [], [], [], [], [], []

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blas import one_thread
 from .components import connected
 from .store import cut, documents, free_name, numbered
 from .words import hashed_batches, mix, run_sums
@@ -234,6 +235,7 @@ def by_node(rows: DataFrame, one, schema: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        one_thread()
         held, node = [], None
 
         def packed(found):

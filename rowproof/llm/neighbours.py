@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blas import one_thread
 from .store import cut
 
 SAMPLE, PROBES, RECALL = 20_000, 200, 0.98
@@ -134,6 +135,7 @@ def _best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int
     """The k best rows of a bin for each query; ``seen`` (query, group) says which groups of
     rows it looks at. The fast product only preselects."""
     out = []
+    one_thread()
     if len(vid):
         group = np.zeros(len(vid), np.int64) if group is None else group
         keep = _first_of_equal(vid, v, group, k)
@@ -204,6 +206,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
     def place(frames):
         for frame in frames:
             for i in range(0, len(frame), BLOCK):
+                one_thread()
                 part = frame.iloc[i : i + BLOCK]
                 yield part.assign(leaf=held.value.leaf_of(_matrix(part["v"])))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes of text that are hashed at once, or one longer text
+PIECE = 1 << 18  # bytes of text that are hashed at once, or one longer text
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2^64
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -36,7 +36,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 18)
         known = np.full(size, _U(base & (1 << 64) - 1))
         known[0] = 1
         known = np.cumprod(known, dtype=_U)
