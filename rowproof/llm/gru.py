@@ -6,6 +6,7 @@ import numpy as np
 
 END, UNKNOWN = 0, 1
 CLASS = 32  # symbols in a class; classes are runs of symbol numbers
+BLOCK = 2048  # steps of all lanes that are laid out at once; a multiple of every window
 RUN = 1024  # tokens of a text that are learnt in one lane; scoring never cuts a text
 
 
@@ -28,6 +29,16 @@ def streams(lengths: np.ndarray, width: int) -> list[list[int]]:
     return [out[k] for k in np.argsort(-load, kind="stable")]
 
 
+def side_by_side(lanes: list[np.ndarray], sizes: np.ndarray, begin: int) -> np.ndarray:
+    """Steps ``begin`` to begin + BLOCK of the lanes that reach so far, one a column; -1 past an end."""
+    live = int((sizes > begin).sum())
+    out = np.full((min(BLOCK, int(sizes[0]) - begin), live), -1, np.int32)
+    for k in range(live):
+        part = lanes[k][begin : begin + BLOCK]
+        out[: len(part), k] = part
+    return out
+
+
 class Gru:
     """Weights: ``inp`` (symbol -> gate inputs), ``rec`` (state -> gates), ``cls`` and ``sym``
     (state -> class, state -> symbol in class). Gates are reset, update, candidate."""
@@ -89,27 +100,24 @@ class Gru:
         lanes = streams(lengths, width)
         sizes = np.array([int(lengths[lane].sum()) for lane in lanes])
         joined = [np.concatenate([texts[i] for i in lane]).astype(np.int32) for lane in lanes]
-        owner = [np.repeat(np.array(lane), lengths[lane]) for lane in lanes]
+        owner = [np.repeat(np.array(lane, np.int32), lengths[lane]) for lane in lanes]
         h, last = np.zeros((len(lanes), self.hidden), np.float32), np.full(len(lanes), END)
-        for start in range(0, int(sizes[0]), window):
-            live = int((sizes > start).sum())
-            here = min(window, int(sizes[0]) - start)
-            target = np.full((here, live), -1, np.int32)
-            whose = np.zeros((here, live), np.int64)
-            for k in range(live):
-                part = joined[k][start : start + here]
-                target[: len(part), k] = part
-                whose[: len(part), k] = owner[k][start : start + here]
-            h, last = h[:live], last[:live]
-            states = np.empty((here, live, self.hidden), np.float32)
-            for t in range(here):
-                h = np.where((last == END)[:, None], np.float32(0), h)
-                h = self.step(last, h)[0]
-                states[t] = h
-                last = np.where(target[t] < 0, END, target[t])
-            some = target >= 0
-            found = self.log_chance(states[some], target[some])
-            np.add.at(out, whose[some], found.astype(float))
+        for begin in range(0, int(sizes[0]), BLOCK):
+            block, whose = side_by_side(joined, sizes, begin), side_by_side(owner, sizes, begin)
+            chance = np.zeros(block.shape, np.float32)
+            for start in range(0, len(block), window):
+                live = int((sizes > begin + start).sum())
+                target = block[start : start + window, :live]
+                h, last = h[:live], last[:live]
+                states = np.empty((*target.shape, self.hidden), np.float32)
+                for t in range(len(target)):
+                    h = self.step(last, h * (last != END)[:, None])[0]
+                    states[t] = h
+                    last = np.maximum(target[t], END)
+                some = target >= 0
+                chance[start : start + window, :live][some] = self.log_chance(states[some], target[some])
+            real = block >= 0
+            out += np.bincount(whose[real], chance[real], len(texts))
         return out / np.log(10)
 
     def train(self, texts: list[np.ndarray], moments=None, width: int = 512, window: int = 16, rate: float = 5e-3):
@@ -124,13 +132,11 @@ class Gru:
         sizes = np.array([len(x) for x in lanes])
         h, last = np.zeros((len(lanes), self.hidden), np.float32), np.full(len(lanes), END)
         for start in range(0, int(sizes.max(initial=0)), window):
+            if start % BLOCK == 0:
+                block = side_by_side(lanes, sizes, start)
             live = int((sizes > start).sum())  # lanes are in the order of falling sizes
-            here = min(window, int(sizes[0]) - start)
-            target = np.full((here, live), -1)
-            for j in range(live):
-                part = lanes[j][start : start + here]
-                target[: len(part), j] = part
-            grads, h, last = self._window(target, h[:live], last[:live])
+            at = start % BLOCK
+            grads, h, last = self._window(block[at : at + window, :live], h[:live], last[:live])
             k += 1
             a, b = np.float32(rate / (1 - 0.9**k)), np.float32(1 / (1 - 0.99**k))
             for n, g in grads.items():

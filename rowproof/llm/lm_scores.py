@@ -79,6 +79,16 @@ class Lookup:
         self.w, self.c = w[order], c[order]
         number = np.where(np.arange(len(w)) < symbols - 2, np.arange(len(w)) + 2, UNKNOWN)
         self.symbol = number[order].astype(np.int32)
+        few = np.flatnonzero(self.symbol != UNKNOWN)
+        self.few, self.few_symbol = self.w[few], self.symbol[few]
+
+    def symbols(self, h: np.ndarray) -> np.ndarray:
+        """The symbols alone: a search among the words that have one."""
+        h = h.view(np.int64)
+        if not len(self.few):
+            return np.full(len(h), UNKNOWN, np.int32)
+        at = np.minimum(np.searchsorted(self.few, h), len(self.few) - 1)
+        return np.where(self.few[at] == h, self.few_symbol[at], UNKNOWN).astype(np.int32)
 
     def __call__(self, h: np.ndarray):
         h = h.view(np.int64)
@@ -100,7 +110,7 @@ def train_round(learn: DataFrame, held, first: bool) -> np.ndarray | None:
         model, moments, seen, texts, size = copy.deepcopy(model), None, 0, [], 0
         for batch in batches:
             for _, _, h, at, _, _ in hashed_batches([batch], lower=True):
-                number = table(h)[0]
+                number = table.symbols(h)
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     texts.append(np.r_[number[a:b], END])
                     size += b - a + 1
