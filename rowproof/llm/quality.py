@@ -83,8 +83,8 @@ class View:
         for c in self.columns:
             of = self.weights.get(c)
             if of:
-                table = F.create_map(*[F.lit(x) for b, w in sorted(of.items()) for x in (int(b), float(w))])
-                out = out + F.coalesce(F.try_element_at(table, bins(c)), F.lit(0.0))
+                table = F.array(*[F.lit(float(of.get(b, 0.0))) for b in range(max(of) + 1)])
+                out = out + F.coalesce(F.get(table, bins(c)), F.lit(0.0))
         return out
 
 

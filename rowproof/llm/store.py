@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROW_GROUP = 16 << 20  # bytes
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset, a temporary one in local mode
     (tests); on a cluster that is an error, as its machines share no local folder."""
@@ -23,10 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps
-    neither recompute it nor depend on executors that held its shuffle files."""
+    neither recompute it nor depend on executors that held its shuffle files. Row groups are
+    small, as a writing task holds one in memory beside whatever its Python worker needs."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowproof-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
