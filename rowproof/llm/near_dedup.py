@@ -13,8 +13,8 @@ The nodes at the end are compared exhaustively, in two passes. First each row pr
 row that it resembles most and the row that resembles most of the node, by the signatures;
 both are confirmed on full shingle sets. After that most nodes are one component. In those
 that are not, rows whose signatures allow a link into another component bring their full
-sets, and every such pair is tested: the intersection sizes of a node are one product of its
-row-by-shingle matrices. So no pair that a node holds and the signatures allow (within 4.5
+sets, once for nodes of the same rows, and every such pair is tested: the intersection sizes
+of a node are one product of its row-by-shingle matrices. So no pair that a node holds and the signatures allow (within 4.5
 standard deviations of the wanted similarity) is left untried unless its ends are linked
 already, and a node gives a few rows a member, never its pairs.
 
@@ -339,6 +339,15 @@ def leaf_nodes(reps: DataFrame, own: DataFrame, k: int, percent: int):
     return small, links
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, doc) without the nodes whose rows are all those of another node, and no more:
+    the trees bring the same rows together again and again. Equal sets of rows are told by size and
+    two 64-bit sums."""
+    sums = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"sum{i}") for i in range(2)]
+    by = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *sums)
+    return rows.join(by.groupBy("size", "sum0", "sum1").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", "doc")
 
@@ -362,7 +371,7 @@ def links_of(reps: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame
     left = nodes.join(asked.select("node").distinct(), "node", "left_semi")
     left = cut(left.join(mixed_nodes(left, merged), "node", "left_semi"))
     open_ = cut(by_node(_in_order(wide(left)), lambda node, rows: _open_rows(node, rows, percent), "node long, doc long"))
-    exact = by_node(_in_order(wide(open_).join(sets, "doc").select("node", "doc", "n", "comp", "sig", "items")), lambda node, rows: _confirmed(node, rows, percent), "a long, b long")
+    exact = by_node(_in_order(wide(cut(once(open_))).join(sets, "doc").select("node", "doc", "n", "comp", "sig", "items")), lambda node, rows: _confirmed(node, rows, percent), "a long, b long")
     return links.unionByName(exact)
 
 
