@@ -14,9 +14,9 @@ row that it resembles most and the row that resembles most of the node, by the s
 both are confirmed on full shingle sets. After that most nodes are one component. In those
 that are not, rows whose signatures allow a link into another component bring their full
 sets, once for nodes of the same rows, and every such pair is tested: the intersection sizes
-of a node are one product of its row-by-shingle matrices. So no pair that a node holds and the signatures allow (within 4.5
-standard deviations of the wanted similarity) is left untried unless its ends are linked
-already, and a node gives a few rows a member, never its pairs.
+of a node are one product of its row-by-shingle matrices. So no pair that a node holds and the
+signatures allow (within 4.5 standard deviations of the wanted similarity) is left untried
+unless its ends are linked already, and a node gives a few rows a member, never its pairs.
 
 Rows of equal sets are one class from the start (equal size and two 64-bit sums of the set,
 mixed differently), so exact copies cost one row each and are never paired.

@@ -47,6 +47,12 @@ def _shingles(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
+def test_once_keeps_one_node_of_the_same_rows(spark):
+    nodes = {1: {5, 6}, 2: {6, 5}, 3: {5, 6, 7}, 4: {7}, 5: {7}, 6: {5, 7}}
+    got = near_dedup.once(spark.createDataFrame([(n, d) for n, docs in nodes.items() for d in docs], "node long, doc long")).collect()
+    assert {tuple(r) for r in got} == {(n, d) for n in (1, 3, 4, 6) for d in nodes[n]}
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_groups(spark, texts, k):
     sets = [_shingles(t, k) for t in texts]
