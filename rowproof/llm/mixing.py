@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import broadcast_if_small, cut, documents
+from .store import broadcast_if_small, cut, documents, free_name
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -75,13 +75,16 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, weigh
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, columns unchanged."""
+    """The mix itself: every row of ``docs`` as often as it is taken, columns unchanged,
+    whatever their names."""
+    of_source, rate, copy = (free_name(docs, x) for x in ("of_source", "rate", "copy"))
     sizes = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     targets = cut(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
-    rates = broadcast_if_small(targets.select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
-    copies = F.floor("__rate") + F.when(_draw(seed, id_col) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    taken = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col("__source")), "left")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.coalesce(copies, F.lit(0)).cast("int")))).select(*docs.columns)
+    rates = broadcast_if_small(targets.select(F.col("source").alias(of_source), F.col("rate").alias(rate)))
+    copies = F.floor(rate) + F.when(_draw(seed, id_col) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    taken = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col(of_source)), "left")
+    taken = taken.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.coalesce(copies, F.lit(0)).cast("int"))))
+    return taken.select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

@@ -191,6 +191,17 @@ def test_mixing(spark, texts):
     assert mixing.mix(docs).count() == sum(r.copies for r in plan) and max(r.copies for r in plan) <= 3
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    """Columns named like those of the operator, null and repeated ids, no rows."""
+    names = ["of_source", "rate", "copy", "__copy", "__rate", "__source", "_rate"]
+    rows = [(i if i % 7 else None, "w " * (i % 9), "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    assert got.count() == mixing.mixing_plan(docs).selectExpr("sum(copies)").first()[0] > 0
+    assert mixing.mix(docs.where("false")).count() == 0
+
+
 def test_neighbours(spark):
     import numpy as np
 
