@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_scores, mixing, near_dedup, neighbours, pii, quality, repeats, urls
+from . import bpe, exact_dedup, hard_negatives, languages, lm_scores, mixing, near_dedup, neighbours, pii, quality, repeats, urls, whitening
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_mixing": mixing.op10_mixing,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_languages": languages.op12_languages,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
