@@ -224,7 +224,7 @@ def queries():
         "combine_sheets": _combined,
         "chars_to_words": _page_words,
         "page_records": _pages,
-        "extract_fields": lambda spark, sf: L.extract_fields(L.words_to_segments(L.chars_to_words(L.runs_to_chars(view(spark, sf, "runs"))))).select("file", *L.FIELDS),
+        "extract_fields": lambda spark, sf: L.extract_fields(L.run_lines(view(spark, sf, "runs"))).select("file", *L.FIELDS),
         "clean_value": _records(lambda d: d.select("rec_seq", N.clean_value("reg", F.concat(F.lit("No. "), F.col("reg"), F.lit(" x"))).alias("reg"), N.clean_value("name", F.concat(F.lit(" : "), F.col("name"), F.lit(" .,"))).alias("name"), N.clean_value("dob", F.concat(F.lit("on "), F.col("dob"))).alias("dob"))),
         "initials_match": lambda spark, sf: _paired(spark, sf).select("rec_seq", S.initials_match(N.clean_name(F.col("name")), N.clean_name(F.col("s_name"))).alias("hit")),
         "serial_date_text": _orders(lambda d: d.select("o_orderkey", X.serial_date_text(F.expr(SERIAL), F.col("o_orderkey") % 2 == 1, F.lit(False)).alias("shown"))),

@@ -1,5 +1,8 @@
 """Text runs to records, typed cells, stacked sheets and report tables on small inputs."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from rowproof.functions import cells as X
@@ -38,6 +41,8 @@ def test_segments_and_fields(spark):
     for r in segments.where("file = 'a'").orderBy("line_no", "seg_no").collect():
         lines.setdefault(r.line_no, []).append(r.text)
     assert lines[1] == ["Father's Name : A B", "Date of Birth : 03 Feb 2001"] and lines[0] == ["Name : Asha Rao", "Mother's Name : Mira"]
+    short = L.run_lines(runs).select("file", "page", F.posexplode("lines").alias("line_no", "line")).select("file", "page", "line_no", F.posexplode("line").alias("seg_no", "text"))
+    assert sorted(short.collect()) == sorted(segments.collect())
     files = spark.createDataFrame([(f, f"/{f}", 2) for f in "abc"], "file string, path string, pages int")
     got = {r.file: r for r in L.read_pages(runs, files).collect()}
     a = got["a"]
@@ -46,16 +51,59 @@ def test_segments_and_fields(spark):
     assert (got["c"].page, got["c"].abc, got["c"].dob, got["c"].reg) == (2, "123456789012", "1/2/2001", None)
 
 
+def test_runs_straight_to_lines(spark, monkeypatch):
+    """Both ways give the same lines: ligatures, blanks of every kind, overprinting, sizes from
+    either side of the matrix, missing numbers, empty and unplaced runs, several batches."""
+    rng = random.Random(4)
+    rows = []
+    for n in range(900):
+        text = "".join(rng.choice(["a", "B", "ﬁ", " ", "\u00a0", "\x1c", ":", "：", "é", "😀", "7"]) for _ in range(rng.choice([0, 1, 4, 12])))
+        t2, t3 = rng.choice([(0.0, 10.0), (0.0, -8.0), (3.0, 4.0), (0.0, 0.0), (None, 9.0), (1.0, None)])
+        x, y = rng.choice([None, *[rng.choice([0, 30, 200, 203, rng.uniform(0, 400)])] * 20]), float(rng.choice([0, 10, 11, 12.5, 30, 33]))
+        rows.append((f"f{n % 7}", n % 5, n, text, t2, t3, x if x is None else float(x), y, rng.choice([None, 6.0 * len(text), 3.0]), rng.choice([None, -0.2, 0.0])))
+    runs = spark.createDataFrame(rows, RUNS)
+    monkeypatch.setattr(L, "MANY", 200)
+    short = {(r.file, r.page): r.lines for r in L.run_lines(runs).collect()}
+    long = {(r.file, r.page): r.lines for r in L.page_lines(L.chars_to_words(L.runs_to_chars(runs))).collect()}
+    assert sum(map(len, long.values())) > 100 and {k: v for k, v in short.items() if v} == {k: v for k, v in long.items() if v}
+    assert L.run_lines(runs.where("false")).count() == 0
+
+
+def _laid(*pages, scale=1.0):
+    """Segments of pages of (text, x0, top) words, 6 points a character and 10 high."""
+    flat = [(i, j, t, x, top) for i, page in enumerate(pages) for j, (t, x, top) in enumerate(page)]
+    numbers = lambda f: np.array([f(w) for w in flat], float)
+    words = {"text": np.array([w[2] for w in flat], object), "x0": numbers(lambda w: w[3]), "x1": numbers(lambda w: w[3] + 6 * len(w[2])), "top": numbers(lambda w: w[4]), "bottom": numbers(lambda w: w[4] + 10)}
+    words |= {"line_no": np.zeros(len(flat), int), "word_no": np.array([w[1] for w in flat], int)}
+    return L.lay_out(np.array([w[0] for w in flat], int), words, len(pages), scale).to_pylist()
+
+
+def _line(top, *words):
+    return [(t, x, top) for t, x in words]
+
+
 def test_column_of_labels_is_split():
-    class Word:
-        def __init__(self, text, x0, top):
-            self.text, self.x0, self.x1, self.top, self.bottom = text, x0, x0 + 6 * len(text), top, top + 10
-
-    line = lambda top, *words: [Word(t, x, top) for t, x in words]
-    words = line(0, ("Name", 0), (":", 30), ("A", 42), ("DOB", 200), (":", 224), ("1", 236)) + line(20, ("Id", 0), (":", 18), ("2", 30), ("ABC", 200), (":", 224), ("3", 236))
-    words += line(40, ("Place", 0), (":", 36), ("long", 48), ("value", 160), ("Roll", 199), (":", 226), ("7", 238))
-    assert L.page_segments(words)[2] == ["Place : long", "value", "Roll : 7"] or L.page_segments(words)[2][-1] == "Roll : 7"
-    assert L.page_segments([]) == []
+    two = _line(0, ("Name", 0), (":", 30), ("A", 42), ("DOB", 200), (":", 224), ("1", 236)) + _line(20, ("Id", 0), (":", 18), ("2", 30), ("ABC", 200), (":", 224), ("3", 236))
+    long = _line(40, ("Place", 0), (":", 36), ("long", 48), ("value", 156), ("Roll", 192 + 8), (":", 226), ("7", 238))
+    near = _line(40, ("Place", 0), (":", 36), ("long", 160), ("Roll", 202), (":", 226), ("7", 238))
+    off = _line(40, ("Place", 0), (":", 36), ("long", 160), ("Roll", 206), (":", 226), ("7", 238))
+    plain = _line(40, ("Place", 0), (":", 36), ("long", 160), ("rolls", 199))
+    got = _laid(two, two + long, two + near, two + off, two + plain, [])
+    assert got[0] == [["Name : A", "DOB : 1"], ["Id : 2", "ABC : 3"]] and got[5] == []
+    assert got[1][2] == ["Place : long", "value", "Roll : 7"]  # gaps and the column's place
+    assert got[2][2] == ["Place : long", "Roll : 7"]  # no gap before the label: the place alone parts
+    assert got[3][2] == ["Place : long Roll : 7"]  # too far from the place
+    assert got[4][2] == ["Place : long rolls"]  # what follows is no label
+    assert _laid(two[:6] + near) == [[["Name : A", "DOB : 1"], ["Place : long Roll : 7"]]]  # one line makes no column
+
+
+def test_lines_and_colons():
+    """Words join the highest line that is near enough; equal tops of other pages stay apart."""
+    steps = [("a", 0, 0.0), ("b", 10, 3.0), ("c", 20, 3.5), ("d", 30, 6.9), ("e", 40, 7.0), ("f", 50, 10.5)]
+    assert _laid(steps, [("z", 0, 3.0)]) == [[["a b"], ["c d"], ["e"], ["f"]], [["z"]]]
+    assert _laid(_line(0, ("Name", 0), (":", 100), ("A", 200), ("x", 300)), _line(0, ("：b", 0))) == [[["Name : A", "x"]], [["：b"]]]
+    assert _laid(_line(0, ("a", 0), (" ", 50), ("b", 60)), scale=4.0) == [[["a b"]]]
+    assert _laid() == [] and _laid([], []) == [[], []]
 
 
 def test_typed_cells(spark):
