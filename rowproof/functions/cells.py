@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .normalize import strip, text
+from .normalize import once, strip, text
 
 # What is left out of a number format, and what makes it a date or a duration.
 LITERALS = r'(?s)".*?"|\[(?!hh?\]|mm?\]|ss?\])[^\]]*\]'
@@ -66,18 +64,94 @@ def serial_date_text(value, date1904, duration):
     return F.when(duration, _duration(value)).when((value >= 0) & (value < 1) & (ms < DAY_MS), _clock(ms)).otherwise(F.coalesce(whole, F.when(value.isNotNull(), "#VALUE!")))
 
 
-@F.pandas_udf(StringType())
-def _fifteen(values: pd.Series) -> pd.Series:
-    """Numbers with 15 significant digits, without trailing zeros."""
-    return values.map(lambda v: None if pd.isna(v) else format(v, ".15g"))
+LIMB, LIMBS = 10**9, 42  # a natural number is its digits in groups of nine, the lowest first: up to 10^378
+
+
+def _over(a, b):
+    return F.call_function("div", a, b)
+
+
+def _times(limbs, factor, add=0):
+    """limbs * factor + add, for a factor and a number of at most 2^32."""
+    add = F.lit(add) if isinstance(add, int) else add
+    start = F.struct(add.cast("long").alias("carry"), F.array().cast("array<bigint>").alias("done"))
+
+    def step(state, limb):
+        now = limb * factor + state["carry"]
+        return F.struct(_over(now, F.lit(LIMB)).alias("carry"), F.concat(state["done"], F.array(now % LIMB)).alias("done"))
+
+    return F.aggregate(limbs, start, step, lambda state: state["done"])
+
+
+def _raised(limbs, base: int, group: int, power):
+    """limbs * base^power; ``group`` powers are multiplied at once."""
+    rounds = F.array_repeat(F.lit(0), _over(power, F.lit(group)).cast("int"))
+    many = F.aggregate(rounds, limbs, lambda acc, _: _times(acc, F.lit(base**group).cast("long")))
+    return _times(many, F.pow(F.lit(float(base)), (power % group).cast("double")).cast("long"))
+
+
+def _limbs(number):
+    """A number of at most 2^63."""
+    high = _over(number, F.lit(LIMB))
+    return F.concat(F.array(number % LIMB, high % LIMB, _over(high, F.lit(LIMB))), F.array_repeat(F.lit(0).cast("long"), LIMBS - 3))
+
+
+def _all_digits(value):
+    """The digits of a whole double, from its 32-bit parts."""
+    parts = F.transform(F.sequence(F.lit(31), F.lit(0), F.lit(-1)), lambda k: F.floor(value / F.pow(F.lit(2.0), 32.0 * k) % float(1 << 32)))
+    limbs = F.aggregate(parts, _limbs(F.lit(0).cast("long")), lambda acc, part: _times(acc, F.lit(1 << 32), part))
+    return F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), r"\A0+(?=\d)", "")
+
+
+def _beyond_half(value, n, place):
+    """How the exact ``value`` lies to (n + 1/2) * 10^place: 1 above, 0 at, -1 below. Both are made
+    whole and compared digit by digit."""
+    k = F.lit(54) - F.floor(F.log2(value))
+    some = F.floor(k / 2)
+    whole = (value * F.pow(F.lit(2.0), some.cast("double")) * F.pow(F.lit(2.0), (k - some).cast("double"))).cast("long")
+    left = _raised(_limbs(2 * whole), 10, 9, F.greatest(-place, F.lit(0)))
+    right = _raised(_raised(_limbs(2 * n + 1), 10, 9, F.greatest(place, F.lit(0))), 2, 32, k)
+    return once(F.struct(F.reverse(left).alias("a"), F.reverse(right).alias("b")), lambda x: F.when(x["a"] > x["b"], 1).when(x["a"] == x["b"], 0).otherwise(-1))
+
+
+def _fifteen(value):
+    """A positive double that is not whole, with 15 significant digits: the exact value is rounded,
+    half to even. Its shortest text tells the digits unless the rest is near a half; only then
+    the exact comparison runs."""
+    part = lambda k: F.regexp_extract(value.cast("string"), r"\A([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?\z", k)
+    told = F.struct(value.alias("v"), F.concat(part(1), part(2)).alias("all"), (F.length(part(1)) - 1 + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))).alias("e"))
+
+    def digits(t):
+        plain = F.regexp_replace(t["all"], r"\A0+", "")
+        return F.struct(t["v"].alias("v"), F.rpad(F.substring(plain, 1, 15), 15, "0").cast("long").alias("n"), F.substring(plain, 16, 1).alias("next"), (t["e"] - F.length(t["all"]) + F.length(plain)).alias("e"))
+
+    def rounded(t):
+        side = once(_beyond_half(t["v"], t["n"], t["e"] - 14), lambda s: (s > 0) | ((s == 0) & (t["n"] % 2 == 1)))
+        up = F.when(t["next"].isin("", "0", "1", "2"), False).when(t["next"].isin("7", "8", "9"), True).otherwise(side)
+        n = t["n"] + up.cast("int")
+        return F.struct(F.regexp_replace(n.cast("string"), r"0+\z", "").alias("d"), (t["e"] + (n == 10**15).cast("int")).alias("e"))
+
+    def shown(t):
+        d, e = t["d"], t["e"]
+        rest = lambda at: F.when(F.length(d) >= at, F.concat(F.lit("."), F.substr(d, at))).otherwise("")
+        power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+        return (
+            F.when((e < -4) | (e >= 15), F.concat(F.substring(d, 1, 1), rest(F.lit(2)), power))
+            .when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)).otherwise(F.concat(F.rpad(F.substr(d, F.lit(1), e + 1), e + 1, F.lit("0")), rest(e + 2)))
+        )
+
+    return once(once(once(told, digits), rounded), shown)
 
 
 def number_text(value):
-    """Whole numbers as their digits, others with 15 significant digits; no number is blank. Only
-    numbers that are not whole reach Python."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e18)
-    digits = F.when(whole, F.when(whole, value).cast("long").cast("string"))
-    return F.when(F.isnan(value) | value.isNull(), "").otherwise(F.coalesce(digits, _fifteen(F.when(~whole & ~F.isnan(value), value))))
+    """Whole numbers as all their digits, others with 15 significant digits; no number is blank.
+    Built-in functions only. Below 2.3e-308, where doubles have fewer digits of their own, it is
+    these that are shown."""
+    size = F.abs(value)
+    whole = value == F.rint(value)
+    digits = F.when(size < 1e18, F.when(size < 1e18, size).cast("long").cast("string")).otherwise(_all_digits(size))
+    shown = F.when(size == float("inf"), "inf").when(whole, digits).otherwise(_fifteen(size))
+    return F.when(F.isnan(value) | value.isNull(), "").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), shown))
 
 
 def cell_text(kind, number, words, form, date1904):

@@ -84,12 +84,14 @@ def clean_name(c, ignore_titles: bool = True):
 
 
 def norm_key(c):
-    """Upper-case letters and digits; 2.516E+11 and 123.0 are read as the numbers they stand for."""
+    """Upper-case letters and digits; 2.516E+11 and 123.0 are read as the numbers they stand for,
+    whatever the exponent. One that no int holds leaves the text as it stands: no column could
+    hold so many digits."""
     t = F.upper(strip(c))
-    parts = lambda k: F.regexp_extract(t, r"\A(\p{Nd}+)(?:\.(\p{Nd}+))?E\+(\p{Nd}+)\z", k)
-    whole, part, power = parts(1), parts(2), F.least(F.expr("400"), F.coalesce(parts(3).try_cast("int"), F.lit(400)))
+    parts = lambda k: F.regexp_extract(ascii_digits(t), r"\A([0-9]+)(?:\.([0-9]+))?E\+([0-9]+)\z", k)
+    whole, part, power = parts(1), parts(2), parts(3).try_cast("int")
     shifted = F.regexp_replace(F.rpad(F.concat(whole, part), F.length(whole) + power, F.lit("0")), r"\A0+(?=\d)", "")
-    plain = F.when(whole != "", shifted).otherwise(F.regexp_replace(t, r"\A(\p{Nd}+)\.0+\z", "$1"))
+    plain = F.when(power.isNotNull(), shifted).otherwise(F.regexp_replace(t, r"\A(\p{Nd}+)\.0+\z", "$1"))
     return F.regexp_replace(plain, "[^A-Z0-9]", "")
 
 

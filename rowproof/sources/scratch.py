@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, the warehouse in local mode (tests). On
+    a cluster that is an error, as its machines share no local folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def written(rows: DataFrame) -> DataFrame:
-    """``rows`` as a table in spark.checkpoint.dir, or else the warehouse: what follows is planned
-    and run over its columns instead of the expressions behind them, and once for all uses."""
+    """``rows`` as a table in the shared folder: what follows is planned and run over its columns
+    instead of the expressions behind them, and once for all uses."""
     spark = rows.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{shared.rstrip('/')}/rowproof-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rowproof-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

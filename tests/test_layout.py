@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rowproof.functions import cells as X
+from rowproof.functions import normalize as N
 from rowproof.operators import columns as D
 from rowproof.operators import layout as L
 from rowproof.operators import report as A
@@ -118,14 +119,49 @@ def test_typed_cells(spark):
     assert all(r.got == r.want for r in got), got
 
 
-def test_sheets_are_stacked(spark):
-    grids = {"one": [["Reg. No.", "Name", "Name", ""], ["1", "A", "B", "x"], ["", "", "", ""]], "two": [["title", ""], ["NAME", "reg. no."], ["C", "2"]], "three": [["no", "header"]]}
+def _stacked(spark, grids):
     rows = [("f", n, k, i + 1, j, v) for k, (n, g) in enumerate(grids.items()) for i, row in enumerate(g) for j, v in enumerate(row)]
     cells = spark.createDataFrame(rows, "source string, sheet string, sheet_order int, row_no int, col_no int, value string")
-    body, sheets = S.combine_sheets(cells, D.detect_header_row(cells))
+    return S.combine_sheets(cells, D.detect_header_row(cells))
+
+
+def test_sheets_are_stacked(spark):
+    body, sheets = _stacked(spark, {"one": [["Reg. No.", "Name", "Name", ""], ["1", "A", "B", "x"], ["", "", "", ""]], "two": [["title", ""], ["NAME", "reg. no."], ["C", "2"]], "three": [["no", "header"]]})
     got = {(r.sheet, r.row_no, r.title): r.value for r in body.collect()}
     assert got == {("one", 2, "Reg. No."): "1", ("one", 2, "Name"): "A", ("one", 2, "Name (2)"): "B", ("one", 2, "Sheet"): "one", ("two", 3, "Reg. No."): "2", ("two", 3, "Name"): "C", ("two", 3, "Sheet"): "two"}
     assert {(r.sheet, r.combined, r.rows) for r in sheets.collect()} == {("one", True, 1), ("two", True, 1), ("three", False, 0)}
+    assert [tuple(r) for r in S.combined_note(sheets).collect()] == [("f", "Combined 2 sheet(s), 2 rows. Skipped (no header row found): three", None)]
+
+
+def test_titles_that_end_in_numbers(spark):
+    """A number that another column has already is passed over; later sheets join by what became
+    of a title."""
+    titles = ["Name (2)", "Name", "NAME", "Reg. No.", "name ", "Name (2)"]
+    body, sheets = _stacked(spark, {"one": [titles, list("abcdef")], "two": [["Reg no", "Name", "Name"], ["1", "g", "h"]]})
+    got = {(r.sheet, r.col_no, r.title): r.value for r in body.collect()}
+    first = {("one", 0, "Name (2)"): "a", ("one", 1, "Name"): "b", ("one", 2, "NAME (3)"): "c", ("one", 3, "Reg. No."): "d", ("one", 4, "name (4)"): "e", ("one", 5, "Name (2) (2)"): "f", ("one", 7, "Sheet"): "one"}
+    assert got == first | {("two", 6, "Reg no"): "1", ("two", 1, "Name"): "g", ("two", 0, "Name (2)"): "h", ("two", 7, "Sheet"): "two"}
+    none = _stacked(spark, {"one": [["no", "header"], ["1", "2"]]})
+    assert none[0].count() == 0 and [tuple(r) for r in S.combined_note(none[1]).collect()] == [("f", None, S.NOTHING_STACKED)]
+
+
+def test_number_text_is_exact(spark):
+    """Against Python's own: halves, limits of 15 digits, long whole numbers, both signs."""
+    rng = random.Random(3)
+    values = [1e18, 1e22, 2.0**70, 1.7976931348623157e308, 1e-7, 0.1 + 0.2, 0.0, -0.0, -3.0, 1 / 3, 123456789012345.5, 123456789012344.5, 1234567890123456.5, 999999999999999.5, 9.999999999999995, 0.0001, 0.00001, -0.1, float("inf"), -float("inf"), float("nan"), -1e19, 3e-300]
+    for _ in range(150):
+        values += [rng.choice([1, -1]) * rng.random() * 10 ** rng.randint(-20, 16), (rng.randrange(10**15, 10**16) // 10 * 10 + 5) / 10 ** rng.randint(1, 22), rng.randrange(1 << 52) / 2 ** rng.randint(1, 8)]
+    want = lambda v: "" if v != v else str(int(v)) if abs(v) != float("inf") and v == int(v) else format(v, ".15g")
+    made = spark.createDataFrame([(v, want(v)) for v in values], "v double, want string").select("v", "want", X.number_text(F.col("v")).alias("got"))
+    assert all(r.got == r.want for r in made.collect())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_keys_of_any_exponent(spark):
+    rows = [("1E+500", "1" + "0" * 500), ("2.516E+11", "251600000000"), ("123.0", "123"), ("0E+7", "0"), ("9.99E+1", "99"), ("1E+99999999999", "1E99999999999"), (" 25-16/12 ", "251612"), ("\u0663E+2", "300"), ("0012e+2", "1200")]
+    got = spark.createDataFrame(rows, "k string, want string").select("want", N.norm_key(F.col("k")).alias("got")).collect()
+    assert all(r.got == r.want for r in got), got
 
 
 def test_mapping_notes_and_tables(spark, tmp_path):

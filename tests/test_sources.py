@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from rowproof.operators.reconcile import reconcile, unmatched_rows
 from rowproof.sources import history as H
 from rowproof.sources import sheets as S
+from rowproof.streaming import ingest as I
 
 RECORDS = "rec_seq long, file string, page int, reg string, abc string, name string, father string, mother string, dob string"
 
@@ -22,6 +23,32 @@ def test_delimited(spark, tmp_path):
     assert {r.source[-5:]: r.error for r in got if r.error} == {"c.tsv": "Expected 2 fields in line 2, saw 3", "d.csv": "Could not determine delimiter"}
 
 
+def test_ingest_reads_each_file_once(spark, tmp_path):
+    """Files that come between runs, a restart, a replayed batch, unreadable files, other suffixes."""
+    folder, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    put = lambda name, data: (tmp_path / "in" / name).write_bytes(data)
+    put("a.csv", b"x,y\n1,2\n"), put("b.csv", b"x,y\n1,2,3\n"), put("n.doc", b"x")
+    run = lambda **more: I.ingest(spark, folder, out, log, **more).awaitTermination()
+    run()
+    put("deep/c.tsv", b"x\ty\n3\t4\n"), put("d.txt", b"\n"), put("e.csv", b"")
+    run(files_a_batch=1)
+    run()
+    cells, failures = I.ingested(spark, out)
+    got = sorted((r.source.rsplit("/", 1)[1], r.row_no, r.col_no, r.value) for r in cells.collect())
+    assert got == [("a.csv", 1, 0, "x"), ("a.csv", 1, 1, "y"), ("a.csv", 2, 0, "1"), ("a.csv", 2, 1, "2"), ("c.tsv", 1, 0, "x"), ("c.tsv", 1, 1, "y"), ("c.tsv", 2, 0, "3"), ("c.tsv", 2, 1, "4")]
+    assert {r.source.rsplit("/", 1)[1] for r in failures.collect()} == {"b.csv", "d.txt"}
+    whole = S.read_delimited(spark, folder)
+    assert sorted(cells.drop("batch").collect()) == sorted(whole.where("error is null").drop("error").collect())
+    # the last commit of the checkpoint is lost: its batch runs again and replaces itself
+    commits = sorted((tmp_path / "log" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        p.unlink()
+    run()
+    again = sorted((r.source.rsplit("/", 1)[1], r.row_no, r.col_no, r.value) for r in I.ingested(spark, out)[0].collect())
+    assert again == got and I.ingested(spark, out)[1].count() == 2
+
+
 def test_grids(spark):
     rows = [("b", "one", 0, 1, 0, "h"), ("b", "one", 0, 2, 0, "v"), ("b", "one", 0, 2, 3, " "), ("b", "one", 0, 3, 0, ""), ("b", "two", 1, 2, 0, "x"), ("b", "two", 1, 1, 1, None)]
     cells = spark.createDataFrame(rows, "source string, sheet string, sheet_order int, row_no int, col_no int, value string")
