@@ -27,4 +27,7 @@ def connected(edges: DataFrame) -> DataFrame:
         before, state = state, _state(now)
         if state == before:
             break
-    return now.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct())
+    # one aggregation, not a union of two: Spark 4.1 unites inputs of equal partitioning partition by
+    # partition, and fails when it has made one of them a local read meanwhile
+    own, root = F.struct(F.col("u").alias("doc"), F.col("v").alias("component")), F.struct(F.col("v").alias("doc"), F.col("v").alias("component"))
+    return now.select(F.inline(F.array(own, root))).distinct()
