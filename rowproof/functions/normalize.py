@@ -71,7 +71,8 @@ def strip_accents(c):
 
 def _without_accents(t):
     one, plain, several = _plain_letters()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    # one literal, as a map of literals would be thousands of expressions to every rule of the planner
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{plain}" for c, plain in several.items())), F.lit("\x01"), F.lit("\x02"))
     spread = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     wide = F.when(F.regexp_like(t, F.lit(f"[{''.join(several)}]")), spread).otherwise(t)
     return F.when(is_ascii(t), t).otherwise(F.translate(F.regexp_replace(wide, r"\p{M}+", ""), one, plain))
@@ -87,12 +88,19 @@ def norm_key(c):
     """Upper-case letters and digits; 2.516E+11 and 123.0 are read as the numbers they stand for,
     whatever the exponent. One that no int holds leaves the text as it stands: no column could
     hold so many digits."""
-    t = F.upper(strip(c))
-    parts = lambda k: F.regexp_extract(ascii_digits(t), r"\A([0-9]+)(?:\.([0-9]+))?E\+([0-9]+)\z", k)
-    whole, part, power = parts(1), parts(2), parts(3).try_cast("int")
-    shifted = F.regexp_replace(F.rpad(F.concat(whole, part), F.length(whole) + power, F.lit("0")), r"\A0+(?=\d)", "")
-    plain = F.when(power.isNotNull(), shifted).otherwise(F.regexp_replace(t, r"\A(\p{Nd}+)\.0+\z", "$1"))
-    return F.regexp_replace(plain, "[^A-Z0-9]", "")
+    return once(F.upper(strip(c)), _key_of)
+
+
+def _key_of(t):
+    numeral = F.regexp_like(t, F.lit(r"\A\p{Nd}+(?:\.\p{Nd}+)?E\+\p{Nd}+\z"))
+    plain = F.regexp_replace(F.regexp_replace(t, r"\A(\p{Nd}+)\.0+\z", "$1"), "[^A-Z0-9]", "")
+    return F.when(numeral, F.coalesce(once(ascii_digits(t), _shifted), plain)).otherwise(plain)
+
+
+def _shifted(t):
+    """The whole digits of 2.516E+11."""
+    part = lambda k: F.regexp_extract(t, r"\A([0-9]+)(?:\.([0-9]+))?E\+([0-9]+)\z", k)
+    return F.regexp_replace(F.rpad(F.concat(part(1), part(2)), F.length(part(1)) + part(3).try_cast("int"), F.lit("0")), r"\A0+(?=\d)", "")
 
 
 def norm_digits(c):

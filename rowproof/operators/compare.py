@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import functions as F
 
 from rowproof.functions.dates import fmt_date, parse_date_any
-from rowproof.functions.normalize import clean_name, norm_digits, norm_key, strip
+from rowproof.functions.normalize import clean_name, norm_digits, norm_key, once, strip
 from rowproof.functions.similarity import name_similarity, strict_similarity
 
 FIELDS = ("name", "father", "mother", "dob", "abc")
@@ -55,9 +55,7 @@ def compare_field(field: str, doc, sheet, settings: Settings = Settings(), known
 def compare_stripped(field: str, p, e, settings: Settings, known=None):
     """``compare_field`` of two values that are stripped already."""
     if field == "abc":
-        a, b = norm_digits(p), norm_digits(e)
-        found = F.when(a == "", _result("Not compared", None, "No ABC ID on the marksheet")).when(b == "", _result("Missing", None, "Empty in Excel")).when(a == b, _result("Match", 100.0, "Same ABC ID")).otherwise(_result("Mismatch", 0.0, "Different ABC ID"))
-        return found.withField("doc", F.when(a != "", a).otherwise(p)).withField("sheet", F.when(b != "", b).otherwise(e))
+        return once(F.struct(p.alias("p"), e.alias("e"), norm_digits(p).alias("a"), norm_digits(e).alias("b")), _compare_abc)
     empty = F.when((p == "") & (e == ""), _result("Missing", None, "Empty in both")).when(p == "", _result("Missing", None, "Not found in PDF")).when(e == "", _result("Missing", None, "Empty in Excel"))
     if field == "dob":
         x, y = known or (prepared(field, p, settings), prepared(field, e, settings))
@@ -72,6 +70,12 @@ def compare_stripped(field: str, p, e, settings: Settings, known=None):
     return empty.otherwise(_result(status, score, alike["note"])).withField("doc", p).withField("sheet", e)
 
 
+def _compare_abc(x):
+    p, e, a, b = (x[c] for c in "peab")
+    found = F.when(a == "", _result("Not compared", None, "No ABC ID on the marksheet")).when(b == "", _result("Missing", None, "Empty in Excel")).when(a == b, _result("Match", 100.0, "Same ABC ID")).otherwise(_result("Mismatch", 0.0, "Different ABC ID"))
+    return found.withField("doc", F.when(a != "", a).otherwise(p)).withField("sheet", F.when(b != "", b).otherwise(e))
+
+
 def overall(statuses):
     """Verdict of an array of field statuses."""
     has = lambda *names: F.exists(statuses, lambda s: s.isin(*names))

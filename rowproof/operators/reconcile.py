@@ -2,7 +2,8 @@
 
 The sheet is reduced to one row per key before any join, so joins are many-to-one whatever
 repeats on either side; empty keys are left out before they are shuffled. Keys, dates and
-cleaned names are worked out once per row and written; comparisons read these columns.
+cleaned names are worked out once per row as columns, the sheet's also written; comparisons read
+these columns.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from rowproof.sources.scratch import written
 from .compare import FIELDS, Settings, compare_stripped, overall, prepared
 
 MAPPED = ("reg", "abc", "name", "father", "mother", "dob", "name_last")
+CHUNK = 1000  # row numbers whose rows of one key are listed together
+MARKS = 1 << 23  # bits, a megabyte
 DEEP = tuple(f for f in FIELDS if f != "abc")
 NO_KEY, NOT_THERE = "Registration number not found in the PDF", "Registration number not found in Excel"
 
@@ -26,12 +29,23 @@ def key_index(sheet: DataFrame, key) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by(F.struct(*sheet.columns), "row_no").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def key_rows(sheet: DataFrame, key, wanted: DataFrame, label="row_no", most: int | None = None) -> DataFrame:
-    """(key, rows): the labels of all rows of the keys in ``wanted`` (key), in order. ``most`` bounds
-    the list of a key, and is off unless given."""
+def row_chunks(rows: DataFrame, by: list[str], label: str, order: tuple[str, ...] = ("row_no",)) -> DataFrame:
+    """(by, chunk, rows): the rows of each key as arrays of struct(order, label) in order, those of
+    ``CHUNK`` row numbers together, so that no group holds all rows of a key that many have."""
+    each = F.struct(*order, F.col(label).cast("string").alias("label"))
+    return rows.groupBy(*by, F.floor(F.col("row_no") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(each)).alias("rows"))
+
+
+def row_texts(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, texts): the labels of each chunk, joined, as struct(chunk, text) in order."""
+    named = chunks.select(*by, "chunk", F.array_join(F.transform("rows", lambda r: r["label"]), ", ").alias("text"))
+    return named.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("texts"))
+
+
+def key_rows(sheet: DataFrame, key, wanted: DataFrame, label="row_no") -> DataFrame:
+    """(key, rows): the labels of all rows of the keys in ``wanted`` (key), in order, comma-joined."""
     found = sheet.withColumn("key", key).join(wanted.select("key").distinct(), "key", "left_semi")
-    rows = F.array_sort(F.collect_list(F.struct("row_no", F.col(label).alias("label"))))
-    return found.groupBy("key").agg(F.transform(rows if most is None else F.slice(rows, 1, most), lambda r: r["label"]).alias("rows"))
+    return row_texts(row_chunks(found, ["key"], label), ["key"]).select("key", F.array_join(F.transform("texts", lambda t: t["text"]), ", ").alias("rows"))
 
 
 def variants(key):
@@ -40,11 +54,30 @@ def variants(key):
     return F.array_distinct(F.concat(F.array(key), F.when(F.length(key) > 0, cut).otherwise(F.array().cast("array<string>"))))
 
 
+def _marked(variant):
+    """The bit of ``MARKS`` that a variant has."""
+    return F.pmod(F.xxhash64(variant), F.lit(MARKS))
+
+
+def _marks(variants_: DataFrame):
+    """The bits of all variants (v) as one array of longs, a value of fixed size whatever their
+    number; ready within the query, as a scalar subquery."""
+    words = variants_.select(_marked(F.col("v")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
+    every = variants_.sparkSession.range(MARKS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"])).scalar()
+
+
 def closest_keys(missing: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, closest): the smallest of ``keys`` (key) one edit away. Two strings one edit apart
-    share a variant, so this is an equality join on variants, then a check."""
+    share a variant, so this is an equality join on variants, then a check.
+
+    Few keys are near a missing one, so keys that share no variant with any are left out before
+    theirs become rows: each is looked up among the marks of the missing keys' variants, a bit
+    each of ``MARKS``. Marks may coincide, which costs a row and changes nothing."""
     left = missing.select("key").where("key != ''").distinct().withColumn("v", F.explode(variants(F.col("key"))))
-    right = keys.select(F.col("key").alias("closest")).distinct().withColumn("v", F.explode(variants(F.col("closest"))))
+    right = keys.select(F.col("key").alias("closest")).distinct().withColumn("vs", variants(F.col("closest"))).withColumn("marks", _marks(left))
+    marked = lambda v: F.getbit(F.get(F.col("marks"), F.shiftright(_marked(v), 6).cast("int")), (_marked(v) % 64).cast("int")) == 1
+    right = right.select("closest", F.explode(F.filter("vs", marked)).alias("v"))
     near = left.join(right, "v").where(F.levenshtein("key", "closest") == 1)
     return near.groupBy("key").agg(F.min("closest").alias("closest"))
 
@@ -65,54 +98,75 @@ def sheet_values(sheet: DataFrame, mapping: dict[str, str] | None = None) -> Dat
     return sheet.select("row_no", row_label(book, F.col("row_no")).alias("excel_row"), place.alias("place"), *[(name if f == "name" else of[f]).alias(f) for f in MAPPED[:-1]])
 
 
-def pair(records: DataFrame, sheet: DataFrame) -> DataFrame:
-    """``records`` with key, paired_by ("reg", "abc" or null), row (the sheet row) and n, how many
-    rows have that key."""
-    by_reg, by_abc = key_index(sheet, norm_key(F.col("reg"))), key_index(sheet, norm_digits(F.col("abc")))
-    keyed = records.withColumn("key", norm_key(F.col("reg")))
-    direct = keyed.where("key != ''").join(by_reg, "key", "left").withColumn("paired_by", F.when(F.col("first").isNotNull(), "reg"))
-    blank = keyed.where("key = ''").withColumn("abc_key", norm_digits(F.col("abc")))
-    fallback = blank.join(by_abc.withColumnRenamed("key", "abc_key"), "abc_key", "left").withColumn("paired_by", F.when(F.col("first").isNotNull(), "abc"))
-    return direct.withColumn("abc_key", F.lit("")).unionByName(fallback).withColumnRenamed("first", "row")
+def _on(key, abc_key, otherwise):
+    """What a row is paired on: its key, else its ABC ID; ``otherwise`` where it has neither."""
+    return F.when(key != "", F.concat(F.lit("r"), key)).when(abc_key != "", F.concat(F.lit("a"), abc_key)).otherwise(otherwise)
 
 
-def reconcile(records: DataFrame, sheet: DataFrame, settings: Settings = Settings(), mapping: dict[str, str] | None = None, most_rows: int | None = None) -> DataFrame:  # noqa: B008
-    """One row per record: rec_seq, row_no, excel_row, paired_by, verdict, closest, note, sheet_reg,
-    and a struct (status, score, note, doc, sheet) per field. ``mapping``: column of each field,
-    a field's own name unless given. ``most_rows`` bounds the rows that a note on a repeated key
-    lists; off unless given."""
+def pair(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """``records`` with key, on, paired_by ("reg", "abc" or null), row (the first sheet row of that
+    key) and n, how many rows have it. One join: sheet rows are found by either key, a record
+    asks for one of them. Records without any ask for what no row has, each for its own, so that they
+    do not meet in one task."""
+    kinds = [F.when(k != "", F.concat(F.lit(p), k)) for p, k in (("r", norm_key(F.col("reg"))), ("a", norm_digits(F.col("abc"))))]
+    each = rows.select("*", F.explode(F.array_compact(F.array(*kinds))).alias("on"))
+    index = each.groupBy("on").agg(F.min_by(F.struct(*rows.columns), "row_no").alias("row"), F.count(F.lit(1)).alias("n"))
+    keyed = records.withColumns({"key": norm_key(F.col("reg")), "abc_key": norm_digits(F.col("abc"))})
+    keyed = keyed.withColumn("on", _on(F.col("key"), F.col("abc_key"), F.concat(F.lit("-"), F.col("rec_seq").cast("string")))).drop("abc_key")
+    paired_by = F.when(F.col("row").isNotNull(), F.when(F.col("key") != "", "reg").otherwise("abc"))
+    return keyed.join(index, "on", "left").withColumn("paired_by", paired_by)
+
+
+def _paired(records: DataFrame, sheet: DataFrame, settings: Settings, mapping: dict[str, str] | None):
+    """(rows of the sheet, records with the row that each is paired with and a struct per field)."""
     mapping = mapping or {f: f for f in MAPPED if f in sheet.columns}
     mapped = [f for f in FIELDS if mapping.get(f)]
-    values = sheet_values(sheet, mapping)
-    rows = written(values.select("*", *[strip(F.col(f)).alias(f"e_{f}") for f in mapped]))
-    ready = rows.select("*", *[prepared(f, F.col(f"e_{f}"), settings).alias(f"y_{f}") for f in DEEP if f in mapped])
-    rows = written(ready)
+    rows = sheet_values(sheet, mapping).select("*", *[strip(F.col(f)).alias(f"e_{f}") for f in mapped])
+    rows = written(rows.select("*", *[prepared(f, F.col(f"e_{f}"), settings).alias(f"y_{f}") for f in DEEP if f in mapped]))
     own = records.select("rec_seq", *[text(F.col(f)).alias(f) for f in ("reg", *FIELDS)], (text(F.col("note")) if "note" in records.columns else F.lit("")).alias("rec_note"))
-    own = written(own.select("*", *[strip(F.col(f)).alias(f"p_{f}") for f in mapped]))
-    own = own.select("*", *[prepared(f, F.col(f"p_{f}"), settings).alias(f"x_{f}") for f in DEEP if f in mapped])
-    found = written(pair(own, rows))
+    found = pair(own, rows)  # values as they stand are shuffled; all else is worked out beside the row
+    found = found.select("*", *[strip(F.col(f)).alias(f"p_{f}") for f in mapped])
+    found = found.select("*", *[prepared(f, F.col(f"p_{f}"), settings).alias(f"x_{f}") for f in DEEP if f in mapped])
     hit = F.col("row").isNotNull()
-    # rows of repeated keys, for the keys that records are paired by
-    twice = found.where(hit & (F.col("n") > 1))
-    lists = [key_rows(rows, norm(F.col(f)), twice.where(F.col("paired_by") == f).select(F.col(k).alias("key")), "place", most_rows).select(F.lit(f).alias("paired_by"), F.col("key").alias("on"), "rows") for f, k, norm in (("reg", "key", norm_key), ("abc", "abc_key", norm_digits))]
-    keys = rows.select(norm_key(F.col("reg")).alias("key"), "row_no", "reg", "place").where("key != ''")
-    near = closest_keys(found.where(~hit & (F.col("key") != "")), keys)
-    first = keys.groupBy(F.col("key").alias("closest")).agg(F.min_by(F.struct("reg", "place"), "row_no").alias("near"))
-    found = found.withColumn("on", F.when(F.col("paired_by") == "abc", F.col("abc_key")).otherwise(F.col("key")))
-    found = found.join(lists[0].unionByName(lists[1]), ["paired_by", "on"], "left").join(near.join(first, "closest"), "key", "left")
     skipped = lambda f, why: F.struct(F.lit("Not compared").alias("status"), F.lit(None).cast("double").alias("score"), F.lit(why).alias("note"), F.col(f).alias("doc"), F.lit("").alias("sheet"))
     fields = {}
     for f in FIELDS:
         known = (F.col(f"x_{f}"), F.col(f"row.y_{f}")) if f in DEEP and f in mapped else None
         made = compare_stripped(f, F.col(f"p_{f}"), F.col(f"row.e_{f}"), settings, known) if f in mapped else skipped(f, "Column not mapped")
         fields[f] = F.when(hit, made).otherwise(skipped(f, ""))
-    several = F.when(F.col("rows").isNotNull(), F.concat(F.when(F.col("paired_by") == "abc", "ABC ID").otherwise("Reg. no."), F.lit(" appears in Excel at "), F.array_join("rows", ", "), F.lit("; first used")))
+    done = found.select("rec_seq", F.col("row.row_no").alias("row_no"), F.col("row.excel_row").alias("excel_row"), "paired_by", "key", "on", "n", "rec_note", F.col("row.reg").alias("sheet_reg"), *[c.alias(f"f_{f}") for f, c in fields.items()])
+    verdict = F.when(F.col("row_no").isNotNull(), overall(F.array(*[F.col(f"f_{f}.status") for f in FIELDS]))).when(F.col("key") == "", "No reg. no. in PDF").otherwise("Not in Excel")
+    return rows, done.withColumn("verdict", verdict).withColumnsRenamed({f"f_{f}": f for f in FIELDS})
+
+
+def verdicts(records: DataFrame, sheet: DataFrame, settings: Settings = Settings(), mapping: dict[str, str] | None = None) -> DataFrame:  # noqa: B008
+    """What ``reconcile`` gives without closest keys and notes: one join, for counts and filters."""
+    return _paired(records, sheet, settings, mapping)[1].select("rec_seq", "row_no", "excel_row", "paired_by", "verdict", "sheet_reg", *FIELDS)
+
+
+def reconcile(records: DataFrame, sheet: DataFrame, settings: Settings = Settings(), mapping: dict[str, str] | None = None) -> DataFrame:  # noqa: B008
+    """One row per record: rec_seq, row_no, excel_row, paired_by, verdict, closest, note, sheet_reg,
+    and a struct (status, score, note, doc, sheet) per field. ``mapping``: column of each field,
+    a field's own name unless given. The result is not computed before it is used, and then only
+    the columns that are: write it first if it is used several times."""
+    rows, found = _paired(records, sheet, settings, mapping)
+    hit = F.col("row_no").isNotNull()
+    keys = rows.select(norm_key(F.col("reg")).alias("key"), "row_no", "reg", "place").where("key != ''")
+    lost = written(found.where(~hit & (F.col("key") != "")).select("key").distinct())
+    first = keys.groupBy(F.col("key").alias("closest")).agg(F.min_by(F.struct("reg", "place"), "row_no").alias("near"))
+    near = closest_keys(lost, keys).join(first, "closest").select(F.concat(F.lit("r"), "key").alias("on"), "closest", "near")
+    # rows of repeated keys
+    both = [keys.select(F.concat(F.lit("r"), "key").alias("on"), "row_no", "place"), rows.select(F.concat(F.lit("a"), norm_digits(F.col("abc"))).alias("on"), "row_no", "place").where("on != 'a'")]
+    both = both[0].unionByName(both[1])
+    twice = both.groupBy("on").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("on")
+    lists = row_texts(row_chunks(both.join(twice, "on", "left_semi"), ["on"], "place"), ["on"]).select("on", F.array_join(F.transform("texts", lambda t: t["text"]), ", ").alias("rows"))
+    more = near.select("*", F.lit(None).cast("string").alias("rows")).unionByName(lists, allowMissingColumns=True)  # a key is near another or repeated, not both
+    found = found.join(more, "on", "left")
+    several = F.when(F.col("rows").isNotNull(), F.concat(F.when(F.col("paired_by") == "abc", "ABC ID").otherwise("Reg. no."), F.lit(" appears in Excel at "), "rows", F.lit("; first used")))
     paired = F.concat_ws("; ", F.when(F.col("paired_by") == "abc", "No reg. no. in the PDF; paired by ABC ID"), several)
     hint = F.when(F.col("near").isNotNull(), F.concat(F.lit(". Closest in Excel: "), "near.reg", F.lit(" ("), "near.place", F.lit(")"))).otherwise("")
     note = F.when(hit, paired).when(F.col("key") == "", F.when(F.col("rec_note") != "", F.col("rec_note")).otherwise(NO_KEY)).otherwise(F.concat(F.lit(NOT_THERE), hint))
-    done = found.select("rec_seq", F.col("row.row_no").alias("row_no"), F.col("row.excel_row").alias("excel_row"), "paired_by", "key", F.when(~hit, F.col("closest")).alias("closest"), note.alias("note"), F.col("row.reg").alias("sheet_reg"), *[c.alias(f) for f, c in fields.items()])
-    verdict = F.when(F.col("row_no").isNotNull(), overall(F.array(*[F.col(f"{f}.status") for f in FIELDS]))).when(F.col("key") == "", "No reg. no. in PDF").otherwise("Not in Excel")
-    return written(done).select("rec_seq", "row_no", "excel_row", "paired_by", verdict.alias("verdict"), "closest", "note", "sheet_reg", *FIELDS)
+    return found.select("rec_seq", "row_no", "excel_row", "paired_by", "verdict", F.when(~hit, F.col("closest")).alias("closest"), note.alias("note"), "sheet_reg", *FIELDS)
 
 
 def unmatched_rows(results: DataFrame, sheet: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:

@@ -76,10 +76,17 @@ def with_views(query: str, names: tuple[str, ...] = ("base_sheet", "sheet", "rec
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + " " + query
 
 
+def dealt(rows):
+    """A table of fewer files than there are cores, dealt to all of them: everything derived from it
+    would run in as many tasks as it has files."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def view(spark, sf_dir: str, name: str):
     """One derived view as a DataFrame over the tables of ``sf_dir``."""
     sql = with_views(f"SELECT * FROM {name}", ("base_sheet", "sheet", "records", *([name] if name in ("checks", "runs") else [])))
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    tables = {t: dealt(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES}
     for t in TABLES:
         sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ").replace(f"FROM {t})", f"FROM {{{t}}})")
     return spark.sql(sql, **{t: df for t, df in tables.items() if f"{{{t}}}" in sql})

@@ -32,6 +32,10 @@ def _results(make, settings):
     return lambda spark, sf: make(R.reconcile(view(spark, sf, "records"), view(spark, sf, "sheet"), settings))
 
 
+def _verdicts(make, settings):
+    return lambda spark, sf: make(R.verdicts(view(spark, sf, "records"), view(spark, sf, "sheet"), settings))
+
+
 def _flat(results):
     parts = [F.col(f"{f}.{part}").alias(f"{f}_{part}") for f in FIELDS for part in ("status", "score")]
     return results.select("rec_seq", "row_no", "paired_by", "verdict", "closest", "note", *parts)
@@ -58,7 +62,7 @@ def _compared(field, settings=STRICT):
 
 def _unmatched(spark, sf):
     sheet = view(spark, sf, "sheet")
-    return R.unmatched_rows(R.reconcile(view(spark, sf, "records"), sheet, STRICT), sheet).drop("excel_row")
+    return R.unmatched_rows(R.verdicts(view(spark, sf, "records"), sheet, STRICT), sheet).drop("excel_row")
 
 
 def _closest(spark, sf):
@@ -75,7 +79,7 @@ def _checked(make):
 def _key_rows(spark, sf):
     sheet, key = view(spark, sf, "sheet"), N.norm_key(F.col("reg"))
     twice = R.key_index(sheet, key).where("n > 1")
-    return R.key_rows(sheet, key, twice).select("key", F.array_join(F.transform("rows", lambda r: r.cast("string")), ",").alias("rows"))
+    return R.key_rows(sheet, key, twice).select("key", F.replace("rows", F.lit(", "), F.lit(",")).alias("rows"))
 
 
 def _comparison(spark, sf):
@@ -181,7 +185,7 @@ def _lookup(spark, sf):
 
 
 def flagship(spark, sf_dir):
-    return _results(A.verdict_summary, STRICT)(spark, sf_dir)
+    return _verdicts(A.verdict_summary, STRICT)(spark, sf_dir)
 
 
 def queries():
@@ -204,12 +208,12 @@ def queries():
         "reconcile_strict": _results(_flat, STRICT),
         "reconcile_normal": _results(_flat, Settings()),
         "unmatched_rows": _unmatched,
-        "verdict_summary": _results(A.verdict_summary, STRICT),
-        "field_status_counts": _results(A.field_status_counts, STRICT),
-        "tally": _results(A.tally, STRICT),
+        "verdict_summary": _verdicts(A.verdict_summary, STRICT),
+        "field_status_counts": _verdicts(A.field_status_counts, STRICT),
+        "tally": _verdicts(A.tally, STRICT),
         "needs_attention": _attention,
-        "verdict_report": _results(lambda d: A.verdict_summary(d, total=True), STRICT),
-        "result_filter": _results(lambda d: A.filter_results(d, "Mismatch / not found").select("rec_seq", "verdict"), STRICT),
+        "verdict_report": _verdicts(lambda d: A.verdict_summary(d, total=True), STRICT),
+        "result_filter": _verdicts(lambda d: A.filter_results(d, "Mismatch / not found").select("rec_seq", "verdict"), STRICT),
         "comparison_table": _comparison,
         "unmatched_table": lambda spark, sf: A.unmatched_table(_unmatched(spark, sf).withColumn("excel_row", F.col("row_no").cast("string"))),
         "trim_grid": lambda spark, sf: C.trim_grid(_cells(spark, sf)).select("source", "sheet", "row_no", "col_no", "value"),

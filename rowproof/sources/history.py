@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from rowproof.functions.normalize import norm_key, strip
 from rowproof.operators.compare import FIELDS, VERDICTS
 
+from .scratch import written
+
 TABLES = ("runs", "run_records", "field_results", "unmatched_excel")
 _RESULT = "struct<status string, score double, note string, doc string, sheet string>"
 
@@ -27,7 +29,7 @@ def save_run(folder: str, run_id: int, info: dict, results: DataFrame, records:
     reconcile gives; unpaired records keep the document's own values as Not compared."""
     path = F.col("path") if "path" in records.columns else F.col("file")
     place = records.select("rec_seq", F.col("file").alias("pdf_file"), path.alias("pdf_path"), "page", F.coalesce("reg", F.lit("")).alias("pdf_reg"))
-    rows = results.select("rec_seq", "excel_row", F.col("verdict").alias("overall"), "note", "paired_by", "sheet_reg", *FIELDS).join(place, "rec_seq")
+    rows = written(results.select("rec_seq", "excel_row", F.col("verdict").alias("overall"), "note", "paired_by", "sheet_reg", *FIELDS).join(place, "rec_seq"))
     _put(rows.drop("paired_by", "sheet_reg", *FIELDS), folder, "run_records", run_id)
     by_reg, by_abc = F.col("paired_by").eqNullSafe("reg"), F.col("paired_by").eqNullSafe("abc")
     note = F.when(by_reg, "Paired on this").when(by_abc, "Not on the marksheet; paired by ABC ID").otherwise("")
@@ -39,8 +41,8 @@ def save_run(folder: str, run_id: int, info: dict, results: DataFrame, records:
     of = lambda *v: F.count_if(F.col("overall").isin(*v)).alias
     facts = [F.lit(str(info.get(k, ""))).alias(k) for k in ("created_at", "excel_file", "sheet")]
     facts += [F.lit(int(info.get("header_row", 0))).alias("header_row"), *[F.lit(json.dumps(info.get(k, {}))).alias(k) for k in ("mapping", "settings")]]
-    written = results.sparkSession.read.parquet(f"{folder}/run_records/run_id={run_id}")
-    counts = written.agg(F.count(F.lit(1)).alias("pdf_count"), of(*VERDICTS[:2])("n_verified"), of(VERDICTS[2])("n_review"), of(VERDICTS[3])("n_mismatch"), of(*VERDICTS[4:])("n_notfound"))
+    kept = results.sparkSession.read.parquet(f"{folder}/run_records/run_id={run_id}")
+    counts = kept.agg(F.count(F.lit(1)).alias("pdf_count"), of(*VERDICTS[:2])("n_verified"), of(VERDICTS[2])("n_review"), of(VERDICTS[3])("n_mismatch"), of(*VERDICTS[4:])("n_notfound"))
     _put(counts.select(*facts, "*"), folder, "runs", run_id)
 
 
