@@ -16,7 +16,7 @@ from rowproof.functions.normalize import label_field, norm_digits, norm_key, par
 from rowproof.sources.scratch import written
 
 from .compare import Settings, compare_field, prepared
-from .reconcile import closest_keys
+from .reconcile import CHUNK, closest_keys, row_chunks, row_texts
 
 # Checkable fields with their labels, statuses in report order, marks words.
 LABELS = {"reg": "Registration No.", "abc": "ABC ID", "name": "Student Name", "father": "Father's Name", "mother": "Mother's Name", "dob": "Date of Birth"}
@@ -31,12 +31,37 @@ NAMES = ("name", "father", "mother", "reg")
 ROLES = ("enroll", "expected", "claimed", "student", "remark", "abc")
 
 
+KEYS = ("source", "sheet")
+NOT_CHOSEN = "Choose the enrollment column and the expected-data column first."
+
+
+def check_sheet(cells: DataFrame, headers: DataFrame, columns: DataFrame, last_rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of sheets as cells (source, sheet, row_no, col_no, value): what ``build_checks``
+    reads, from the rows below each sheet's header (source, sheet, header_row) in the columns that
+    its roles have (source, sheet, role, col), down to its last row (source, sheet, last_row)
+    where one is given. A sheet without a column for enrollment numbers or expected values gives
+    an error and no row. Header, last row and roles are data, so all sheets are read at once."""
+    by = list(KEYS)
+    roles = columns.where(F.col("col").isNotNull()).select(*by, "role", F.col("col").alias("col_no"))
+    chosen = columns.groupBy(*by).agg(F.count_if(F.col("role").isin("enroll", "expected") & F.col("col").isNotNull()).alias("n"))
+    bounds = headers.join(chosen.where("n = 2").select(*by), by)
+    last = F.lit(None).cast("int")
+    if last_rows is not None:
+        bounds, last = bounds.join(last_rows.select(*by, "last_row"), by, "left"), F.nullif(F.col("last_row"), F.lit(0))
+    inside = cells.join(bounds, by).where((F.col("row_no") > F.col("header_row")) & (F.col("row_no") <= F.coalesce(last, F.col("row_no"))))
+    named = inside.select(*by, "row_no", "col_no", "value").join(roles, [*by, "col_no"])
+    rows = named.groupBy(*by, "row_no").agg(*[F.coalesce(F.max(F.when(F.col("role") == r, text(F.col("value")))), F.lit("")).alias(r) for r in ROLES])
+    return rows, chosen.where("n < 2").select(*by, F.lit(NOT_CHOSEN).alias("error"))
+
+
 def build_checks(sheet: DataFrame) -> DataFrame:
     """Checks of ``sheet`` (row_no, enroll, expected and, where present, claimed, student,
-    remark, abc): row_no, nth, enroll, student, remark, abc, label, field, expected, claimed,
-    kind (field, empty, marks or unsupported) and parse_note. Row-local: no shuffle."""
+    remark, abc, source, sheet): row_no, nth, enroll, student, remark, abc, label, field, expected,
+    claimed, kind (field, empty, marks or unsupported), parse_note, and source and sheet where
+    they are given. Row-local: no shuffle."""
     cell = lambda c: strip(F.col(c)) if c in sheet.columns else F.lit("")
-    rows = sheet.select("row_no", *[cell(c).alias(c) for c in ROLES]).where("enroll != '' or expected != ''")
+    own = [c for c in KEYS if c in sheet.columns]
+    rows = sheet.select(*own, "row_no", *[cell(c).alias(c) for c in ROLES]).where("enroll != '' or expected != ''")
     rows = rows.withColumns({"lines": parse_cell(F.col("expected")), "old": parse_cell(F.col("claimed"))}).withColumns({"n_lines": F.size("lines"), "n_old": F.size("old")})
     rows = rows.drop("expected", "claimed").select("*", F.posexplode_outer("lines").alias("nth", "line")).drop("lines")
     label, value, named = F.coalesce("line.label", F.lit("")), F.coalesce("line.value", F.lit("")), F.col("line.field")
@@ -51,7 +76,7 @@ def build_checks(sheet: DataFrame) -> DataFrame:
         .when(field.isNull(), F.concat(F.lit('"'), label, F.lit('" is not a field read from marksheets')))
         .when(value == "", "No value after the label").when(bare, "Field taken from the Remarks column (no label in the cell)").otherwise("")
     )
-    found = rows.select("row_no", F.coalesce("nth", F.lit(0)).alias("nth"), "enroll", "student", "remark", "abc", label.alias("label"), field.alias("field"), value.alias("expected"), kind.alias("kind"), why.alias("parse_note"), "old", "n_lines", "n_old")
+    found = rows.select(*own, "row_no", F.coalesce("nth", F.lit(0)).alias("nth"), "enroll", "student", "remark", "abc", label.alias("label"), field.alias("field"), value.alias("expected"), kind.alias("kind"), why.alias("parse_note"), "old", "n_lines", "n_old")
     same = F.filter("old", lambda x: x["field"] == F.col("field"))
     last = F.coalesce(F.try_element_at(same, F.lit(-1))["value"], F.lit(""))
     only = F.when((F.col("n_lines") == 1) & (F.col("n_old") == 1), F.col("old")[0]["value"])
@@ -59,29 +84,37 @@ def build_checks(sheet: DataFrame) -> DataFrame:
     return found.withColumn("claimed", claimed).drop("old", "n_lines", "n_old")
 
 
-def mark_duplicates(checks: DataFrame, most: int | None = None) -> DataFrame:
-    """Field checks that share a key and field name the others' rows in parse_note. Keys are
-    counted first, and rows are gathered only for those that repeat. ``most`` bounds the rows
-    that a note draws on, and is off unless given."""
-    keyed = checks.withColumn("dup_key", F.when(F.col("kind") == "field", norm_key(F.col("enroll"))))
+def mark_duplicates(checks: DataFrame) -> DataFrame:
+    """Field checks that share a key and field name the others' rows in parse_note. Keys are counted
+    first, and rows are gathered only for those that repeat, in chunks: a check finds its key's
+    texts by chunk and the rows of its own chunk, so no group holds all rows of a hot key, and
+    the notes are put together only where they are asked for."""
+    by = ["dup_key", "field", *(c for c in KEYS if c in checks.columns)]
+    keyed = checks.withColumn("dup_key", F.when(F.col("kind") == "field", norm_key(F.col("enroll")))).withColumn("chunk", F.floor(F.col("row_no") / CHUNK))
     named = keyed.where("dup_key is not null")
-    twice = named.groupBy("dup_key", "field").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dup_key", "field")
-    every = F.array_sort(F.collect_list(F.struct("row_no", "nth")))
-    groups = named.join(twice, ["dup_key", "field"], "left_semi").groupBy("dup_key", "field").agg((every if most is None else F.slice(every, 1, most)).alias("all"))
-    others = F.filter("all", lambda x: (x["row_no"] != F.col("row_no")) | (x["nth"] != F.col("nth")))
-    rows = F.array_join(F.transform(others, lambda x: x["row_no"].cast("string")), ", ")
-    note = F.when(F.col("all").isNotNull(), F.concat(F.lit("Same student and field also on row(s) "), rows))
-    return keyed.join(groups, ["dup_key", "field"], "left").withColumn("parse_note", F.concat_ws("; ", F.nullif("parse_note", F.lit("")), note)).select(*checks.columns)
+    twice = named.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
+    chunks = row_chunks(named.select(*by, "row_no", "nth").join(twice, by, "left_semi"), by, "row_no", ("row_no", "nth"))
+    found = keyed.join(chunks.withColumnRenamed("rows", "near"), [*by, "chunk"], "left").join(row_texts(chunks, by), by, "left")
+    others = F.filter("near", lambda x: (x["row_no"] != F.col("row_no")) | (x["nth"] != F.col("nth")))
+    mine = F.array_join(F.transform(others, lambda x: x["label"]), ", ")
+    rows = F.array_join(F.filter(F.transform("texts", lambda t: F.when(t["chunk"] == F.col("chunk"), mine).otherwise(t["text"])), lambda t: t != ""), ", ")
+    note = F.when(F.col("texts").isNotNull(), F.concat(F.lit("Same student and field also on row(s) "), rows))
+    return found.withColumn("parse_note", F.concat_ws("; ", F.nullif("parse_note", F.lit("")), note)).select(*checks.columns)
 
 
 def doc_index(records: DataFrame, key, where) -> DataFrame:
-    """(key, field, rec): per key and field the first record that has the field, else the
-    key's first record."""
+    """(key, recs): per key, in the order of ``LABELS``, the first record that has the field, else the
+    key's first record. A row a key, whatever is asked."""
     rec = lambda f: F.struct("file", "path", "page", text(F.col(f)).alias("value"), "unreadable", F.col("note").alias("rec_note"))
     keyed = records.where(where).withColumn("key", key)
-    best = {f: F.coalesce(F.min_by(rec(f), F.when(text(F.col(f)) != "", F.col("rec_seq"))), F.min_by(rec(f), "rec_seq")) for f in LABELS}
-    one = keyed.groupBy("key").agg(*[x.alias(f) for f, x in best.items()])
-    return one.select("key", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("rec")) for f in LABELS])))
+    best = [F.coalesce(F.min_by(rec(f), F.when(text(F.col(f)) != "", F.col("rec_seq"))), F.min_by(rec(f), "rec_seq")) for f in LABELS]
+    return keyed.groupBy("key").agg(F.array(*best).alias("recs"))
+
+
+def _of_field(recs):
+    """The record for the row's own field."""
+    at = F.array_position(F.array(*[F.lit(f) for f in LABELS]), F.col("field")) - 1
+    return F.get(F.col(recs), at.cast("int"))
 
 
 def _compared(doc, expected, settings: Settings, dates, names):
@@ -106,36 +139,33 @@ def evaluate(checks: DataFrame, records: DataFrame, settings: Settings = Setting
     forced = "force_pdf_path" in checks.columns
     live = F.col("kind").eqNullSafe("field") & F.col("field").isNotNull() & (text(F.col("expected")) != "")
     found = checks.withColumns({"live": live, "reg_key": norm_key(F.col("enroll")), "abc_key": norm_digits(F.col("abc"))})
-    by_reg = doc_index(records, norm_key(F.col("reg")), text(F.col("reg")) != "")
+    by_reg = written(doc_index(records, norm_key(F.col("reg")), text(F.col("reg")) != ""))  # also asked for near keys
     by_abc = doc_index(records, norm_digits(F.col("abc")), text(F.col("abc")) != "")
     hand = F.col("force_pdf_path") if forced else F.lit(None).cast("string")
     # what needs no record meets none: its keys are null
     found = found.withColumns({"reg_on": F.when(F.col("live") & hand.isNull(), F.col("reg_key")), "abc_on": F.when(F.col("live") & hand.isNull() & (F.col("abc") != ""), F.col("abc_key"))})
     for index, on, name in ((by_reg, "reg_on", "r"), (by_abc, "abc_on", "a")):
-        found = found.join(index.withColumnRenamed("key", on).withColumnRenamed("rec", name), [on, "field"], "left")
+        found = found.join(index.select(F.col("key").alias(on), F.col("recs").alias(f"{name}_recs")), on, "left").withColumn(name, _of_field(f"{name}_recs")).drop(f"{name}_recs")
     rec, how = F.coalesce("r", "a"), F.when(F.col("r").isNull() & F.col("a").isNotNull(), "matched by ABC ID")
     if forced:
         by_path = doc_index(records, F.col("path"), F.col("path").isNotNull())
-        found = found.join(by_path.withColumnRenamed("key", "force_pdf_path").withColumnRenamed("rec", "f"), ["force_pdf_path", "field"], "left")
+        found = found.join(by_path.select(F.col("key").alias("force_pdf_path"), F.col("recs").alias("f_recs")), "force_pdf_path", "left").withColumn("f", _of_field("f_recs"))
         rec, how = F.when(hand.isNotNull(), F.col("f")).otherwise(rec), F.when(hand.isNotNull(), "chosen by hand").otherwise(how)
     found = found.withColumns({"rec": rec, "how": how})
-    keys = by_reg.where("field = 'reg'").select("key", F.col("rec.file").alias("near_file"))
-    lost = found.where("live and rec is null and reg_key != ''").select(F.col("reg_key").alias("key"))
+    keys = by_reg.select("key", F.col("recs")[0]["file"].alias("near_file"))
+    lost = written(found.where("live and rec is null and reg_key != ''").select(F.col("reg_key").alias("key")).distinct())
     near = closest_keys(lost, keys).join(keys.withColumnRenamed("key", "closest"), "closest").select(F.col("key").alias("reg_key"), "closest", "near_file")
     found = found.join(near, "reg_key", "left")
     own = F.col("rec.value")
     found = found.withColumn("pdf_value", F.coalesce("force_pdf_value", own) if "force_pdf_value" in checks.columns else own)
     # dates and cleaned names once, as columns, and only for the rows whose field needs them
     sides = {"p": F.col("pdf_value"), "e": F.col("expected"), "o": F.nullif("claimed", F.lit(""))}
-    found = written(found)  # what follows is planned over these columns, not over the joins behind them
     found = found.withColumns({f"{k}_{f}": prepared(f, F.when(F.col("field").isin(*fs) & F.col("pdf_value").isNotNull(), c), settings) for k, c in sides.items() for f, fs in (("dob", ("dob",)), ("name", NAMES))})
-    found = written(found)
     known = lambda f, other: (F.col(f"p_{f}"), F.col(f"{other}_{f}"))
     found = found.withColumns({
         "cmp": _compared(sides["p"], sides["e"], settings, known("dob", "e"), known("name", "e")),
         "old": _compared(sides["p"], sides["o"], replace(settings, strict=True), known("dob", "o"), known("name", "o"))["status"],
     })
-    found = written(found)
     has, status = F.col("pdf_value") != "", F.col("cmp.status")
     verdict = (
         F.when(F.col("kind") == "marks", "Marks row (not checked)").when(~F.col("live"), "Not checked").when(F.col("rec").isNull(), "PDF not found").when(~has, "Field not in PDF")

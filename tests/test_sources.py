@@ -61,7 +61,7 @@ def test_grids(spark):
     assert [r.path for r in S.ingest_unseen(files, files.where("path = 'y.pdf'")).collect()] == ["x.PDF"]
 
 
-def test_history(spark, tmp_path):
+def test_history(spark, tmp_path, monkeypatch):
     records = spark.createDataFrame([(1, "a.pdf", 1, "11", None, "Asha", "F", "M", "01-02-2001"), (2, "b.pdf", 1, "99", None, "Ravi", None, None, None)], RECORDS)
     sheet = spark.createDataFrame([(2, "11", "", "Asha", "F", "M", "2001-02-01"), (3, "12", "", "No", "", "", "")], "row_no int, reg string, abc string, name string, father string, mother string, dob string")
     folder, results = str(tmp_path / "runs"), reconcile(records, sheet)
@@ -77,3 +77,24 @@ def test_history(spark, tmp_path):
     assert [r.run_id for r in H.list_runs(spark, folder).select(F.col("run_id")).collect()] == [1]
     with pytest.raises(ValueError, match="no run"):
         H.load_run(spark, folder, 2)
+    assert not (tmp_path / "runs" / "run_records" / "run_id=2").exists()
+
+    def stop(*_):
+        raise OSError("cut short")
+
+    listed = lambda: [r.run_id for r in H.list_runs(spark, folder).collect()]
+    save = lambda run: H.save_run(folder, run, {"mapping": {}}, results, records, unmatched_rows(results, sheet))
+    for run in (1, 3):  # a save cut short, of a run that was there and of a new one
+        with monkeypatch.context() as m, pytest.raises(OSError, match="cut short"):
+            m.setattr(H, "_enter", stop)
+            save(run)
+    assert listed() == [] and H.history_for_key(spark, folder, "11").count() == 0 and (tmp_path / "runs" / "run_records" / "run_id=3").exists()
+    save(3), save(1)
+    assert listed() == [3, 1] and [r.run_id for r in H.history_for_key(spark, folder, "11").collect()] == [3, 1]
+    drop = H._drop
+    with monkeypatch.context() as m, pytest.raises(OSError, match="cut short"):  # a deletion cut short
+        m.setattr(H, "_drop", lambda spark, path: stop() if "field_results" in path else drop(spark, path))
+        H.delete_run(spark, folder, 3)
+    assert listed() == [1] and [r.run_id for r in H.history_for_key(spark, folder, "11").collect()] == [1]
+    H.delete_run(spark, folder, 3)
+    assert not (tmp_path / "runs" / "field_results" / "run_id=3").exists() and H.load_run(spark, folder, 1)[0]["pdf_count"] == 2
