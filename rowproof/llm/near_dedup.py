@@ -313,7 +313,9 @@ def leaf_nodes(reps: DataFrame, own: DataFrame, k: int, percent: int):
     rows, leaves, links, merged = cut(branch(reps.select("doc", "sig"), START, True)), [], None, None
     while True:
         sizes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least")).where("size > 1"))
-        leaves.append(rows.join(sizes.where(F.col("size") <= SMALL).select("node"), "node").select("node", "doc"))
+        # written: a union of joins on one key is made partition by partition, which fails in Spark 4.1
+        # once a join of them is read locally
+        leaves.append(cut(rows.join(sizes.where(F.col("size") <= SMALL).select("node"), "node").select("node", "doc")))
         large = sizes.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
