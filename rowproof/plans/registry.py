@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from rowproof.functions import cells as X
@@ -19,6 +17,7 @@ from rowproof.operators.compare import FIELDS, Settings, compare_field
 from rowproof.sources import history as H
 from rowproof.sources import sheets as C
 
+from . import intake
 from .fixtures import view, with_views
 
 STRICT = Settings(strict=True)
@@ -164,8 +163,7 @@ FORMATS = ("General", "0.00", "yyyy-mm-dd", '"day" 0', "[h]:mm", "[$-409]d-mmm-y
 
 def _history(spark, sf):
     """Verdicts of a run that was saved in the shared folder and loaded again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/history-{uuid.uuid4().hex}"
+    folder = intake.folder(spark, "history")
     records, sheet = view(spark, sf, "records"), view(spark, sf, "sheet")
     results = R.reconcile(records, sheet, STRICT)
     H.save_run(folder, 1, {"mapping": {f: f for f in FIELDS}}, results, records, R.unmatched_rows(results, sheet))
@@ -174,8 +172,7 @@ def _history(spark, sf):
 
 def _lookup(spark, sf):
     """The history of the document with the smallest key, typed with a dash."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/history-{uuid.uuid4().hex}"
+    folder = intake.folder(spark, "history")
     records, sheet = view(spark, sf, "records"), view(spark, sf, "sheet")
     results = R.reconcile(records, sheet, STRICT)
     for run in (1, 2):
@@ -189,7 +186,7 @@ def flagship(spark, sf_dir):
 
 
 def queries():
-    return {
+    return intake.queries() | {
         "norm_key": _records(lambda d: d.select("rec_seq", N.norm_key(F.concat(F.lit(" "), F.col("reg"), F.lit(".0 "))).alias("plain"), N.norm_key(F.concat(F.lit("2.5"), F.col("rec_seq").cast("string"), F.lit("E+11"))).alias("sci"))),
         "norm_digits": _records(lambda d: d.select("rec_seq", N.norm_digits(F.col("abc")).alias("digits"))),
         "clean_name": _records(lambda d: d.select("rec_seq", N.clean_name(F.col("name")).alias("name"), N.clean_name(F.concat(F.lit("Shri "), F.col("father"))).alias("father"))),
@@ -441,4 +438,6 @@ def oracle_sql():
           FROM c JOIN (VALUES (0, 'Reg. No.'), (1, 'Student  Name'), (2, 'Father'), (3, 'Name'), (4, 'Sheet')) v(col_no, title) ON v.col_no IN (0, 1, 4) OR v.col_no = k + 2""",
     }
     sql["verdict_report"] = f"SELECT * FROM ({sql['verdict_summary']}) UNION ALL SELECT 6, 'Total records', count(*), 1.0 FROM records"
-    return {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()} | grids | orders | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "runs")) for k, v in runs.items()} | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "checks")) for k, v in checks.items()}
+    names_alike = lambda a, b: _sql_similarity(_sql_clean(a), _sql_clean(b), a, b)[0]
+    more = intake.oracle_sql(verdicts, judged, built, checks["check_counts"], names_alike)
+    return more | {k: with_views("SELECT * FROM (" + v + ")") for k, v in sql.items()} | grids | orders | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "runs")) for k, v in runs.items()} | {k: with_views("SELECT * FROM (" + v + ")", ("base_sheet", "sheet", "records", "checks")) for k, v in checks.items()}
