@@ -64,7 +64,7 @@ def serial_date_text(value, date1904, duration):
     return F.when(duration, _duration(value)).when((value >= 0) & (value < 1) & (ms < DAY_MS), _clock(ms)).otherwise(F.coalesce(whole, F.when(value.isNotNull(), "#VALUE!")))
 
 
-LIMB, LIMBS = 10**9, 42  # a natural number is its digits in groups of nine, the lowest first: up to 10^378
+LIMB = 10**9  # a natural number is its digits in groups of nine, the lowest first
 
 
 def _over(a, b):
@@ -90,16 +90,17 @@ def _raised(limbs, base: int, group: int, power):
     return _times(many, F.pow(F.lit(float(base)), (power % group).cast("double")).cast("long"))
 
 
-def _limbs(number):
-    """A number of at most 2^63."""
+def _limbs(number, n):
+    """A number of at most 2^63 in ``n`` groups, as many as what it grows to needs."""
     high = _over(number, F.lit(LIMB))
-    return F.concat(F.array(number % LIMB, high % LIMB, _over(high, F.lit(LIMB))), F.array_repeat(F.lit(0).cast("long"), LIMBS - 3))
+    return F.concat(F.array(number % LIMB, high % LIMB, _over(high, F.lit(LIMB))), F.array_repeat(F.lit(0).cast("long"), (n - 3).cast("int")))
 
 
 def _all_digits(value):
     """The digits of a whole double, from its 32-bit parts."""
-    parts = F.transform(F.sequence(F.lit(31), F.lit(0), F.lit(-1)), lambda k: F.floor(value / F.pow(F.lit(2.0), 32.0 * k) % float(1 << 32)))
-    limbs = F.aggregate(parts, _limbs(F.lit(0).cast("long")), lambda acc, part: _times(acc, F.lit(1 << 32), part))
+    words = F.least(F.floor(F.log2(value) / 32) + 1, F.lit(31)).cast("int")
+    parts = F.transform(F.sequence(words, F.lit(0), F.lit(-1)), lambda k: F.floor(value / F.pow(F.lit(2.0), 32.0 * k) % float(1 << 32)))
+    limbs = F.aggregate(parts, _limbs(F.lit(0).cast("long"), words + 5), lambda acc, part: _times(acc, F.lit(1 << 32), part))
     return F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), r"\A0+(?=\d)", "")
 
 
@@ -109,8 +110,9 @@ def _beyond_half(value, n, place):
     k = F.lit(54) - F.floor(F.log2(value))
     some = F.floor(k / 2)
     whole = (value * F.pow(F.lit(2.0), some.cast("double")) * F.pow(F.lit(2.0), (k - some).cast("double"))).cast("long")
-    left = _raised(_limbs(2 * whole), 10, 9, F.greatest(-place, F.lit(0)))
-    right = _raised(_raised(_limbs(2 * n + 1), 10, 9, F.greatest(place, F.lit(0))), 2, 32, k)
+    n_limbs = F.when(value >= 1e-10, 8).otherwise(42)  # up to 10^72, 10^378
+    left = _raised(_limbs(2 * whole, n_limbs), 10, 9, F.greatest(-place, F.lit(0)))
+    right = _raised(_raised(_limbs(2 * n + 1, n_limbs), 10, 9, F.greatest(place, F.lit(0))), 2, 32, k)
     return once(F.struct(F.reverse(left).alias("a"), F.reverse(right).alias("b")), lambda x: F.when(x["a"] > x["b"], 1).when(x["a"] == x["b"], 0).otherwise(-1))
 
 
@@ -123,11 +125,11 @@ def _fifteen(value):
 
     def digits(t):
         plain = F.regexp_replace(t["all"], r"\A0+", "")
-        return F.struct(t["v"].alias("v"), F.rpad(F.substring(plain, 1, 15), 15, "0").cast("long").alias("n"), F.substring(plain, 16, 1).alias("next"), (t["e"] - F.length(t["all"]) + F.length(plain)).alias("e"))
+        return F.struct(t["v"].alias("v"), F.rpad(F.substring(plain, 1, 15), 15, "0").cast("long").alias("n"), F.rpad(F.substring(plain, 16, 2), 2, "0").alias("next"), (t["e"] - F.length(t["all"]) + F.length(plain)).alias("e"))
 
     def rounded(t):
         side = once(_beyond_half(t["v"], t["n"], t["e"] - 14), lambda s: (s > 0) | ((s == 0) & (t["n"] % 2 == 1)))
-        up = F.when(t["next"].isin("", "0", "1", "2"), False).when(t["next"].isin("7", "8", "9"), True).otherwise(side)
+        up = F.when(t["next"] < "38", False).when(t["next"] > "62", True).otherwise(side)  # the text lies within half a unit of the exact value's 53rd bit
         n = t["n"] + up.cast("int")
         return F.struct(F.regexp_replace(n.cast("string"), r"0+\z", "").alias("d"), (t["e"] + (n == 10**15).cast("int")).alias("e"))
 
