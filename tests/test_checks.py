@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from rowproof.operators import checks as K
+from rowproof.operators import columns as D
 from rowproof.operators import report as A
 
 SHEET = "row_no int, enroll string, abc string, student string, expected string, claimed string, remark string"
@@ -70,3 +71,31 @@ def test_short_status(spark):
     rows = [("Close match", 92.5, "Close match 92%"), ("Match", 100.0, "Match"), ("Not compared", None, "-"), ("Missing", None, "Missing")]
     got = spark.createDataFrame(rows, "s string, n double, want string").select(A.short_status("name", F.col("s"), F.col("n")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)
+
+
+def test_rows_of_a_hot_key(spark):
+    """Rows of one key lie in several chunks; a note lists them all in order, and nothing is listed
+    where notes are not asked for."""
+    sheet = spark.range(2600).selectExpr("cast(id * 2 + 2 as int) as row_no", "'111' as enroll", "'Student Name : A' || chr(10) || 'Name : B' as expected")
+    checks = K.mark_duplicates(K.build_checks(sheet))
+    note = checks.where("row_no = 3000 and nth = 1").first()["parse_note"]
+    rows = [2 * i + 2 for i in range(2600) for nth in (0, 1) if (2 * i + 2, nth) != (3000, 1)]
+    assert note == "Same student and field also on row(s) " + ", ".join(map(str, rows))
+    plan = checks.select("row_no", "kind")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_checks_from_cells(spark):
+    """Header, last row and roles are data: two sheets at once, and one without expected values."""
+    grids = {
+        "A": [["List"], ["Enrolment no", "Expected data", "Remarks"], ["111", "Student Name : Asha Rao", ""], ["", "", "blank"], ["222", "Ravi Sen", "father name"], ["333", "Name : X", ""]],
+        "B": [["Expected", "Enrolment no", "Wrong value"], ["Father's Name : Ravi Sen", "222", "Ravi"]],
+        "C": [["Enrolment no", "Remarks"], ["111", "x"]],
+    }
+    cells = spark.createDataFrame([("f", s, i + 1, j, v) for s, g in grids.items() for i, row in enumerate(g) for j, v in enumerate(row)], "source string, sheet string, row_no int, col_no int, value string")
+    headers, records = D.detect_role_header_row(cells), _tables(spark)[1]
+    last = spark.createDataFrame([("f", "A", 5), ("f", "B", 0)], "source string, sheet string, last_row int")
+    rows, errors = K.check_sheet(cells, headers, D.detect_check_columns(cells, headers, records), last)
+    got = {(r.sheet, r.row_no): (r.status, r.field, r.claimed) for r in K.run_checks(rows, records).collect()}
+    assert got == {("A", 3): ("Correct", "name", ""), ("A", 5): ("Correct", "father", ""), ("B", 2): ("Correct", "father", "Ravi")}
+    assert [tuple(r) for r in errors.collect()] == [("f", "C", K.NOT_CHOSEN)]
