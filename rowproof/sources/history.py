@@ -47,15 +47,22 @@ def _put(rows: DataFrame, folder: str, table: str, run_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/{table}/run_id={run_id}")
 
 
+def placed(results: DataFrame, records: DataFrame) -> DataFrame:
+    """``results`` beside the place of each record's document: what ``save_run`` keeps. Written once, it
+    serves all runs that save it, and none of them has to join."""
+    path = F.col("path") if "path" in records.columns else F.col("file")
+    place = records.select("rec_seq", F.col("file").alias("pdf_file"), path.alias("pdf_path"), "page", F.coalesce("reg", F.lit("")).alias("pdf_reg"))
+    return results.join(place, "rec_seq")
+
+
 def save_run(folder: str, run_id: int, info: dict, results: DataFrame, records: DataFrame, unmatched: DataFrame) -> None:
     """``info``: created_at, excel_file, sheet, header_row, mapping, settings. ``results`` is what
-    reconcile gives; unpaired records keep the document's own values as Not compared. A run of
-    that number is replaced; it is not listed until all of the new one stands."""
+    reconcile gives, or ``placed`` of it; unpaired records keep the document's own values as Not
+    compared. A run of that number is replaced; it is not listed until all of the new one stands."""
     spark = results.sparkSession
     _drop(spark, f"{folder}/runs/run_id={run_id}")
-    path = F.col("path") if "path" in records.columns else F.col("file")
-    place = records.select("rec_seq", F.col("file").alias("pdf_file"), path.alias("pdf_path"), "page", F.coalesce("reg", F.lit("")).alias("pdf_reg"))
-    rows = written(results.select("rec_seq", "excel_row", F.col("verdict").alias("overall"), "note", "paired_by", "sheet_reg", *FIELDS).join(place, "rec_seq"))
+    rows = results if "pdf_file" in results.columns else written(placed(results, records))
+    rows = rows.select("rec_seq", "excel_row", F.col("verdict").alias("overall"), "note", "paired_by", "sheet_reg", *FIELDS, "pdf_file", "pdf_path", "page", "pdf_reg")
     _put(rows.drop("paired_by", "sheet_reg", *FIELDS), folder, "run_records", run_id)
     by_reg, by_abc = F.col("paired_by").eqNullSafe("reg"), F.col("paired_by").eqNullSafe("abc")
     note = F.when(by_reg, "Paired on this").when(by_abc, "Not on the marksheet; paired by ABC ID").otherwise("")
