@@ -85,6 +85,24 @@ def test_rows_of_a_hot_key(spark):
     assert "collect_list" not in plan
 
 
+def test_notes_of_a_hot_key_are_dealt(spark):
+    """The notes of one key are put together in many partitions, and name each of the others once, in order,
+    with or without a number of their own."""
+    sheet = spark.range(400).selectExpr("cast(if(id = 7, null, id * 700) as int) as row_no", "'' as enroll", "'Name : B' as expected")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = K.mark_duplicates(K.build_checks(sheet)).select("row_no", "parse_note", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    every = [i * 700 for i in range(400) if i != 7]
+    want = {n: "Same student and field also on row(s) " + ", ".join(str(m) for m in every if m != n) for n in (None, *every)}
+    assert {r.row_no: r.parse_note for r in got} == want and len(got) == 400
+    assert len({r.part for r in got}) == spark.sparkContext.defaultParallelism
+
+
 def test_checks_from_cells(spark):
     """Header, last row and roles are data: two sheets at once, and one without expected values."""
     grids = {
