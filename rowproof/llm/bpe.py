@@ -6,7 +6,8 @@ every offset, and the encoder walks over those: it takes the longest token that
 next to the previous one, tries shorter ones where it may not, and steps back one token
 where none fits, never trying an offset twice. Whether two tokens may be adjacent in a
 BPE result is decided from the merge tree and memoised. Pieces recur, so their ids are
-memoised too, up to ``MEMO`` entries per worker.
+memoised too: those of the last ``MEMO`` to twice as many distinct pieces in use per worker, so
+that frequent ones stay while rare ones pass; pieces beyond ``KEPT`` characters are not kept.
 
 The rank file is read by the driver and broadcast (under 1 MB); texts are encoded in Arrow
 batches within each partition, with no shuffle.
@@ -25,6 +26,7 @@ import sys
 from array import array
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .store import documents
 
-MEMO = 100_000
+MEMO = 200_000
+KEPT = 32
 SLICE = 4 << 20  # bytes of text that a worker takes at once, or one longer text
 _ARROW = {"binary": pa.binary(), "string": pa.string()}
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,12 +62,15 @@ class ByteBpe:
             self.halves[rank] = self._split(rank)
         self.fits.clear()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the memo before this one
+        self.bytes_of = pa.array([self.token.get(r) for r in range(max(self.token, default=-1) + 1)], pa.binary())
 
     def decode(self, ids: bytes) -> bytes:
-        found = array("I", ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        return b"".join(map(self.token.__getitem__, found))
+        found = self.bytes_of.take(pa.array(np.frombuffer(ids, "<u4").astype("u4", copy=False)))
+        if found.null_count:
+            raise KeyError("an id without a token")
+        values = found.buffers()[2]  # the tokens' bytes, one after the other
+        return values.to_pybytes() if len(found) else b""
 
     def _prefix(self, token: bytes) -> int:
         return next((r for n in range(len(token) - 1, 0, -1) if (r := self.ranks.get(token[:n])) is not None), -1)
@@ -135,19 +141,29 @@ class ByteBpe:
                 at = ends[-1]
         return ids
 
+    def kept(self, piece: str) -> bytes:
+        """Ids of one piece as little-endian unsigned 32-bit integers, from the memos or worked out."""
+        ids = self.memo.get(piece)
+        if ids is not None:
+            return ids
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.piece(piece.encode())
+            if sys.byteorder == "big":
+                found.byteswap()
+            ids = found.tobytes()
+        if len(piece) <= KEPT:
+            if len(self.memo) >= MEMO:
+                self.memo, self.older = {}, self.memo
+            self.memo[piece] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        memo, out = self.memo, []
-        for p in self.find(text):
-            ids = memo.get(p)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = self.piece(p.encode())
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                ids = memo[p] = ids.tobytes()
-            out.append(ids)
+        pieces = self.find(text)
+        out = list(map(self.memo.get, pieces))
+        if None in out:
+            out = [self.kept(p) if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
         return b"".join(out)
 
 

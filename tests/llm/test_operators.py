@@ -166,6 +166,24 @@ def test_repeats_of_repeated_rows(spark, group):
     assert _cut_by_spark(spark, rows, group=group) == _cut(rows)
 
 
+def test_bpe_memo_keeps_what_recurs(monkeypatch):
+    """A piece that recurs is worked out once, however many rare ones pass; long ones are not kept; ids without a token do not decode."""
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    path, pattern = bpe.default_tokenizer()
+    coder, asked = bpe.ByteBpe(open(path, "rb").read(), pattern), []
+    plain, work = bpe.ByteBpe(open(path, "rb").read(), pattern), coder.piece
+    monkeypatch.setattr(coder, "piece", lambda p: asked.append(p) or work(p))
+    texts = [f"zqvxkw {i}x{i}y zqvxkw q{'ab' * 40}" for i in range(200)] + ["", "é\x00\U0001f600 \n\n"]
+    for text in texts:
+        ids = coder.encode(text)
+        assert ids == b"".join(plain.piece(p.encode()).tobytes() for p in plain.find(text)) and coder.decode(ids) == text.encode()
+    assert asked.count(b" zqvxkw") == 1 and asked.count(b"zqvxkw") == 1 and len(coder.memo) <= 50 and len(coder.older) <= 50
+    assert not any(len(p) > bpe.KEPT for p in (*coder.memo, *coder.older))
+    for unknown in (b"\xff\xff\xff\x7f", b"\x00"):
+        with pytest.raises((KeyError, IndexError, ValueError)):
+            coder.decode(unknown)
+
+
 def test_bpe_round_trip(spark):
     import tiktoken
 
