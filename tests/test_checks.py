@@ -103,6 +103,15 @@ def test_notes_of_a_hot_key_are_dealt(spark):
     assert len({r.part for r in got}) == spark.sparkContext.defaultParallelism
 
 
+def test_notes_are_cut_from_one_text(spark):
+    """A note takes one join, whatever repeats, and leaves out its own check alone: another one of the same number stays."""
+    sheet = spark.createDataFrame([(2, "111", "Name : A"), (2, "111", "Name : B"), (1500, "111", "Name : C"), (99999, "111", "Name : D"), (7, "222", "Name : E")], "row_no int, enroll string, expected string")
+    found = K.mark_duplicates(K.build_checks(sheet)).select("expected", "parse_note")
+    said = "Same student and field also on row(s) "
+    assert dict(map(tuple, found.collect())) == {"A": said + "2, 1500, 99999", "B": said + "2, 1500, 99999", "C": said + "2, 2, 99999", "D": said + "2, 2, 1500", "E": ""}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_checks_from_cells(spark):
     """Header, last row and roles are data: two sheets at once, and one without expected values."""
     grids = {
