@@ -1,5 +1,6 @@
 """The list of checks as a report shows it."""
 
+from pyspark.sql import functions as F
 from test_checks import _tables as tables
 
 import __spark_entry__ as entry
@@ -32,3 +33,18 @@ def test_numbers_and_overrides(spark):
     assert (third.row_no, third.field, third.status, third.pdf_file, third.manual) == (3, "Father's Name", "Correct", "b.pdf", 'field set to Father\'s Name; PDF set to b.pdf; PDF value set to "Asha Roy"')
     assert third.note == "Exact; chosen by hand; Same student and field also on row(s) 2"
     assert [r.nth for r in A.check_needs_attention(done).orderBy("nth").collect()] == [r.nth for r in rows if r.row_no in (5, 11)]
+
+
+def test_what_asks_for_no_record_is_dealt(spark):
+    """Checks that need no record are half of a sheet or more; none of the joins brings them together."""
+    sheet = spark.range(400).selectExpr("cast(id as int) as row_no", "'1' as enroll", "'Total marks 40' as expected")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = K.run_statuses(sheet, tables(spark)[1]).select("status", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert {r.status for r in got} == {"Marks row (not checked)"} and len(got) == 400
+    assert len({r.part for r in got}) == spark.sparkContext.defaultParallelism
